@@ -17,7 +17,6 @@ from itertools import combinations
 from math import ceil, log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -79,7 +78,7 @@ def checksum(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int = 8192) -> DataFrame:
+def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int = 2048) -> DataFrame:
     """(a, b): links between fingerprints (column fp, no repeats) whose components are those of all pairs within ``distance``.
 
     ``room``: a leading part with more fingerprints is divided by the checksum.
@@ -89,7 +88,7 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int =
     lead = min(40, max(10, ceil(log2(max(n, 1) / 200 + 1))))
     low = BITS - lead
     top = F.shiftrightunsigned("fp", low)
-    least = max(room, n // 1000)  # at most 1,000 leading parts can be hot, so this list stays small
+    least = max(room, n // 100_000)  # at most 100,000 leading parts can be hot, so this list stays small
     hot = {r["top"]: min(256, 1 << ceil(log2(r["n"] / room))) for r in distinct.groupBy(top.alias("top")).agg(F.count("*").alias("n")).where(F.col("n") > least).collect()}
     masks = flips(lead, half)[half]
 
@@ -109,14 +108,8 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int =
                     names=["key", "cls", "many", "fp", "r"],
                 )
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        if len(pdf) < 2:
-            return none
-        x = pdf["fp"].to_numpy().view(np.uint64)
-        fp, owner = np.unique(x, return_inverse=True)
-        base = (x & np.uint64((1 << low) - 1)) | (np.uint64(pdf["key"].iloc[0]) << np.uint64(low))
-        r, many, cls = pdf["r"].to_numpy(), int(pdf["many"].iloc[0]), np.uint64(pdf["cls"].iloc[0])
+    def spelled(base: np.ndarray, r: np.ndarray, owner: np.ndarray, many: int, cls: int) -> tuple[list, list]:
+        """The values that rows with ``r`` flips spent still reach below their leading part, and their owners."""
         values, owners = [], []
         for used in range(half + 1):
             rows = np.flatnonzero(r == used)
@@ -124,32 +117,75 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int =
             if many == 1:
                 values.append((base[rows][:, None] ^ m[None, :]).ravel())
                 owners.append(np.repeat(owner[rows], len(m)))
-            else:
-                want = (checksum(base[rows]) ^ cls) & np.uint64(many - 1)
-                sums = checksum(m) & np.uint64(many - 1)
-                for c in range(many):
-                    these, fit = rows[want == c], m[sums == c]
-                    values.append((base[these][:, None] ^ fit[None, :]).ravel())
-                    owners.append(np.repeat(owner[these], len(fit)))
+                continue
+            want = (checksum(base[rows]) ^ np.uint64(cls)) & np.uint64(many - 1)
+            sums = checksum(m) & np.uint64(many - 1)
+            for c in range(many):
+                these, fit = rows[want == c], m[sums == c]
+                values.append((base[these][:, None] ^ fit[None, :]).ravel())
+                owners.append(np.repeat(owner[these], len(fit)))
+        return values, owners
+
+    def met(key: np.ndarray, cls: np.ndarray, many: np.ndarray, x: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+        fp, owner = np.unique(x, return_inverse=True)
+        owner = owner.astype(np.int32)
+        base = (x & np.uint64((1 << low) - 1)) | (key << np.uint64(low))
+        plain = many == 1
+        values, owners = spelled(base[plain], r[plain], owner[plain], 1, 0)
+        for k, c in {*zip(key[~plain].tolist(), cls[~plain].tolist())}:
+            rows = (key == np.uint64(k)) & (cls == c) & ~plain
+            more = spelled(base[rows], r[rows], owner[rows], int(many[rows][0]), c)
+            values += more[0]
+            owners += more[1]
         v, o = np.concatenate(values), np.concatenate(owners)
         order = np.argsort(v)
         v, o = v[order], o[order]
         same = np.flatnonzero(v[1:] == v[:-1])
-        if not len(same):
-            return none
-        pair = np.unique(np.minimum(o[same], o[same + 1]) * len(fp) + np.maximum(o[same], o[same + 1]))
+        pair = np.unique(np.minimum(o[same], o[same + 1]).astype(np.int64) * len(fp) + np.maximum(o[same], o[same + 1]))
         a, b = pair // len(fp), pair % len(fp)
         good = (a != b) & (np.bitwise_count(fp[a] ^ fp[b]) <= distance)
-        a, b = a[good], b[good]
-        root = local_roots(len(fp), a, b)
+        root = local_roots(len(fp), a[good], b[good])
         to = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[to].view(np.int64), "b": fp[root[to]].view(np.int64)})
+        return pa.RecordBatch.from_arrays([pa.array(fp[to].view(np.int64)), pa.array(fp[root[to]].view(np.int64))], names=["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by key and class; as many keys as fit are spelled out together."""
+        held: list[list[np.ndarray]] = []
+        weight = np.array([len(flips_low[half - used]) for used in range(half + 1)])
+
+        def work() -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            return met(*cols)
+
+        total = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, cls, many, x, r = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cols = [key.view(np.uint64), cls, many, x.view(np.uint64), r]
+            new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
+            if held and (held[-1][0][-1] == cols[0][0]) and held[-1][1][-1] == cls[0]:
+                new[0] = False
+            cost = np.cumsum(weight[r] // many)
+            done = 0
+            for at in np.flatnonzero(new).tolist():
+                if total + cost[at] - (cost[done - 1] if done else 0) > 3_000_000 and (held or at > done):
+                    if at > done:
+                        held.append([c[done:at] for c in cols])
+                    yield work()
+                    done, total = at, 0
+            held.append([c[done:] for c in cols])
+            total += int(cost[-1] - (cost[done - 1] if done else 0))
+        if held:
+            yield work()
 
     flips_low = flips(low, half)
     if odd:
         raise ValueError("distance must be even: half of it is the radius of the balls")
     dealt = distinct.select("fp").mapInArrow(deal, "key long, cls int, many int, fp long, r byte")
-    return scratch.cut(dealt.groupBy("key", "cls").applyInPandas(meet, "a long, b long"), "links")
+    spread = dealt.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key", "cls")
+    return scratch.cut(spread.sortWithinPartitions("key", "cls").mapInArrow(meet, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
