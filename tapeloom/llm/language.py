@@ -1,7 +1,7 @@
 """Language identification by a byte convolutional network, trained in numpy.
 
 Bytes are embedded; filters of several widths run over a window of bytes; each keeps its maximum (through a rectifier) and
-a softmax layer reads them. All widths are columns of one matrix, so a window is one product. A text is cut into windows of
+a softmax layer reads them. Letters are lower-cased first. All widths are columns of one matrix, so a window is one product. A text is cut into windows of
 fixed length that cover all of it; the logits of its windows, weighted by their bytes, are averaged.
 """
 
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, per_label: int = 1500, most_bytes: int = 2048, seed: in
     size = F.octet_length("text")
     begin = F.when(size > most_bytes, F.pmod(F.xxhash64("doc_id"), (size - most_bytes).cast("long")) + 1).otherwise(1).cast("int")
     taken = rows.where(h < share[F.col("lang")] * (1 << 30)).select("doc_id", "lang", raw.substr(begin, F.lit(most_bytes)).alias("text"))
-    got = sorted(((r["doc_id"] or 0, r["lang"], bytes(r["text"])) for r in taken.limit(2 * per_label * len(counts)).collect() if len(r["text"])), key=lambda r: r[:2])
+    got = sorted(((r["doc_id"] or 0, r["lang"], bytes(r["text"]).decode(errors="ignore").lower().encode()) for r in taken.limit(2 * per_label * len(counts)).collect() if len(r["text"])), key=lambda r: r[:2])
     return train([r[2] for r in got], [r[1] for r in got], seed=seed) if got else None
 
 
@@ -163,7 +163,7 @@ def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("l
                 good = [i for i, t in enumerate(texts) if model is not None and t and LETTER.search(t)]
                 lang, score = ["und"] * len(texts), [0.0] * len(texts)
                 if good:
-                    p = softmax(model.of_texts([texts[i].encode() for i in good]))
+                    p = softmax(model.of_texts([texts[i].lower().encode() for i in good]))
                     for i, k, q in zip(good, p.argmax(1).tolist(), p.max(1).tolist()):
                         lang[i], score[i] = model.labels[k], q
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score, pa.float64())], names=[*columns, *names])
