@@ -1,5 +1,66 @@
 """Registered queries of the bar engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tapeloom.operators import averages, base, candle, levels, momentum, patterns, smart_money, statistics, volatility, volume  # noqa: F401
+from tapeloom.sources import bars as source
+
+#: decimal places of computed columns, on both sides of a comparison
+DIGITS = 4
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def bench_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.with_benchmark(source.event_bars(spark, sf_dir), source.all_event_bars(spark, sf_dir))
+
+
+BENCH_SQL = source.benchmark_sql(source.SQL["hour"], source.SQL["all_hour"])
+
+
+def _family(name: str, names: list[str], bench: bool, sql: bool) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars = bench_bars(spark, sf_dir) if bench else source.event_bars(spark, sf_dir)
+        return base.compute(bars, names, DIGITS)
+
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = base.sql(BENCH_SQL if bench else source.SQL["hour"], names, DIGITS, bench)
+
+
+def _chunks(names: list[str], n: int) -> list[list[str]]:
+    return [names[i : i + n] for i in range(0, len(names), n)]
+
+
+def _register_indicators(most: int = 36) -> None:
+    families: dict[tuple[str, bool, bool], list[str]] = {}
+    for name, ind in base.CATALOGUE.items():
+        families.setdefault((name.split(".")[0], ind.needs_bench, ind.recursive), []).append(name)
+    for (family, bench, machine), names in families.items():
+        for k, part in enumerate(_chunks(names, most)):
+            label = f"{family}{'_benchmark' if bench else ''}{'_machines' if machine else ''}_{k + 1}"
+            _family(label, part, bench, not machine)
+
+
+_register_indicators()
+
+FLAGSHIP = "bands_above_upper"
+
+
+def bands_above_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars that close above their upper Bollinger band."""
+    got = base.compute(source.event_bars(spark, sf_dir), ["ma.sma", "volatility.bollinger_bands"], DIGITS)
+    return got.where("close > bollinger_bands_upper")
+
+
+QUERIES[FLAGSHIP] = bands_above_upper
+ORACLE_SQL[FLAGSHIP] = f"SELECT * FROM ({base.sql(source.SQL['hour'], ['ma.sma', 'volatility.bollinger_bands'], DIGITS)}) WHERE close > bollinger_bands_upper"
+
+for _name, _read in (("bars_hour", source.event_bars), ("bars_orders_day", source.order_bars), ("bars_ship_day", source.ship_bars), ("bars_all_hour", source.all_event_bars)):
+    QUERIES[_name] = _read
+    ORACLE_SQL[_name] = source.SQL[{"bars_hour": "hour", "bars_orders_day": "orders", "bars_ship_day": "ship", "bars_all_hour": "all_hour"}[_name]]
