@@ -23,6 +23,13 @@ NAME = re.compile(r"[A-Za-z_]\w*\Z")
 SHIFT = 1.37e-6
 TOKEN = re.compile(r"'(?:[^']|'')*'|[A-Za-z_]\w*")
 
+NUMBER = re.compile(r"'(?:[^']|'')*'|(?<![\w.])\d+\.\d+(?![\w.])")
+
+
+def doubles(text: str) -> str:
+    """Decimal literals as doubles, in a form that both dialects take: 6.0 would divide as a decimal."""
+    return NUMBER.sub(lambda m: m[0] if m[0][0] == "'" else f"{m[0]}e0", text)
+
 
 @dataclass
 class Cell:
@@ -84,10 +91,11 @@ class Sheet:
         """The name of a column with this expression (``duck``: its form for DuckDB, where it differs)."""
         if NAME.match(spark) and (spark in self.layers or spark in self.columns):
             return spark
+        spark, duck = doubles(spark), duck and doubles(duck)
         known = self.names.get((spark, duck))
         if known is None:
             known = self.names[spark, duck] = self._name()
-            self.cells[known] = Cell(self.layer(spark) + 1, spark, duck or spark)
+            self.cells[known] = Cell(max(self.layer(spark), self.layer(duck or "")) + 1, spark, duck or spark)
             self.layers[known] = self.cells[known].layer
         return known
 
@@ -200,7 +208,7 @@ class Sheet:
 
     # rendering ----------------------------------------------------------------------------------------------------
 
-    def needed(self, wanted: list[str]) -> set[str]:
+    def needed(self, wanted: list[str], duck: bool = False) -> set[str]:
         """``wanted`` and all columns below them."""
         made_by = {c: m for m in self.machines for c in m.outputs}
         todo, found = list(wanted), set()
@@ -210,7 +218,7 @@ class Sheet:
                 continue
             found.add(c)
             if c in self.cells:
-                todo += [t for t in TOKEN.findall(self.cells[c].spark) if t in self.layers]
+                todo += [t for t in TOKEN.findall(self.cells[c].duck if duck else self.cells[c].spark) if t in self.layers]
             elif c in self.folds:
                 f = self.folds[c]
                 todo += [x for x in (f.seed, f.gain, f.x) if x in self.layers]
@@ -297,7 +305,7 @@ class Sheet:
     def duck(self, source: str, outputs: dict[str, str], digits: int | None = None) -> str:
         """DuckDB SQL for the same table, over the SQL ``source`` of the bars. Machines have no SQL."""
         out = {name: self.put(e) for name, e in outputs.items()}
-        needed = self.needed(list(out.values()))
+        needed = self.needed(list(out.values()), duck=True)
         if any(needed & set(m.outputs) for m in self.machines):
             raise ValueError("a state machine has no SQL form")
         steps, last = [f"l0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {self.key} ORDER BY {self.time}) AS rn_ FROM ({source}))"], "l0"

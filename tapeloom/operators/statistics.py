@@ -156,18 +156,26 @@ def winsorization(s: Sheet, length: int = 20, limits: tuple[float, float] = (0.0
     return s.put(f"CASE WHEN {low} IS NOT NULL THEN least(greatest({x}, {low}), {high}) END")
 
 
+def _central(s: Sheet, x: str, n: int, k: int) -> str:
+    """DuckDB: the k-th central moment of a full window (its own window moments lose digits)."""
+    w = s.values(x, n)
+    return f"list_sum(list_transform({w}, lambda v: power(v - list_avg({w}), {k}))) / {n}"
+
+
 def skew_of(s: Sheet, x: str, n: int | None) -> str:
     """Bias-corrected skewness; Spark's own is that of the population."""
-    w, count = (s.whole, f"count({x}) {s.whole}") if n is None else (s.rows(n), str(n))
-    full = f"count({x}) {w} >= {max(3, n or 3)}"
-    return s.put(f"CASE WHEN {full} THEN skewness({x}) {w} * sqrt({count} * ({count} - 1.0)) / ({count} - 2) END", f"CASE WHEN {full} THEN skewness({x}) {w} END")
+    w, c = (s.whole, f"count({x}) {s.whole}") if n is None else (s.rows(n), str(n))
+    full, grown = f"CASE WHEN count({x}) {w} >= {max(3, n or 3)} THEN", f"sqrt({c} * ({c} - 1.0)) / ({c} - 2)"
+    duck = f"skewness({x}) {w}" if n is None else f"{_central(s, x, n, 3)} / power({_central(s, x, n, 2)}, 1.5) * {grown}"
+    return s.put(f"{full} skewness({x}) {w} * {grown} END", f"{full} {duck} END")
 
 
 def kurt_of(s: Sheet, x: str, n: int | None) -> str:
     """Bias-corrected excess kurtosis."""
     w, c = (s.whole, f"count({x}) {s.whole}") if n is None else (s.rows(n), str(n))
-    full = f"count({x}) {w} >= {max(4, n or 4)}"
-    return s.put(f"CASE WHEN {full} THEN ({c} - 1.0) / (({c} - 2.0) * ({c} - 3)) * (({c} + 1) * kurtosis({x}) {w} + 6) END", f"CASE WHEN {full} THEN kurtosis({x}) {w} END")
+    full, grown = f"CASE WHEN count({x}) {w} >= {max(4, n or 4)} THEN", f"({c} - 1.0) / (({c} - 2.0) * ({c} - 3)) * (({c} + 1) * ({{}}) + 6)"
+    duck = f"kurtosis({x}) {w}" if n is None else grown.format(f"{_central(s, x, n, 4)} / power({_central(s, x, n, 2)}, 2) - 3")
+    return s.put(f"{full} {grown.format(f'kurtosis({x}) {w}')} END", f"{full} {duck} END")
 
 
 @indicator("stats.skewness")
