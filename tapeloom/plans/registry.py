@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.operators import averages, base, candle, levels, momentum, patterns, smart_money, statistics, volatility, volume  # noqa: F401
 from tapeloom.sources import bars as source
@@ -64,3 +64,78 @@ ORACLE_SQL[FLAGSHIP] = f"SELECT * FROM ({base.sql(source.SQL['hour'], ['ma.sma',
 for _name, _read in (("bars_hour", source.event_bars), ("bars_orders_day", source.order_bars), ("bars_ship_day", source.ship_bars), ("bars_all_hour", source.all_event_bars)):
     QUERIES[_name] = _read
     ORACLE_SQL[_name] = source.SQL[{"bars_hour": "hour", "bars_orders_day": "orders", "bars_ship_day": "ship", "bars_all_hour": "all_hour"}[_name]]
+
+
+# features, analyzers, timeframes ---------------------------------------------------------------------------------
+
+from tapeloom.functions import scalars  # noqa: E402
+from tapeloom.operators import cleaning  # noqa: E402
+from tapeloom.plans import analyzers, observer, timeframes  # noqa: E402
+from tapeloom.plans import features as feature_plan  # noqa: E402
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_plan.features(source.event_bars(spark, sf_dir))
+
+
+def _analysis(name: str):
+    return lambda spark, sf_dir: analyzers.analyze(features(spark, sf_dir), name, latest=False, evidence=False, digits=DIGITS)
+
+
+def observer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observer.report(features(spark, sf_dir))
+
+
+QUERIES["features"] = features
+QUERIES |= {f"analysis_{n}": _analysis(n) for n in analyzers.ANALYZERS}
+QUERIES["observer_report"] = observer_report
+QUERIES["mtf_asof"] = lambda spark, sf_dir: timeframes.with_timeframes(source.event_bars(spark, sf_dir), digits=DIGITS)
+ORACLE_SQL["mtf_asof"] = timeframes.timeframes_sql(source.SQL["hour"], digits=DIGITS)
+
+
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.resample(source.event_bars(spark, sf_dir), "4 hours")
+
+
+QUERIES["resample_4h"] = resampled
+ORACLE_SQL["resample_4h"] = (
+    "SELECT symbol, time_bucket(INTERVAL '4 hours', ts, TIMESTAMP '1970-01-01') AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, coalesce(sum(volume), 0.0) AS volume "
+    f"FROM ({source.SQL['hour']}) GROUP BY 1, 2"
+)
+
+
+def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against the first one."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    one = v.orderBy("vec_id").limit(1).select(F.col("a").alias("b"))
+    both = v.crossJoin(F.broadcast(one))  # the other side is one row
+    out = {"dot": scalars.dot_product("a", "b"), "l1": scalars.l1_norm("a"), "l2": scalars.l2_norm("a"), "euclid": scalars.euclidean_distance("a", "b"), "manhattan": scalars.manhattan_distance("a", "b"), "cosine": scalars.cosine_similarity("a", "b")}
+    return both.select("vec_id", *((F.round(c + F.lit(1.37e-6), DIGITS) + F.lit(0.0)).alias(k) for k, c in out.items()))
+
+
+_V = {"dot": "list_dot_product(a, b)", "l1": "list_sum(list_transform(a, lambda x: abs(x)))", "l2": "sqrt(list_dot_product(a, a))", "euclid": "list_distance(a, b)", "manhattan": "list_sum(list_transform(range(1, len(a) + 1), lambda i: abs(a[i] - b[i])))", "cosine": "list_cosine_similarity(a, b)"}
+QUERIES["vector_functions"] = vector_functions
+ORACLE_SQL["vector_functions"] = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings), f AS (SELECT a AS b FROM v ORDER BY vec_id LIMIT 1) SELECT vec_id, " + ", ".join(f"round({e} + 1.37e-6, {DIGITS}) + 0.0 AS {k}" for k, e in _V.items()) + " FROM v, f"
+
+
+def series_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-series statistics of each symbol's closes."""
+    b = source.event_bars(spark, sf_dir)
+    forms = {
+        "mean": scalars.safe_agg("mean", "close"), "std_pop": scalars.safe_agg("std", "close"), "median": scalars.safe_agg("median", "close"), "iqr": scalars.iqr("close"), "p90": scalars.percentile("close", 90),
+        "rank_200": scalars.percentile_rank("close", 200.0), "variation": scalars.coefficient_of_variation("close"), "error": scalars.standard_error("close"), "noise": scalars.signal_to_noise_ratio("close"),
+        "geometric": scalars.geometric_mean("close"), "harmonic": scalars.harmonic_mean("close"),
+    }
+    return b.groupBy("symbol").agg(*((F.round(c + F.lit(1.37e-6), DIGITS) + F.lit(0.0)).alias(k) for k, c in forms.items()))
+
+
+_S = {
+    "mean": "avg(close)", "std_pop": "stddev_pop(close)", "median": "median(close)", "iqr": "quantile_cont(close, 0.75) - quantile_cont(close, 0.25)", "p90": "quantile_cont(close, 0.9)",
+    "rank_200": "100.0 * (count(*) FILTER (WHERE close < 200) + 0.5 * count(*) FILTER (WHERE close = 200)) / count(close)", "variation": "stddev_pop(close) / abs(avg(close))", "error": "stddev_samp(close) / sqrt(count(close))",
+    "noise": "avg(close) / stddev_pop(close)", "geometric": "exp(avg(ln(close)))", "harmonic": "count(close) / sum(1.0 / close)",
+}
+QUERIES["series_statistics"] = series_statistics
+ORACLE_SQL["series_statistics"] = "SELECT symbol, " + ", ".join(f"round({e} + 1.37e-6, {DIGITS}) + 0.0 AS {k}" for k, e in _S.items()) + f" FROM ({source.SQL['hour']}) GROUP BY symbol"
+
+QUERIES["validation_report"] = lambda spark, sf_dir: cleaning.validation_report(source.event_bars(spark, sf_dir))
+ORACLE_SQL["validation_report"] = f"SELECT symbol, count(*) AS rows, 0 AS missing, count(*) FILTER (WHERE low <= 0) AS not_positive, count(*) FILTER (WHERE high < low) AS high_below_low, count(*) FILTER (WHERE volume < 0) AS negative_volume, 0 AS repeated_times FROM ({source.SQL['hour']}) GROUP BY symbol"
