@@ -353,6 +353,11 @@ def _duck_shown(c: str, kind: str, digits: int | None) -> str:
     return f"round({c}::DOUBLE + {SHIFT!r}, {digits}) + 0.0"
 
 
+def plain(*columns: list) -> list[list[float]]:
+    """Columns with NaN for what is missing: every comparison with it is false."""
+    return [[np.nan if v is None else v for v in c] for c in columns]
+
+
 def numbers(values: list) -> np.ndarray:
     """A list with missing values as a float array."""
     return np.array([np.nan if v is None else v for v in values], np.float64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .base import IndicatorError
@@ -165,8 +166,6 @@ def all_times(*tables: DataFrame) -> DataFrame:
 
 def rolling_apply(df: DataFrame, column: str, n: int, f, name: str) -> DataFrame:
     """``f`` (numbers of a full window -> number) over the last n values, by Arrow batches of window arrays."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(windows: pd.Series) -> pd.Series:
         return windows.map(lambda w: None if w is None or len(w) < n else float(f(w)))

@@ -5,7 +5,7 @@ Swing values stand at their own bar, which is known only ``length`` bars later;
 
 from __future__ import annotations
 
-from tapeloom.functions.sheet import Sheet
+from tapeloom.functions.sheet import Sheet, plain
 
 from .averages import ema_raw
 from .base import alias, indicator, positive, price
@@ -295,7 +295,7 @@ def mitigated_fvg(s: Sheet) -> dict[str, str]:
 
     def make():
         def step(high, low, up_top, up_bottom, down_top, down_bottom):
-            n = len(high)
+            n, (high, low) = len(high), plain(high, low)
             done, tops, bottoms = [0.0] * n, [None] * n, [None] * n
             rising: list[int] = []
             falling: list[int] = []

@@ -6,7 +6,7 @@ order blocks and gaps stand at the bar where the block or gap lies and tell what
 
 from __future__ import annotations
 
-from tapeloom.functions.sheet import Sheet
+from tapeloom.functions.sheet import Sheet, plain
 
 from .base import alias, indicator, positive
 from .levels import boolean, bottom, swing, top
@@ -34,7 +34,7 @@ def structure(s: Sheet, n: int) -> dict[str, str]:
         held = [0, None]
 
         def step(close, up, down):
-            rows = []
+            rows, (close,) = [], plain(close)
             for c, h, low in zip(close, up, down):
                 trend, old = held
                 bos = choch = 0
@@ -66,7 +66,7 @@ def liquidity(s: Sheet, n: int) -> dict[str, str]:
         active: dict[int, list[float]] = {1: [], -1: []}
 
         def step(high, low, close, up, down, width):
-            rows = []
+            rows, (high, low, close, width) = [], plain(high, low, close, width)
             for h, lo, c, u, d, w in zip(high, low, close, up, down, width):
                 row = {}
                 for side, new, reach in ((1, u, h), (-1, d, lo)):
@@ -101,7 +101,7 @@ def lifecycle(s: Sheet, n: int) -> dict[str, str]:
 
     def make():
         def step(o, h, low, c, gap_, push_, bos, bsl, ssl):
-            size = len(o)
+            size, (o, h, low, c) = len(o), plain(o, h, low, c)
             gaps: dict[int, list] = {}
             blocks: dict[int, list] = {}
             f, b = [[0, None, None, 0.0] for _ in range(size)], [[0, None, None, 0.0] for _ in range(size)]

@@ -15,7 +15,8 @@ def report(features: DataFrame, least: float = 0.8) -> DataFrame:
     out = None
     for name, (share, state) in analyzers.coverage(features, least).items():
         if state == "READY":
-            found = analyzers.analyze(features, name)
+            gone = {c: F.lit(None).cast("double") for c in analyzers.required(name) if c not in features.columns}
+            found = analyzers.analyze(features.withColumns(gone) if gone else features, name)
             verdict = F.to_json(F.struct(*(c for c in found.columns if c not in ("symbol", "ts"))))
             one = found.select("symbol", "ts", F.lit(name).alias("analyzer"), F.lit("PASS").alias("status"), verdict.alias("verdict"))
         else:
