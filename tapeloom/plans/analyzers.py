@@ -80,7 +80,7 @@ def trend(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
     step = look.slope("macd_line - macd_signal", 5)
     v.add("MACD", 15.0, (f"macd_line > macd_signal AND {step} > 0", "Bullish Expanding Momentum", 1), (f"macd_line < macd_signal AND {step} < 0", "Bearish Expanding Momentum", -1), ("true", "Decaying Momentum", 0))
     v.add("SuperTrend", 10.0, ("supertrend_direction > 0", "Bullish Trailing Support", 1), ("true", "Bearish Trailing Resistance", -1))
-    direction = s.put(clip(f"100 * ({v.score()}) / {sum(w for _, w, _ in v.items)!r}", -100.0, 100.0))
+    direction = s.put(clip(f"1.0 * ({v.score()})", -100.0, 100.0))  # of 100 points; 10 stand for a vote that no feature casts
     side = s.put(f"cast(sign({direction}) AS int)")
     status = s.mark(f"CASE WHEN {direction} >= 60 THEN 'Strong Bullish' WHEN {direction} >= 20 THEN 'Bullish' WHEN {direction} > -20 THEN 'Sideways' WHEN {direction} > -60 THEN 'Bearish' ELSE 'Strong Bearish' END", "string")
     sure = s.put(f"100 * ({v.weight('{p} = ' + side)} + CASE WHEN {side} = 0 THEN 0.5 * ({v.weight('{p} = 0')}) ELSE 0.0 END) / {v.weight('{p} IS NOT NULL')}")
@@ -98,13 +98,13 @@ def trend(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
     ratio = s.put(f"abs(close - {s.lag('close', 20)}) / ({look.f('sum', f'abs(close - {s.lag('close')})', 20)} + {TINY})")
     noise = s.put(f"{look.f('avg', '(high - low) - abs(close - open)', 10)} / ({look.f('avg', 'abs(close - open)', 10)} + {TINY})")
     fit = s.put(clip(f"coalesce({look.f('avg', 'linreg_r2', 10)}, 0.0)", 0.0, 1.0))
-    q.add("Efficiency", 40.0, (f"{ratio} >= 0.6", "Excellent efficiency", 1), (f"{ratio} >= 0.4", "Good efficiency", 1), ("true", "Choppy action", -1))
-    q.add("Noise", 30.0, (f"{noise} > 1.5", "High wick interference", -1), (f"{noise} < 0.5", "Clean bodies", 1), ("true", "Average noise", 0))
+    q.add("Efficiency", 40.0, (f"{ratio} >= 0.8", "Excellent efficiency", 1), (f"{ratio} >= 0.6", "Good efficiency", 1), ("true", "Choppy action", -1))
+    q.add("Noise", 30.0, (f"{noise} > 1.5", "High wick interference", -1), (f"{noise} < 0.8", "Clean bodies", 1), ("true", "Average noise", 0))
     q.add("Smoothness", 30.0, (f"{fit} > 0.7", "Consistently smooth", 1), ("true", "Erratic path", -1))
     quality = s.put(clip(f"50 * coalesce({ratio}, 0.0) + greatest(0.0, 10 * (2 - {noise})) + 30 * {fit}", 0.0, 100.0))
     out |= {
         "quality": s.mark(band(quality, (75.0, "Excellent"), (50.0, "Good"), (30.0, "Average"), other="Poor"), "string"), "quality_score": quality, "quality_confidence": q.confidence("1"), "trend_efficiency": ratio,
-        "noise_level": s.mark(f"CASE WHEN {noise} > 1.5 THEN 'High' WHEN {noise} < 0.5 THEN 'Low' ELSE 'Moderate' END", "string"),
+        "noise_level": s.mark(f"CASE WHEN {noise} > 1.5 THEN 'High' WHEN {noise} < 0.8 THEN 'Low' ELSE 'Moderate' END", "string"),
     }
 
     up = f"{direction} > 0"
@@ -165,7 +165,7 @@ def momentum(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
     faster = a.weight("{p} IS NOT NULL")
     out |= {"acceleration_score": faster, "acceleration": s.mark(band(faster, (60.0, "Rapid Acceleration"), (30.0, "Accelerating"), other="Constant"), "string"), "acceleration_confidence": a.confidence(f"(CASE WHEN {hist} > 0 OR {speed} > 0 THEN 1 ELSE -1 END)")}
     x = Votes(s)
-    x.add("Volume_Climax", 40.0, (f"volume > 2.5 * {look.f('avg', 'volume', 20)} AND abs(close - open) / (high - low + {TINY}) < 0.4", "Blowoff / Climax Volume w/ Rejection", -1))
+    x.add("Volume_Climax", 40.0, (f"volume > 3.0 * {look.f('avg', 'volume', 20)} AND abs(close - open) / (high - low + {TINY}) < 0.4", "Blowoff / Climax Volume w/ Rejection", -1))
     x.add("RSI_Extreme", 30.0, ("rsi > 80 OR rsi < 20", "RSI at Extreme Exhaustion", -1))
     x.add("Volatility_Collapse", 30.0, (f"{look.f('stddev_samp', 'roc', 10)} < 0.5 * {look.f('stddev_samp', 'roc', 10, 10)}", "Momentum Volatility Collapsing post-peak", -1))
     tired = x.weight("{p} IS NOT NULL")
@@ -183,10 +183,15 @@ def momentum(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
     c.add("ATR_Squeeze", 30.0, (f"atr_14 < 0.8 * {look.f('avg', 'atr_14', 20)}", "ATR Compression Phase", 0))
     tight = c.weight("{p} IS NOT NULL")
     out |= {"compression_score": tight, "compression": s.mark(band(tight, (70.0, "High Compression"), (35.0, "Building"), other="Expanded"), "string")}
+    marks = "(CASE WHEN ob_active > 0 THEN 30 ELSE 0 END + CASE WHEN fvg_active > 0 THEN 20 ELSE 0 END + CASE WHEN liq_sweep <> 0 THEN 20 ELSE 0 END + CASE WHEN bos <> 0 THEN 30 ELSE 0 END)"
+    busy = s.put(f"volume / ({look.f('avg', 'volume', 20)} + {TINY})")
+    joined = s.put(clip(f"CASE WHEN {marks} = 0 THEN 0.0 WHEN {busy} > 1.2 THEN {marks} + 20 * least({busy}, 2.0) WHEN {busy} < 0.8 THEN 0.5 * {marks} ELSE 1.0 * {marks} END", 0.0, 100.0))
+    retail = s.put("CASE WHEN rsi > 75 OR rsi < 25 THEN 50.0 ELSE 0.0 END")
+    out |= {"institutional_momentum": joined, "retail_momentum": retail, "dominance": s.mark(f"CASE WHEN {joined} > {retail} + 20 THEN 'Institutional Dominance' WHEN {retail} > {joined} + 20 THEN 'Retail Dominance' ELSE 'Mixed Context' END", "string")}
     g = Votes(s)
     g.add("Shift", 25.0, (f"abs({shift}) >= 30", "Directional Momentum Shift detected", 1))
     g.add("Compression_Break", 25.0, (f"{tight} >= 35 AND abs({shift}) > 0", "Breaking out of Compression", 1))
-    g.add("Inst_Volume", 25.0, (f"volume > 1.5 * {look.f('avg', 'volume', 20)} AND institutional_volume_score > 30", "SMC Aligned Volume Expansion", 1))
+    g.add("Inst_Volume", 25.0, (f"volume > 1.5 * {look.f('avg', 'volume', 20)} AND {joined} > 30", "SMC Aligned Volume Expansion", 1))
     g.add("Volatility", 25.0, (f"atr_14 > 1.2 * {look.f('avg', 'atr_14', 20)}", "Volatility Expanding with Direction", 1))
     lit = g.weight("{p} IS NOT NULL")
     out |= {"ignition_score": lit, "ignition": s.mark(band(lit, (85.0, "Explosive"), (60.0, "Igniting"), (30.0, "Building"), other="Dormant"), "string")}
@@ -316,7 +321,43 @@ def chart(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
     return {"pattern": first, "pattern_side": side, "pattern_stop": stop, "pattern_target": target, "pattern_reward_risk": s.put(s.div(f"abs({target} - close)", f"abs(close - {stop})")), "pattern_score": s.put("coalesce(pattern_confidence, 0.0)")}, {"patterns": v}
 
 
-ANALYZERS = {"trend": trend, "momentum": momentum, "volatility": volatility, "volume": volume, "candle": candles, "pattern": chart, "support_resistance": support_resistance}
+#: fixed values: weights of longer timeframes, and of the bar's own in the two votes
+FRAME_WEIGHTS = {"_M": 0.30, "_W": 0.25, "_D": 0.20, "_4H": 0.10, "_1H": 0.05, "_15m": 0.05, "_5m": 0.05}
+OWN_TREND, OWN_MOMENTUM = 0.10, 0.15
+
+
+def frames(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
+    """Votes of the longer timeframes that the table has columns of (plans.timeframes)."""
+    there = [f for f in FRAME_WEIGHTS if f"close{f}" in s.columns]
+    own = s.put(s.flag("close > ema_50"))
+    score, total = f"CASE WHEN {own} THEN {OWN_TREND!r} ELSE 0.0 END", repr(OWN_TREND)
+    for f in there:
+        known = f"close{f} IS NOT NULL AND ema{f} IS NOT NULL"
+        total += f" + CASE WHEN {known} THEN {FRAME_WEIGHTS[f]!r} ELSE 0.0 END"
+        score += f" + CASE WHEN {known} AND close{f} > ema{f} THEN {FRAME_WEIGHTS[f]!r} ELSE 0.0 END"
+    share = s.put(clip(f"100 * ({score}) / ({total})", 0.0, 100.0))
+    alone = s.put(f"({total}) <= {OWN_TREND + 1e-9!r}")
+    text = f"CASE WHEN {alone} THEN 'Local Only' WHEN {share} >= 80 THEN 'Full Bullish Alignment' WHEN {share} <= 20 THEN 'Full Bearish Alignment' WHEN ({own} AND {share} < 50) OR (NOT {own} AND {share} >= 50) THEN 'LTF / HTF Conflict' ELSE 'Mixed / Neutral' END"
+
+    def side(f: str) -> str:
+        names = ("roc", "rsi", "macd_histogram", "momentum")
+        up, down = (" AND ".join(f"{n}{f} {sign} {50 if n == 'rsi' else 0}" for n in names) for sign in "><")
+        return s.put(f"CASE WHEN {' OR '.join(f'{n}{f} IS NULL' for n in names)} THEN NULL WHEN {up} THEN 1 WHEN {down} THEN -1 ELSE 0 END")
+
+    sides = {f: side(f) for f in there}
+    push = f"{OWN_MOMENTUM!r} * coalesce({side('')}, 0)" + "".join(f" + {FRAME_WEIGHTS[f]!r} * coalesce({c}, 0)" for f, c in sides.items())
+    weight = repr(OWN_MOMENTUM) + "".join(f" + CASE WHEN {c} IS NOT NULL THEN {FRAME_WEIGHTS[f]!r} ELSE 0.0 END" for f, c in sides.items())
+    drive = s.put(f"100 * ({push}) / ({weight})")
+    v = Votes(s)
+    for f in there:
+        v.add(f.strip("_"), FRAME_WEIGHTS[f], (f"close{f} > ema{f}", "Bullish", 1), (f"close{f} <= ema{f}", "Bearish", -1))
+    return {
+        "frames_trend_score": share, "frames_trend": s.mark(text, "string"), "frames_momentum_score": drive,
+        "frames_momentum": s.mark(f"CASE WHEN {drive} > 70 THEN 'Strong Bullish Alignment' WHEN {drive} < -70 THEN 'Strong Bearish Alignment' ELSE 'Mixed / Choppy' END", "string"),
+    }, {"timeframes": v} if there else {}
+
+
+ANALYZERS = {"trend": trend, "momentum": momentum, "volatility": volatility, "volume": volume, "candle": candles, "pattern": chart, "support_resistance": support_resistance, "timeframes": frames}
 
 
 def analyze(features: DataFrame, name: str, latest: bool = True, evidence: bool = True, digits: int | None = 2) -> DataFrame:

@@ -87,7 +87,17 @@ def observer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["features"] = features
-QUERIES |= {f"analysis_{n}": _analysis(n) for n in analyzers.ANALYZERS}
+QUERIES |= {f"analysis_{n}": _analysis(n) for n in analyzers.ANALYZERS if n != "timeframes"}
+
+
+def analysis_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = source.event_bars(spark, sf_dir)
+    own = base.compute(bars, {"ma.ema": {"length": 50}, "momentum.rsi": {}, "momentum.roc": {"length": 14}, "momentum.momentum": {}, "momentum.macd": {}}).withColumnsRenamed({"ema": "ema_50"})
+    longer = timeframes.with_timeframes(bars).drop("open", "high", "low", "close", "volume")
+    return analyzers.analyze(own.join(longer, ["symbol", "ts"]), "timeframes", latest=False, evidence=False, digits=DIGITS)
+
+
+QUERIES["analysis_timeframes"] = analysis_timeframes
 QUERIES["observer_report"] = observer_report
 QUERIES["mtf_asof"] = lambda spark, sf_dir: timeframes.with_timeframes(source.event_bars(spark, sf_dir), digits=DIGITS)
 ORACLE_SQL["mtf_asof"] = timeframes.timeframes_sql(source.SQL["hour"], digits=DIGITS)
@@ -139,3 +149,7 @@ ORACLE_SQL["series_statistics"] = "SELECT symbol, " + ", ".join(f"round({e} + 1.
 
 QUERIES["validation_report"] = lambda spark, sf_dir: cleaning.validation_report(source.event_bars(spark, sf_dir))
 ORACLE_SQL["validation_report"] = f"SELECT symbol, count(*) AS rows, 0 AS missing, count(*) FILTER (WHERE low <= 0) AS not_positive, count(*) FILTER (WHERE high < low) AS high_below_low, count(*) FILTER (WHERE volume < 0) AS negative_volume, 0 AS repeated_times FROM ({source.SQL['hour']}) GROUP BY symbol"
+
+from tapeloom.plans import contracts  # noqa: E402
+
+QUERIES["analyzer_contracts"] = lambda spark, sf_dir: contracts.table(spark)

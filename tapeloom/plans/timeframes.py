@@ -9,8 +9,8 @@ from tapeloom.sources import bars as source
 
 #: suffix -> interval
 FRAMES = {"_4H": "4 hours", "_D": "1 day", "_W": "7 days"}
-NAMES = {"ma.ema": {"length": 50}, "momentum.rsi": {}, "momentum.roc": {}, "momentum.momentum": {}, "volume.obv": {}, "volume.chaikin_money_flow": {}, "volume.vwap": {}}
-KEPT = ["open", "close", "volume", "ema", "rsi", "roc", "momentum", "obv", "chaikin_money_flow", "vwap"]
+NAMES = {"ma.ema": {"length": 50}, "momentum.rsi": {}, "momentum.roc": {}, "momentum.momentum": {}, "momentum.macd": {}, "momentum.adx": {}, "volume.obv": {}, "volume.chaikin_money_flow": {}, "volume.vwap": {}}
+KEPT = ["open", "close", "volume", "ema", "rsi", "roc", "momentum", "macd_histogram", "adx_adx", "obv", "chaikin_money_flow", "vwap"]
 
 
 def with_timeframes(bars: DataFrame, frames: dict[str, str] = FRAMES, digits: int | None = None) -> DataFrame:

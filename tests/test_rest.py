@@ -87,6 +87,14 @@ def test_analyzers_give_one_record_a_symbol(spark):
     table.unpersist()
 
 
+def test_contracts_name_what_analyzers_read():
+    from tapeloom.plans import contracts
+
+    found = contracts.contracts()
+    assert set(found) == set(analyzers.ANALYZERS) and {"ema_20", "vwap", "bos"} <= set(found["trend"].features) and "direction_score" in found["trend"].outputs
+    assert contracts.problems(found, []).keys() >= {"trend"} and contracts.scan("import os\nx = df['a'] + df.get('b')\nf(x)") == {"columns": ["a", "b"], "calls": ["f", "get"], "modules": ["os"]}
+
+
 def test_streamed_bars_and_state(spark, tmp_path):
     ticks = [("A", T0 + dt.timedelta(minutes=i), i, float(i)) for i in range(180)]
     kind = "symbol string, ts timestamp, seq long, value double"
