@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .grouping import suffix_array
 from .store import Scratch
 
-GRAM, STRETCH, SLICE = 64, 64, 1 << 20
+GRAM, STRETCH, SLICE = 64, 64, 1 << 18
 _MULT = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
 
@@ -270,8 +270,9 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch, size: int = 400, room: i
     scratch.drop("keys")
     mixed = kept.where("mixed")
     kinds = scratch.cut(mixed.groupBy("key", "ctx").agg(F.sum("copies").alias("n"), F.min(F.struct("uid", "start", "windows", "shape", "copies")).alias("one")), "kinds")
-    per_key = kinds.groupBy("key").agg(F.count("*").alias("different"))
-    copied = mixed.join(kinds.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select("uid", "start", "windows")
+    # tables of their own, so that the joins below stand on exchanges that adaptive execution can split
+    per_key = scratch.cut(kinds.groupBy("key").agg(F.count("*").alias("different")), "per_key")
+    copied = scratch.cut(mixed.join(kinds.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select("uid", "start", "windows"), "copied")
     one_window = (F.col("one.windows") / F.col("one.copies")).cast("int")  # equal neighbours have equally many
     wanted = kinds.join(per_key, "key").select(
         F.col("one.uid").alias("uid"),
@@ -284,7 +285,7 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch, size: int = 400, room: i
     found = edges.where("key is not null").repartition(parts, "key").sortWithinPartitions("key", "core").mapInArrow(_sorted_blocks(size), "uid long, start int, windows int")
     alone = edges.where("key is null")
     often = alone.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    hot = alone.where("single").join(often, "core").select("uid", "start", "windows")
+    hot = scratch.cut(alone.where("single").join(often, "core").select("uid", "start", "windows"), "hot")
     all_ranges = kept.where("not mixed").select("uid", "start", "windows").union(copied).union(found).union(hot)
     return scratch.cut(all_ranges.groupBy("uid").agg(F.collect_list(F.struct("start", "windows")).alias("ranges")), "ranges")
 
