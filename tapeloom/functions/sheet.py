@@ -232,6 +232,7 @@ class Sheet:
         needed = self.needed(list(out.values()))
         df, here = bars, set(bars.columns)
         partitioned = False
+        last = self._last_use(needed, list(out.values()))
         for k in range(1, max((self.layers[c] for c in needed), default=0) + 1):
             cells = {c: self.cells[c].spark for c in needed if c in self.cells and self.layers[c] == k}
             if cells:
@@ -242,10 +243,30 @@ class Sheet:
                 if not partitioned:
                     df = df.repartition(F.col(self.key))
                     partitioned = True
+                # what no later layer reads doesn't go through Python
+                df = df.select(*(c for c in df.columns if c in here or last.get(c, 0) >= k))
                 df = self._pass(df.sortWithinPartitions(self.key, self.time), folds, machines)
         shown = [F.col(c) for c in bars.columns if c in here]
         return df.select(*shown, *(_shown(df, c, digits).alias(name) for name, c in out.items()))
 
+    def _last_use(self, needed: set[str], outputs: list[str]) -> dict[str, int]:
+        """The last layer that reads each column."""
+        out: dict[str, int] = {c: 10**9 for c in outputs}
+
+        def read(names, layer: int) -> None:
+            for n in names:
+                out[n] = max(out.get(n, 0), layer)
+
+        for c in needed:
+            if c in self.cells:
+                read((t for t in TOKEN.findall(self.cells[c].spark) if t in self.layers), self.cells[c].layer)
+            elif c in self.folds:
+                read((self.folds[c].seed, self.folds[c].gain, self.folds[c].x), self.folds[c].layer)
+        for m in self.machines:
+            if needed & set(m.outputs):
+                read(m.inputs, m.layer)
+        return out
+
     def _pass(self, df: DataFrame, folds: dict[str, Fold], machines: list[Machine]) -> DataFrame:
         fold_list, key = list(folds.items()), self.key
         new = [c for c, _ in fold_list] + [o for m in machines for o in m.outputs]
