@@ -231,12 +231,13 @@ class Sheet:
         out = {name: self.put(e) for name, e in outputs.items()}
         needed = self.needed(list(out.values()))
         df, here = bars, set(bars.columns)
-        partitioned = False
+        partitioned = ordered = False
         last = self._last_use(needed, list(out.values()))
         for k in range(1, max((self.layers[c] for c in needed), default=0) + 1):
             cells = {c: self.cells[c].spark for c in needed if c in self.cells and self.layers[c] == k}
             if cells:
                 df = df.selectExpr("*", *(f"{e} AS {c}" for c, e in cells.items()))
+                ordered = ordered and not any(" OVER (" in e for e in cells.values())
             folds = {c: self.folds[c] for c in needed if c in self.folds and self.layers[c] == k}
             machines = [m for m in self.machines if m.layer == k and needed & set(m.outputs)]
             if folds or machines:
@@ -245,7 +246,9 @@ class Sheet:
                     partitioned = True
                 # what no later layer reads doesn't go through Python
                 df = df.select(*(c for c in df.columns if c in here or last.get(c, 0) >= k))
-                df = self._pass(df.sortWithinPartitions(self.key, self.time), folds, machines)
+                if not ordered:
+                    df = df.sortWithinPartitions(self.key, self.time)
+                df, ordered = self._pass(df, folds, machines), True
         shown = [F.col(c) for c in bars.columns if c in here]
         return df.select(*shown, *(_shown(df, c, digits).alias(name) for name, c in out.items()))
 

@@ -9,9 +9,14 @@ from tapeloom.functions.sheet import Sheet, numbers
 from .base import alias, indicator, positive, price
 
 
+def counted(s: Sheet, x: str) -> str:
+    return s.put(f"count({s.put(x)}) {s.past}")
+
+
 def enough(s: Sheet, x: str, y: str, n: int) -> str:
-    """y once n values of x have been seen."""
-    return s.put(f"CASE WHEN count({s.put(x)}) {s.past} >= {n} THEN {s.put(y)} END")
+    """y once n values of x have been seen. The count is a column of its own: where x is no fold, neither is any window
+    that follows one, and folds that build on each other stay in one stage."""
+    return s.put(f"CASE WHEN {counted(s, x)} >= {n} THEN {s.put(y)} END")
 
 
 def ema_raw(s: Sheet, x: str, n: int) -> str:
@@ -20,8 +25,9 @@ def ema_raw(s: Sheet, x: str, n: int) -> str:
     return s.fold(x, f"cast({2 / (n + 1)!r} AS double)", x)
 
 
-def ema_of(s: Sheet, x: str, n: int, least: int | None = None) -> str:
-    return enough(s, x, ema_raw(s, x, n), n if least is None else least)
+def ema_of(s: Sheet, x: str, n: int, least: int | None = None, seen: str | None = None) -> str:
+    """``seen``: a column that is known where x is and doesn't stand on a fold."""
+    return enough(s, seen or x, ema_raw(s, x, n), n if least is None else least)
 
 
 def wilder(s: Sheet, x: str, n: int) -> str:
@@ -77,8 +83,10 @@ def lsma(s: Sheet, length: int = 14, source: str = "close") -> str:
 
 def cascade(s: Sheet, source: str, n: int, depth: int, least: int | None) -> list[str]:
     out, x = [], price(s, source)
+    seen = x
     for _ in range(depth):
-        x = ema_of(s, x, n, least)
+        x = ema_of(s, x, n, least, seen)
+        seen = s.put(f"CASE WHEN {counted(s, seen)} >= {n if least is None else least} THEN 1 END")
         out.append(x)
     return out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tapeloom.functions.sheet import Sheet
 
-from .averages import ema_of, ema_raw, wilder
+from .averages import counted, ema_of, ema_raw, wilder
 from .base import alias, indicator, positive, price
 
 
@@ -36,7 +36,7 @@ def rsi_slope(s: Sheet, rsi_length: int = 14, slope_length: int = 3, source: str
 
 def macd_of(s: Sheet, x: str, fast: int, slow: int, signal: int) -> dict[str, str]:
     line = s.put(f"{ema_of(s, x, positive(fast))} - {ema_of(s, x, positive(slow))}")
-    sig = ema_of(s, line, positive(signal))
+    sig = ema_of(s, line, positive(signal), seen=s.put(f"CASE WHEN {counted(s, x)} >= {max(fast, slow)} THEN 1 END"))
     return {"macd": line, "signal": sig, "histogram": s.put(f"{line} - {sig}")}
 
 
