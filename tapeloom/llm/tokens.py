@@ -43,7 +43,7 @@ class WordIds:
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) >= self.room:
+            if len(self.pieces) >= self.room // 4:  # only words that aren't known ask for pieces
                 self.pieces.clear()
             shown = piece.encode().decode("latin-1").translate(self.table)
             got = self.pieces[piece] = np.array([t.id for t in self.whole.model.tokenize(shown)], "<u4").tobytes()
