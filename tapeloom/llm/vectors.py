@@ -1,16 +1,17 @@
-"""Embedding near-dedup by sorted projection passes.
-
-Equal vectors become one class with a count first. Each pass hashes every class by the signs of random projections,
-written one after another; rows are ordered by pass and hash, and each is compared with the next ``window`` rows. Verified
-pairs are united inside the task, so a task emits at most one link for each of its rows, and the links of all passes are
-joined to components. Within a component all pairs are then compared in blocks that only counts leave: links inside dense
-groups are complete whatever the window.
+"""Embedding near-dedup by buckets of projection signs.
+
+Equal vectors become one class with a count first. Each pass gives every class a bucket, the signs of a few random
+projections, and compares all pairs of a bucket; a large bucket is dealt over pairs of blocks. A pair meets in a pass with a
+chance that only its angle and the number of signs decide, whatever stands around it, so the passes follow from the signs
+alone and a dense group costs time but no links. The number of signs is the one that a sample of the table finds cheapest; none
+means that all pairs are compared. Verified pairs are united inside the task, so a task emits fewer links than it has rows,
+and the links of all passes are joined to components. Within a component all pairs are then compared for exact counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log, log2
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -21,79 +22,131 @@ from .components import components, local_roots
 from .store import Scratch
 
 
-def unit(cells: list, dim: int) -> np.ndarray:
+def unit(cells: list | np.ndarray, dim: int) -> np.ndarray:
     x = np.array(cells, np.float64).reshape(len(cells), dim)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def passes_for(n: int, window: int, cosine: float, missed: float = 0.002) -> int:
-    """Passes after which a pair at the bound itself is missed with probability ``missed``: each pass brings it together
-    if as many leading signs agree as it takes to tell n rows apart down to a window."""
-    agree = (1 - np.arccos(cosine) / np.pi) ** max(1.0, log2(max(2.0, n / window)))
-    return int(min(64, max(8, ceil(log(missed) / log(1 - agree)))))
+def matrix(vec: pa.Array, dim: int) -> np.ndarray:
+    """Lists of one length as rows of unit length."""
+    return unit(vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), dim), dim)
+
+
+def passes_for(signs: int, cosine: float, missed: float = 1e-4) -> int:
+    """Passes after which a pair at the bound itself, which has equal signs in one with a known chance, is missed with
+    probability ``missed``; pairs above the bound are missed less often."""
+    meet = (1 - np.arccos(cosine) / np.pi) ** signs
+    return 1 if meet == 1 else max(1, ceil(log(missed) / np.log1p(-meet)))
+
+
+#: seconds a row takes in a pass, and a number of a pair; both only weigh the depths against each other
+ROW_S, PAIR_S = 5e-5, 2e-10
 
 
-def pair_links(classes: DataFrame, scratch: Scratch, cosine: float, window: int = 32, passes: int | None = None, signs: int = 62, seed: int = 11) -> DataFrame:
+def signs_for(keys: np.ndarray, dims: np.ndarray, n: int, cosine: float, block: int, deepest: int) -> int:
+    """The number of leading signs that costs least for n rows of which a sample has ``keys`` (a row for each pilot pass)."""
+    best, least = 0, float("inf")
+    for depth in range(deepest + 1):
+        pairs = 0.0
+        for one in keys:
+            sizes = np.unique(np.stack([one >> (deepest - depth), dims]), axis=1, return_counts=True)[1].astype(float)
+            pairs += (sizes * (sizes - 1)).sum() / 2 * (n / len(dims)) ** 2 / len(keys)
+        rows = n + 2 * pairs / block  # copies of rows for the pairs of blocks
+        cost = passes_for(depth, cosine) * (rows * ROW_S + pairs * float(np.mean(dims)) * PAIR_S)
+        if cost < least:
+            best, least = depth, cost
+    return best
+
+
+def pair_links(classes: DataFrame, scratch: Scratch, cosine: float, signs: int | None = None, block: int = 2048, seed: int = 11, deepest: int = 40, sample: int = 20_000) -> DataFrame:
     """(a, b): verified links between rows of ``classes`` (cid long, vec array<double> without nulls or zeros)."""
     n = classes.count()
-    passes = passes or passes_for(n, window, cosine)
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.int64(1) << np.arange(signs - 1, -1, -1, dtype=np.int64)
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            cid, vec = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            dims = np.array([len(v) for v in vec])
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng((seed, int(dim))).standard_normal((passes, int(dim), signs))
-                for at in range(0, len(rows), 4096):
-                    some = rows[at : at + 4096]
-                    taken = vec.take(pa.array(some))
-                    x = unit([v.as_py() for v in taken], int(dim))
-                    for p in range(passes):
-                        key = ((x @ planes[dim][p]) > 0) @ weight
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), p, np.int32)), pa.array(np.full(len(some), dim, np.int32)), pa.array(key), pa.array(cid[some]), taken], names=["pass", "dim", "key", "cid", "vec"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep: dict = {}
-        a_all, b_all = [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if a_all:
-                a, b = np.concatenate(a_all), np.concatenate(b_all)
-                ids, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-                root = local_roots(len(ids), back[: len(a)], back[len(a) :])
-                to = np.flatnonzero(root != np.arange(len(ids)))
-                a_all.clear()
-                b_all.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[to]), pa.array(ids[root[to]])], names=["a", "b"])
 
+    def hashed(passes: int, signs: int, with_vec: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weight = np.int64(1) << np.arange(signs - 1, -1, -1, dtype=np.int64)
+            planes: dict[int, np.ndarray] = {}
+            for batch in batches:
+                cid, vec = batch.column(0), batch.column(1)
+                dims = vec.value_lengths().to_numpy(zero_copy_only=False)
+                for dim in np.unique(dims).tolist():
+                    rows = np.flatnonzero(dims == dim)
+                    if dim not in planes:
+                        planes[dim] = np.random.default_rng((seed, dim)).standard_normal((passes, dim, signs))
+                    for at in range(0, len(rows), 4096):
+                        some = pa.array(rows[at : at + 4096])
+                        ids, taken = cid.take(some), vec.take(some)
+                        x = matrix(taken, dim)
+                        for p in range(passes):
+                            key = ((x @ planes[dim][p]) > 0) @ weight
+                            cols = [pa.array(np.full(len(x), p, np.int32)), pa.array(np.full(len(x), dim, np.int32)), pa.array(key.astype(np.int64))]
+                            yield pa.RecordBatch.from_arrays([*cols, ids, taken] if with_vec else cols, names=["pass", "dim", "bucket", "cid", "vec"][: 5 if with_vec else 3])
+
+        return run
+
+    bare, full = "pass int, dim int, bucket long", "pass int, dim int, bucket long, cid long, vec array<double>"
+    named = classes.select("cid", "vec")
+    if signs is None:
+        some = named.where(F.pmod(F.xxhash64("cid"), F.lit(max(1, n // sample))) == 0)
+        pilots = 3
+        got = some.mapInArrow(hashed(pilots, deepest, False), bare).toPandas()
+        by = [got[got["pass"] == p].sort_values(["dim", "bucket"]) for p in range(pilots)]
+        signs = signs_for(np.stack([g["bucket"].to_numpy() for g in by]), by[0]["dim"].to_numpy(), n, cosine, block, deepest) if len(got) else 0
+    passes = passes_for(signs, cosine)
+
+    def within(left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs of near rows of left and right, or of left alone; roots of each slice of 512 only."""
+        size = len(left) + (0 if right is None else len(right))
+        root = np.arange(size)
+        for at in range(0, len(left), 512):
+            other, shift = (left[at:], at) if right is None else (right, len(left))
+            a, b = np.nonzero(left[at : at + 512] @ other.T >= cosine)
+            root = local_roots(size, np.concatenate([np.arange(size), a + at]), np.concatenate([root, b + shift]))
+        to = np.flatnonzero(root != np.arange(size))
+        return to, root[to]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by bucket and pair of blocks."""
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            x = matrix(table["vec"].combine_chunks(), table["dim"][0].as_py())
+            cid, own, i = (table[c].to_numpy() for c in ("cid", "own", "i"))
+            if i[0] == table["j"][0].as_py():
+                a, b = within(x, None)
+            else:
+                order = np.argsort(own != i, kind="stable")
+                cid, x, cut = cid[order], x[order], int((own == i).sum())
+                a, b = within(x[:cut], x[cut:])
+            return pa.RecordBatch.from_arrays([pa.array(cid[a]), pa.array(cid[b])], names=["a", "b"])
+
+        last = None
         for batch in batches:
-            kind = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) << 32 | batch.column(1).to_numpy(zero_copy_only=False)
-            cid_all, vec = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4)
-            for k in np.unique(kind):
-                rows = np.flatnonzero(kind == k)
-                cid, x = cid_all[rows], unit([v.as_py() for v in vec.take(pa.array(rows))], int(k & 0xFFFFFFFF))
-                if k in keep:
-                    cid, x = np.concatenate([keep[k][0], cid]), np.concatenate([keep[k][1], x])
-                fresh = len(cid) - len(rows)
-                for d in range(1, min(window, len(cid) - 1) + 1):
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= cosine)
-                    hit = hit[hit + d >= fresh]
-                    a_all.append(cid[hit])
-                    b_all.append(cid[hit + d])
-                keep = {k: (cid[-window:], x[-window:])}
-            if sum(map(len, a_all)) > 2_000_000:
-                yield from close()
-        yield from close()
-
-    spread = classes.select("cid", "vec").mapInArrow(hashes, "pass int, dim int, key long, cid long, vec array<double>")
-    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["pass", "dim", "key", "cid"]
-    return spread.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(windows, "a long, b long")
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pass", "dim", "bucket", "i", "j")])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                key = tuple(keys[:, a].tolist())
+                if held and key != last:
+                    yield done()
+                last = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
+
+    key = ["pass", "dim", "bucket"]
+    large = named.mapInArrow(hashed(passes, signs, False), bare).groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > block)
+    large = scratch.cut(large.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size"), "large")
+    sized = named.mapInArrow(hashed(passes, signs, True), full).join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = sized.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*key, F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "cid", "vec")
+    parts, order = int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), [*key, "i", "j"]
+    return dealt.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
 
 
 def link_counts(members: DataFrame, cosine: float, block: int = 4096) -> DataFrame:
@@ -126,7 +179,7 @@ def link_counts(members: DataFrame, cosine: float, block: int = 4096) -> DataFra
     return dealt.groupBy("comp", "i", "j").applyInPandas(count, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, window: int = 32, passes: int | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, signs: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding array; others are ignored).
 
     A vector that is null, empty or zero, or has null or non-finite components, links with nothing. Vectors of different
@@ -139,7 +192,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, window: int = 32,
     rows = rows.withColumn("vec", F.when(F.coalesce(sound, F.lit(False)), v))
     classes = rows.where("vec is not null").groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
     classes = scratch.cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    roots = components(scratch.cut(pair_links(classes, scratch, cosine, window, passes), "links"), scratch)
+    roots = components(scratch.cut(pair_links(classes, scratch, cosine, signs), "links"), scratch)
     grouped = scratch.cut(classes.join(roots.select(F.col("node").alias("cid"), F.col("root").alias("comp")), "cid"), "grouped")
     counts = scratch.cut(link_counts(grouped, cosine), "counts").withColumnRenamed("n", "near")
     lows = grouped.groupBy("comp").agg(F.min("low").alias("comp_low"))

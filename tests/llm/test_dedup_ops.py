@@ -180,3 +180,22 @@ def test_vectors_match_brute_force(spark, monkeypatch, block):
     want = sorted(((v[0], n[i], low.get(root[i]), v[0] is not None and v[0] == low.get(root[i])) for i, v in enumerate(every)), key=str)
     assert got == want
     assert vectors.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("signs", [5, None])
+def test_links_of_a_dense_group_are_whole(spark, signs):
+    """Members at a cosine of about 0.9 to each other, true partners far more than 32 rows apart in any order of signs."""
+    rng = np.random.default_rng(4)
+    mean, n = rng.standard_normal(64), 3000
+    mean *= 8 / np.linalg.norm(mean)
+    own = rng.standard_normal((n, 64)) / 3
+    x = mean + own
+    x[n // 2 :] = x[: n // 2] + rng.standard_normal((n // 2, 64)) * 0.25
+    x = np.concatenate([x, rng.standard_normal((3000, 64))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+    assert len(a) > n // 4
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(table, signs=signs).collect()}
+    links, root = Counter([*a.tolist(), *b.tolist()]), roots(len(x), list(zip(a.tolist(), b.tolist())))
+    assert got == {i: (links[i], root[i]) for i in range(len(x))}
