@@ -2,9 +2,10 @@
 
 The markup is read once into blocks: text between block-level tags, with its link characters and the parts of the page it
 lies in. First pass: blocks inside navigation, headers, footers, sidebars, forms, notices, adverts, comments and hidden
-parts are bad; the rest is judged by link density, length and the density of stop words (of those languages whose common
-words the page uses at all). Second pass: short blocks left open take the label of the nearest decided blocks; where both
-sides disagree, the block's own part of the page (its innermost article or main part) decides. Headings go with what they
+parts are bad; the rest is judged by link density, length and, where the page uses the common words of a listed language at
+all, the density of stop words. Few stop words leave a block open, as tables and code have few. Second pass: blocks left open
+take the label of the nearest decided blocks; where both sides disagree, the nearer one decides, and where the page has no
+block that is known as good, they are kept. Headings go with what they
 head. All text of good blocks is kept, whatever its length.
 """
 
@@ -158,10 +159,16 @@ def blocks(page: str) -> list[Block]:
     return r.blocks
 
 
-def label(found: list[Block], few: int = 70, many: int = 200, low: float = 0.15, high: float = 0.25, linked: float = 0.4) -> None:
+def label(found: list[Block], few: int = 70, low: float = 0.15, linked: float = 0.4) -> None:
     """Sets ``good`` of every block."""
     anchored = any(b.main and not b.dropped for b in found)
-    for b in found:
+    counts = [(0, 0)] * len(found)
+    for i, b in enumerate(found):
+        if not b.dropped:
+            words = WORD.findall(b.text.lower())
+            counts[i] = sum(w in STOP for w in words), len(words)
+    listed = sum(k for k, _ in counts) >= low * sum(n for _, n in counts)
+    for i, b in enumerate(found):
         n = len(b.text)
         if b.dropped or (anchored and not b.main):
             b.good = False
@@ -169,14 +176,8 @@ def label(found: list[Block], few: int = 70, many: int = 200, low: float = 0.15,
         if b.links > linked * n and not (b.main and b.links < 0.8 * n):
             b.good = False
             continue
-        words = [w.lower() for w in WORD.findall(b.text)]
-        density = sum(w in STOP for w in words) / len(words) if words else 0.0
-        if n < few:
-            b.good = None
-        elif density >= high and n >= many or density >= low:
-            b.good = True
-        else:
-            b.good = None if b.main or n < many else False
+        density = counts[i][0] / max(1, counts[i][1])
+        b.good = True if n >= few and (not listed or density >= low) else None
     undecided = [i for i, b in enumerate(found) if b.good is None]
     before, last = {}, None
     for i, b in enumerate(found):
@@ -188,7 +189,7 @@ def label(found: list[Block], few: int = 70, many: int = 200, low: float = 0.15,
         after[i] = last
         if found[i].good is not None:
             last = i
-    decided = {}
+    decided, nothing = {}, not any(b.good for b in found)
     for i in undecided:
         left, right = before[i], after[i]
         b = found[i]
@@ -197,6 +198,9 @@ def label(found: list[Block], few: int = 70, many: int = 200, low: float = 0.15,
             near = [found[k].good for k in (left, right) if k is not None and found[k].main and not found[k].dropped]
             decided[i] = True if not near else any(near)
             continue
+        if nothing:
+            decided[i] = True
+            continue
         a = found[left].good if left is not None else False
         z = found[right].good if right is not None else False
         decided[i] = z if b.heading else a if a == z else (left is not None and right is not None and i - left <= right - i) == a

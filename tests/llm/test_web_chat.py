@@ -95,6 +95,20 @@ def test_pages_without_an_article_part_go_by_density():
     assert html.main_text(page) == "\n\n".join(["Head", long.strip(), "Yes.", long.strip()])
 
 
+
+RUSSIAN = "Жители города рассказали, что они видели этого человека утром на рынке, где он покупал хлеб и молоко для своей семьи. " * 3
+
+
+def test_pages_of_other_languages_tables_and_short_paragraphs_are_kept():
+    nav = "<nav><a href=1>One</a></nav><div><a href=2>Two</a></div>"
+    assert html.main_text(f"{nav}<p>{RUSSIAN}</p><p>Да.</p><p>{RUSSIAN}</p>") == "\n\n".join([RUSSIAN.strip(), "Да.", RUSSIAN.strip()])
+    names = ", ".join(f"Smith{k} Jones{k}" for k in range(30))
+    said = "This is what the people of the town said when they were asked about it by the man who had come to see them."
+    assert html.main_text(f"{nav}<p>{said}</p><p>{names}</p><p>{said}</p>") == "\n\n".join([said, names, said])
+    assert html.main_text(f"{nav}<pre>{names}</pre>") == names
+    assert html.main_text(f"{nav}<p>It rained.</p><p>We went home.</p>") == "It rained.\n\nWe went home."
+
+
 def test_odd_pages(spark):
     cut = "<article><p>Whole words</p><p>cut &am"
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<"), (4, "u", cut), (5, "u", cut + "<p cla"), (6, "u", "<article>" + "<p>w x</p>" * 20000), (7, "u", "a < b <3 <b>c</b>"), (7, "u", "<article><p title='a>b'>x</p>")]
