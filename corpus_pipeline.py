@@ -14,6 +14,9 @@ from tapeloom.llm.store import Scratch
 
 #: a document goes if its language's share is lower; over the four or more languages of a corpus this is near a guess
 LEAST_SCORE = 0.3
+#: a repeated passage of more words goes; no such passage has fewer bytes than that many words of one letter and their gaps
+MOST_REPEATED = 50
+SHORTEST = 2 * MOST_REPEATED + 1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that occur twice go; so do documents of which nothing is left."""
-    return repeats.without_repeats(docs).select(*docs.columns)
+    """Passages of over 50 words, or 400 bytes, that occur twice go; so do documents of which nothing is left."""
+    return repeats.without_repeats(docs, SHORTEST, MOST_REPEATED + 1).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,9 +323,16 @@ def removed(docs: DataFrame, size: int = 400) -> DataFrame:
     return with_spans(named, scratch, size).mapInArrow(run, "doc_id long, spans array<struct<from:bigint,to:bigint>>, kept binary, n_bytes long")
 
 
-def without_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
+def whole_words(raw: bytes, a: int, e: int) -> int:
+    """Words between the bytes a and e of a text, without those that go on beyond."""
+    n = len(raw[a:e].decode(errors="ignore").split())
+    return n - (a > 0 and len(raw[a - 1 : a + 1].strip()) == 2) - (e < len(raw) and len(raw[e - 1 : e + 1].strip()) == 2)
+
+
+def without_repeats(docs: DataFrame, size: int = 400, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes gone from text (a character cut in two goes whole); n_chars follows if it is there.
-    Rows whose text was not empty and is now are left out."""
+    Rows whose text was not empty and is now are left out. With ``words``, runs that were found by a smaller ``size`` go
+    only if they hold so many whole words or 400 bytes."""
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +342,8 @@ def without_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
                 raw, got = text.as_py(), ranges.as_py()
                 if got:
                     runs = covered(raw, [(r["start"], r["windows"]) for r in got], size)
+                    if words is not None:
+                        runs = [(a, e) for a, e in runs if e - a >= 400 or whole_words(raw, a, e) >= words]
                     edges = [0, *(x for run in runs for x in run), len(raw)]
                     raw = b"".join(raw[a:e].decode(errors="ignore").encode() for a, e in zip(edges[::2], edges[1::2]))
                 out.append(raw.decode() if raw or not got else None)

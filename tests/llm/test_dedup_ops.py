@@ -199,3 +199,16 @@ def test_links_of_a_dense_group_are_whole(spark, signs):
     got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(table, signs=signs).collect()}
     links, root = Counter([*a.tolist(), *b.tolist()]), roots(len(x), list(zip(a.tolist(), b.tolist())))
     assert got == {i: (links[i], root[i]) for i in range(len(x))}
+
+
+def test_repeated_passages_go_by_words(spark):
+    import corpus_pipeline
+
+    random.seed(12)
+    say = lambda n: " ".join("".join(random.choice("abcdefghij") for _ in range(random.randint(1, 7))) for _ in range(n))
+    long, tiny, short = say(51), " ".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(51)), say(45)
+    assert len(long) < 400 and len(tiny) == 101 and len(short) > 101
+    rows = [(k, f"{say(20)}{k} {long} {k}{say(20)}{k} {tiny} {k}{say(20)}{k} {short} {k}{say(9)}") for k in (1, 2)]
+    table = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, table, "").collect()}
+    assert set(got) == {1, 2} and all(long not in t and tiny not in t and short in t for t in got.values())
