@@ -19,7 +19,8 @@ from .words import WORD, words
 
 
 class Automaton:
-    """items: (item_id, words). Items of one id are one item; items without words are left out."""
+    """items: (item_id, words). Items of one id are one item; items without words are left out; items without an id are hit
+    like any other and not named."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = 13):
         self.window = window
@@ -38,17 +39,18 @@ class Automaton:
         self.items: dict[int, set] = {}
         self.short: dict[int, dict[int, set]] = {}
         for item, run in runs:
+            named = () if item is None else (item,)
             if len(run) < window:
                 state = 0
                 for c in run:
                     state = self.next[state][c]
-                self.short.setdefault(state, {}).setdefault(len(run), set()).add(item)
+                self.short.setdefault(state, {}).setdefault(len(run), set()).update(named)
             else:
                 state, size = 0, 0
                 for c in run:
                     state, size = self.step(state, size, c)
                     if size >= window:
-                        self.items.setdefault(self._cut(state), set()).add(item)
+                        self.items.setdefault(self._cut(state), set()).update(named)
         #: for each state, the short items that end there or on the way of its links
         self.ending: list[list[tuple[int, set]]] = [[] for _ in self.length]
         for state in sorted(range(len(self.length)), key=self.length.__getitem__):
@@ -137,7 +139,7 @@ MOST_WORDS = 200_000
 def automata(benchmark: DataFrame, window: int, most_words: int = MOST_WORDS) -> Iterator[Automaton]:
     """Automata of at most ``most_words`` words each (or one item). Items are read one partition at a time."""
     held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).where("text is not null and item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("string"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).where("text is not null")
     for item, text in rows.toLocalIterator():
         tokens = words(bytes(text))
         if held and size + len(tokens) > most_words:
@@ -195,7 +197,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
 
     spans: hit runs of words; items: ids (as strings) of the items found; contaminated: at least one word in ``share`` is
     hit. A null or empty text has no words; rows that repeat and null ids stay as they are; other columns are ignored. An
-    item whose text is null or has no words is left out.
+    item whose text is null or has no words is left out; one whose id is null counts for n_hit and is not among the items.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])

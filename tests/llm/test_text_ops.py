@@ -200,3 +200,12 @@ def test_cleaned_drops_or_cuts(spark):
     assert cut[1] == "start . end" and cut[4] == rows[3][1] and len(cut) == 4
     empty = decontaminate.judged(docs(spark, rows), bench.limit(0)).collect()
     assert all(r.n_hit == 0 and not r.contaminated for r in empty)
+
+
+def test_items_without_an_id_are_hit_but_not_named(spark):
+    long, short = " ".join(f"w{k}" for k in range(15)), "one two three"
+    bench = spark.createDataFrame([(None, long), (None, short), (7, "four five six")], "item_id long, text string")
+    table = spark.createDataFrame([(1, f"so {long} so"), (2, f"{short} and"), (3, "x four five six"), (4, "none of it")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items) for r in decontaminate.judged(table, bench).collect()}
+    assert got == {1: (15, 0, []), 2: (3, 0, []), 3: (3, 1, ["7"]), 4: (0, 0, [])}
+    assert [r.doc_id for r in decontaminate.cleaned(table, bench).collect()] == [4]
