@@ -3,7 +3,7 @@
 The markup is read once into blocks: text between block-level tags, with its link characters and the parts of the page it
 lies in. First pass: blocks inside navigation, headers, footers, sidebars, forms, notices, adverts, comments and hidden
 parts are bad; the rest is judged by link density, length and, where the page uses the common words of a listed language at
-all, the density of stop words. Few stop words leave a block open, as tables and code have few. Second pass: blocks left open
+all, the density of stop words. Where an article or main part holds most of that text, what stands outside is bad. Few stop words leave a block open, as tables and code have few. Second pass: blocks left open
 take the label of the nearest decided blocks; where both sides disagree, the nearer one decides, and where the page has no
 block that is known as good, they are kept. Headings go with what they
 head. All text of good blocks is kept, whatever its length.
@@ -30,6 +30,8 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer discussion footer gdpr header menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget masthead alert complementary contentinfo paywall feedback".split()
 )
+#: fixed values: words that stand beside those without changing what they name
+BESIDE = frozenset("area bar block bottom box container inner left link links list right section site top wrap wrapper".split())
 #: fixed values: common words of the languages read
 STOP = frozenset(
     "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their if will each about how up out them then she many some so these would other into has more two her like him see time could no make than been its who now people my made over did down only way find use may long little very after words called just where most know que de la el en y a los se del las por un para con una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo otro otras otra él et les des du une est dans qui il sur pas au plus par je ne vous avec tout faire son mais comme ou si leur y dire elle avant deux bien même aussi celui der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum haben nur oder aber vor zur bis mehr durch man sein wurde sei".split()
@@ -84,16 +86,21 @@ class Reader:
             self.close("p", stop=("article", "div", "section", "main", "body", "td", "li", "blockquote", "form"))
         if name in ("li", "option", "tr", "td", "th"):
             self.close(name, stop=("ul", "ol", "table", "select", "menu"))
-        self.open.append((name, name in DROPPED or self._named(name, rest), name in MAIN or 'role="main"' in rest))
+        self.open.append((name, name in DROPPED or self._named(name, rest, any(m for _, _, m in self.open)), name in MAIN or 'role="main"' in rest))
 
     @staticmethod
-    def _named(name: str, rest: str) -> bool:
+    def _named(name: str, rest: str, inside: bool) -> bool:
+        """Whether the attributes name a part that isn't the article; within an article an id only marks a place."""
         if not rest.strip() or name in ("html", "body", "article", "main"):
             return False
         for key, a, b, c in ATTRIBUTE.findall(rest):
             key = key.lower()
-            if key in ("class", "id", "role", "aria-label") and PARTS.intersection(NAME.findall((a or b or c).lower())):
-                return True
+            if key in ("class", "role", "aria-label") or (key == "id" and not inside):
+                value = (a or b or c).lower()
+                for token in [value] if key == "aria-label" else value.split():
+                    words = set(NAME.findall(token))
+                    if words & PARTS and words <= PARTS | BESIDE:
+                        return True
             if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a or b or c)) or (key == "aria-hidden" and (a or b or c) == "true"):
                 return True
         return False
@@ -161,23 +168,25 @@ def blocks(page: str) -> list[Block]:
 
 def label(found: list[Block], few: int = 70, low: float = 0.15, linked: float = 0.4) -> None:
     """Sets ``good`` of every block."""
-    anchored = any(b.main and not b.dropped for b in found)
     counts = [(0, 0)] * len(found)
     for i, b in enumerate(found):
         if not b.dropped:
             words = WORD.findall(b.text.lower())
             counts[i] = sum(w in STOP for w in words), len(words)
     listed = sum(k for k, _ in counts) >= low * sum(n for _, n in counts)
+    told = [not b.dropped and len(b.text) >= few and b.links <= linked * len(b.text) and (not listed or c >= low * max(1, w)) for b, (c, w) in zip(found, counts)]
+    inside = sum(len(b.text) for b in found if b.main and not b.dropped)
+    # an article beside which more text stands is a teaser
+    anchored = inside > 0 and inside >= sum(len(b.text) for b, t in zip(found, told) if t and not b.main)
     for i, b in enumerate(found):
         n = len(b.text)
         if b.dropped or (anchored and not b.main):
             b.good = False
             continue
-        if b.links > linked * n and not (b.main and b.links < 0.8 * n):
+        if b.links > linked * n and not (anchored and b.links < 0.8 * n):
             b.good = False
             continue
-        density = counts[i][0] / max(1, counts[i][1])
-        b.good = True if n >= few and (not listed or density >= low) else None
+        b.good = True if told[i] else None
     undecided = [i for i, b in enumerate(found) if b.good is None]
     before, last = {}, None
     for i, b in enumerate(found):
@@ -193,7 +202,7 @@ def label(found: list[Block], few: int = 70, low: float = 0.15, linked: float =
     for i in undecided:
         left, right = before[i], after[i]
         b = found[i]
-        if b.main:
+        if anchored:
             # neighbours within the same part of the page; a part without any is taken whole
             near = [found[k].good for k in (left, right) if k is not None and found[k].main and not found[k].dropped]
             decided[i] = True if not near else any(near)

@@ -109,6 +109,14 @@ def test_pages_of_other_languages_tables_and_short_paragraphs_are_kept():
     assert html.main_text(f"{nav}<p>It rained.</p><p>We went home.</p>") == "It rained.\n\nWe went home."
 
 
+def test_teasers_and_part_names():
+    said = "This is what the people of the town said when they were asked about it by the man who had come to see them."
+    page = f"<div><h1>Head</h1><p>{said}</p><p>Yes.</p><p>{said}</p></div><article><p>Read this.</p></article>"
+    assert html.main_text(page).startswith("\n\n".join(["Head", said, "Yes.", said]))
+    parts = f'<article><p>{said}</p><section id="discussion"><p>{said}</p></section><div class="social-history"><p>{said}</p></div><div class="comments-area x"><p>{said}</p></div></article>'
+    assert html.main_text(parts) == "\n\n".join([said] * 3)
+
+
 def test_odd_pages(spark):
     cut = "<article><p>Whole words</p><p>cut &am"
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<"), (4, "u", cut), (5, "u", cut + "<p cla"), (6, "u", "<article>" + "<p>w x</p>" * 20000), (7, "u", "a < b <3 <b>c</b>"), (7, "u", "<article><p title='a>b'>x</p>")]
