@@ -202,3 +202,27 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     named = known.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = scratch.cut(known.join(named, "root").select("fp", "component_id"), "classes")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
+    """One row of ``docs`` (doc_id, text and others) for each component: that with the smallest doc_id, then the smallest
+    hash of its text; rows without a doc_id come last. Rows that share a doc_id are judged each by its own text."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    key = ["own id", "text hash"]
+    told = docs.withColumn(key[0], F.col("doc_id").cast("long")).withColumn(key[1], F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=[*key, "fp"])
+
+    kinds = f"`{key[0]}` long, `{key[1]}` long, fp long"
+    fps = scratch.cut(told.select(*key, F.encode("text", "UTF-8").alias("text")).mapInArrow(run, kinds), "fps")
+    distinct = scratch.cut(fps.select("fp").distinct(), "distinct")
+    roots = components(links(distinct, scratch, distance), scratch)
+    known = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    rows = fps.join(known, "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col(key[0]).isNull().alias("without"), *(F.col(k) for k in key))).alias("k"))
+    chosen = scratch.cut(first.select(F.col(f"k.`{key[0]}`").alias("keep id"), F.col(f"k.`{key[1]}`").alias("keep hash")), "chosen")
+    same = told[key[0]].eqNullSafe(chosen["keep id"]) & (told[key[1]] == chosen["keep hash"])
+    return told.join(chosen, same, "left_semi").dropDuplicates(key).select(*docs.columns)

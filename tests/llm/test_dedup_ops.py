@@ -212,3 +212,15 @@ def test_repeated_passages_go_by_words(spark):
     table = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, table, "").collect()}
     assert set(got) == {1, 2} and all(long not in t and tiny not in t and short in t for t in got.values())
+
+
+def test_pipeline_drops_only_members_of_one_group(spark):
+    import corpus_pipeline
+
+    random.seed(3)
+    say = lambda: " ".join("".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    a, b, c, d = say(), say(), say(), say()
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (None, d), (None, say()), (3, c)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (3, d), (None, rows[6][1])], key=str)
