@@ -131,13 +131,15 @@ def pack(pieces: DataFrame, scratch: Scratch, size: int = 4096, full: float = 0.
     """
     least = int(size * full)
     item = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
+    # spread by a hash, so that a task has all lengths where the input is sorted by them
+    pieces = pieces.repartition(pieces.rdd.getNumPartitions() or 1, F.xxhash64("doc_id", "piece", "ids_crc32"))
     now = pieces.select(F.lit("").alias("bin"), F.col("length").alias("fill"), F.array(item).alias("pieces"))
     done, level, before, tasks = [], 0, None, None
     while True:
         bins = scratch.cut(now.mapInArrow(_pack(size, least, level, chunk), BIN), f"bins{level}")
         open_bins = bins.where(F.col("fill") < least)
         n = open_bins.count()
-        if n <= 1 or tasks == 1 or (before is not None and n > 0.98 * before):
+        if n <= 1 or tasks == 1 or (before is not None and bins.count() >= before):
             done.append(bins)
             break
         done.append(bins.where(F.col("fill") >= least))

@@ -209,3 +209,12 @@ def test_items_without_an_id_are_hit_but_not_named(spark):
     got = {r.doc_id: (r.n_hit, r.n_items, r.items) for r in decontaminate.judged(table, bench).collect()}
     assert got == {1: (15, 0, []), 2: (3, 0, []), 3: (3, 1, ["7"]), 4: (0, 0, [])}
     assert [r.doc_id for r in decontaminate.cleaned(table, bench).collect()] == [4]
+
+
+def test_lengths_that_cluster_by_partition_are_mixed(spark):
+    from tapeloom.llm.store import Scratch
+
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    make = lambda at, n: spark.createDataFrame([(at + k, 0, 0, n, at + k) for k in range(400)], kind).coalesce(1)
+    placed = packing.pack(make(0, 2100).union(make(1000, 1900)), Scratch(spark, "cluster"))
+    assert placed.count() == 800 and placed.select("sequence_id").distinct().count() <= 440
