@@ -1,10 +1,11 @@
 """License scan with a positional rare-token index.
 
-Templates are short texts of licences. Each is indexed by its rarest words: every place of a template's anchor word in a
-file proposes the template's start there. The template's other words are then looked up by their position relative to that
-start (postings of the file's licence words), their inverse document frequencies added up, and a proposal counts if enough
-of them agree and one of the template's mandatory phrases stands word for word at its place. Document frequencies are those
-of all files scanned; a phrase holds its own rarest word, so no place of a phrase can be missed.
+Templates are names and sentences of licences. A file's licence words are looked up from the highest inverse document
+frequency down; each has postings in the templates of which a mandatory phrase has it as its rarest word, and each of its
+places in the file proposes the start of such a template. The template's other words are then looked up by their position
+relative to that start, their inverse document frequencies added up, and a proposal counts if enough of them agree and one
+of the template's mandatory phrases stands word for word at its place. Document frequencies are those of all files scanned;
+a phrase holds its own rarest word, so no place of a phrase can be missed.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .words import words
+from .workers import in_arrow, parts
 
 
 @dataclass(frozen=True)
@@ -37,22 +39,47 @@ BASE = (
     Template("cc-by", "cc by", base=True),
     Template("mit", "mit license", base=True),
 )
-#: fixed values: public licence names and openings
-MORE = (
+#: fixed values: names of public licences
+NAMES = (
     Template("lgpl", "gnu lesser general public license"),
     Template("agpl", "gnu affero general public license"),
     Template("mpl", "mozilla public license"),
     Template("epl", "eclipse public license"),
     Template("bsd", "bsd license"),
     Template("isc", "isc license"),
+    Template("zlib", "zlib license"),
+    Template("boost", "boost software license"),
+    Template("artistic", "artistic license"),
     Template("cc0", "cc0 1 0 universal"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",), 0.7),
+    Template("cc-by-nc", "cc by nc"),
+    Template("cc-by-nd", "cc by nd"),
+    Template("cc-by-sa", "cc by sa"),
+)
+#: fixed values: sentences of public licences, each with the phrases of which one must stand in it word for word; a sentence
+#: is a template of its own, so that words put in or left out elsewhere don't shift it
+BODIES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("hereby granted free of charge", "any person obtaining a copy of this software"), 0.7),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("shall be included in all copies or substantial portions of the software",), 0.7),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",), 0.7),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("must reproduce the above copyright notice this list of conditions",), 0.7),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("may be used to endorse or promote products derived from this software",), 0.6),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee is hereby granted",), 0.7),
-    Template("cc-by-nc", "cc by nc"),
-    Template("cc-by-sa", "cc by sa"),
+    Template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("you may not use this file except in compliance with the license",), 0.7),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("software distributed under the license is distributed on an as is basis",), 0.7),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("under the terms of the gnu general public license as published by the free software foundation",), 0.7),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("under the terms of the gnu lesser general public license as published by the free software foundation",), 0.7),
+    Template("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("under the terms of the gnu affero general public license as published by the free software foundation",), 0.7),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("this source code form is subject to the terms of the mozilla public license",), 0.7),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("made available under the terms of the eclipse public license",), 0.7),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",), 0.7),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable for any damages arising from the use of this software",), 0.7),
+    Template("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization obtaining a copy of the software",), 0.7),
+    Template("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",), 0.7),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("licensed under a creative commons attribution 4 0 international license",), 0.7),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("licensed under a creative commons attribution sharealike 4 0 international license",), 0.7),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("licensed under a creative commons attribution noncommercial 4 0 international license",), 0.7),
 )
+MORE = (*NAMES, *BODIES)
 TEMPLATES = (*BASE, *MORE)
 
 
@@ -120,7 +147,7 @@ def frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> tuple[int,
                     count[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array([b"", *vocabulary], pa.binary()), pa.array([n, *(count[w] for w in vocabulary)], pa.int64())], names=["word", "n"])
 
-    got = docs.select(F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    got = in_arrow(docs.select(F.encode(F.col("text").cast("string"), "UTF-8").alias("text")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {bytes(r["word"]): r["n"] for r in got}
     return found.pop(b"", 0), {w: found.get(w, 0) for w in vocabulary}
 
@@ -129,7 +156,8 @@ def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Dat
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) for each row of ``docs``.
 
     A null or empty text has no words and no matches: counts 0, places null, labels empty, score 0. Matches are (label,
-    start, score). Repeated rows are scanned as often as they occur; null ids stay null; other columns are ignored.
+    start, score), by start and then by template. Repeated rows are scanned as often as they occur; null ids stay null; other
+    columns are ignored; an empty table gives no rows; a very long text is one list of words at a time.
     """
     n, df = frequencies(docs, templates)
     idf = {w: log((n + 1) / (c + 1)) + 1 for w, c in df.items()}
@@ -139,7 +167,7 @@ def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Dat
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), match]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 tokens = words(text.as_py())
@@ -155,4 +183,4 @@ def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     kind = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,start:bigint,score:double>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).mapInArrow(run, kind)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")), run, kind)
