@@ -6,6 +6,9 @@ claims; and so on until a level claims nothing wrongly. A key of the universe is
 levels, and no join is needed. The first level's error rate is set so that the second holds about as many keys as the list
 (0.7 of it), so all levels are in proportion to the list and to the logarithm of the universe.
 
+A level is one array of words, written to the shared folder and probed as the value of a scalar subquery, which each executor
+gets once; so a long list needs room for its filter and nothing else changes with its length.
+
 A key is a host suffix and a path prefix. A url has one for each pair of its suffixes (as many labels as listed hosts have)
 and prefixes (as long as listed paths are).
 """
@@ -20,8 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .store import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: bits of all levels that are put into a plan; a longer list is joined instead
-MOST_BITS = 1 << 23
+#: the most bits of a level, half of what one value can hold; a list that needs more raises an error
+MOST_BITS = 1 << 33
+#: share of the other side that a level after the first claims: a half would take the least room and three times the levels
+AGAIN = 0.125
 
 
 @dataclass
@@ -29,13 +34,12 @@ class Level:
     bits: int
     hashes: int
     seed: int
-    words: list[int]
+    words: DataFrame  # one row with the array
 
     def holds(self, key: Column) -> Column:
-        array = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
         out = F.lit(True)
         for at in _places(key, self):
-            word = F.element_at(array, (F.shiftright(at, 6) + 1).cast("int"))
+            word = F.element_at(self.words.scalar(), (F.shiftright(at, 6) + 1).cast("int"))
             out = out & _bit(word, at)
         return out
 
@@ -48,15 +52,19 @@ def _places(key: Column, level: Level) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level.seed * 1000 + i)), F.lit(level.bits)) for i in range(level.hashes)]
 
 
-def _level(keys: DataFrame, n: int, wrong: float, seed: int) -> Level:
+def _level(keys: DataFrame, n: int, wrong: float, seed: int, scratch: Scratch, tag: str) -> Level:
     """A filter that holds ``keys`` (column key) and claims others with probability ``wrong``."""
     bits = max(64, ceil(1.45 * n * log2(1 / wrong)))
-    level = Level(bits, max(1, round(log2(1 / wrong))), seed, [])
+    if bits > MOST_BITS:
+        raise ValueError(f"{n} listed keys need a filter of {bits} bits, which one value can't hold: split the list")
+    level = Level(bits, max(1, round(log2(1 / wrong))), seed, keys)
     at = keys.select(F.explode(F.array(*_places(F.col("key"), level))).alias("at"))
-    got = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
-    level.words = [0] * (bits // 64 + 1)
-    for r in got.collect():  # at most bits / 64 rows
-        level.words[r["word"]] = r["bits"]
+    set_ = at.select(F.shiftright("at", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("bits"))
+    every = scratch.spark.range(bits // 64 + 1).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = set_.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    parts = words.groupBy(F.shiftright("word", 12).alias("part")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w"))
+    parts = parts.select(F.struct("part", F.transform("w", lambda x: x["bits"]).alias("bits")).alias("p"))
+    level.words = scratch.cut(parts.agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["bits"])).alias("words")), tag)
     return level
 
 
@@ -68,25 +76,23 @@ def member(levels: list[Level], key: Column) -> Column:
     return out
 
 
-def cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, tag: str, most_bits: int = MOST_BITS) -> list[Level] | None:
-    """Levels for the keys of ``listed`` among those of ``universe`` (column key, repeats don't matter).
-
-    None if the levels would take more than ``most_bits``. No keys: one empty level.
-    """
+def cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, tag: str, most: int = 100) -> list[Level]:
+    """Levels for the keys of ``listed`` among those of ``universe`` (column key, repeats don't matter). No keys: one empty
+    level. Each level holds about an eighth of the keys of the last but one, so ``most`` levels are never reached."""
     listed = scratch.cut(listed.select("key").where("key is not null").distinct(), f"{tag}-listed")
     r = listed.count()
     s = universe.agg(F.approx_count_distinct("key", 0.02).alias("n")).first()["n"]
     wrong = min(0.5, 0.7 * max(r, 1) / max(s, 1))
-    if 1.45 * r * (log2(1 / wrong) + 6) > most_bits:
-        return None
-    levels = [_level(listed, r, wrong, 1)]
+    levels = [_level(listed, r, wrong, 1, scratch, f"{tag}-1")]
     through = universe.select("key").where(levels[0].holds(F.col("key"))).groupBy("key").agg(F.lit(0).alias("in_list"))
     known = through.unionByName(listed.withColumn("in_list", F.lit(1))).groupBy("key").agg(F.max("in_list").alias("in_list"))
     known = scratch.cut(known, f"{tag}-known")
     claimed = [known.where("in_list = 1"), known.where("in_list = 0")]
-    while (n := claimed[len(levels) % 2].count()) and len(levels) < 100:
+    while n := claimed[len(levels) % 2].count():
+        if len(levels) == most:
+            raise RuntimeError(f"{n} keys are still told wrongly after {most} levels")
         own, other = claimed[len(levels) % 2], claimed[1 - len(levels) % 2]
-        levels.append(_level(own, n, 0.5, len(levels) + 1))
+        levels.append(_level(own, n, AGAIN, len(levels) + 1, scratch, f"{tag}-{len(levels) + 1}"))
         claimed[1 - (len(levels) - 1) % 2] = other.where(levels[-1].holds(F.col("key")))
     return levels
 
@@ -107,17 +113,20 @@ def keys_of(host: Column, path: Column, labels: int, lengths: list[int]) -> Colu
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
-def filtered(pages: DataFrame, rules: DataFrame, blocked: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+def filtered(pages: DataFrame, rules: DataFrame, blocked: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages`` (page_id, url).
 
     rules: (host, path, verdict allow or block); the longest that fits decides, block if the same rule says both. Urls that
     no rule fits are blocked if a (host, path) of ``blocked`` fits, else allowed. A url that is null or has no ``://`` has
-    an empty host and path, which no rule with a host fits. Repeated rows and rules don't matter, other columns neither.
+    an empty host and path, which no rule with a host fits. Repeated rows and rules don't matter, other columns neither; a
+    null page_id stays null; an empty table gives no rows, an empty list no verdict of its own.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
     host, path = host_and_path(F.col("url"))
+    # with a number for each row, which must not change when a lost task is run again: written once
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    base = scratch.cut(base.withColumn("row", F.monotonically_increasing_id()), "base")
 
     def shape(listed: DataFrame) -> tuple[int, list[int]]:
         got = listed.agg(F.max(F.size(F.split("host", r"\.", -1))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()
@@ -126,38 +135,22 @@ def filtered(pages: DataFrame, rules: DataFrame, blocked: DataFrame, most_bits:
     def keyed(listed: DataFrame) -> DataFrame:
         return listed.withColumn("key", F.concat("host", "path"))
 
-    def asked(labels: int, lengths: list[int]) -> DataFrame:
-        return base.select(F.explode(keys_of(F.col("host"), F.col("path"), labels, lengths)).alias("key"))
-
     rules, blocked = keyed(rules), keyed(blocked)
-    shapes = [shape(rules), shape(blocked)]
-    listed = cascade(rules, asked(*shapes[0]), scratch, "rules", most_bits)
-    other = cascade(blocked, asked(*shapes[1]), scratch, "blocked", most_bits)
-    stop = cascade(rules.where("verdict = 'block'"), rules, scratch, "verdicts", most_bits)
-    if listed is None or other is None or stop is None:
-        return _joined(base, rules, blocked, shapes)
-    fits = F.filter(keys_of(F.col("host"), F.col("path"), *shapes[0]), lambda k: member(listed, k))
-    longest = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))
-    also = F.exists(keys_of(F.col("host"), F.col("path"), *shapes[1]), lambda k: member(other, k))
-    out = base.withColumn("rule", longest["key"]).withColumn("also", also)
+    asked = [keys_of(F.col("host"), F.col("path"), *shape(x)) for x in (rules, blocked)]
+    listed, other = (cascade(x, base.select(F.explode(keys).alias("key")), scratch, tag) for x, keys, tag in ((rules, asked[0], "rules"), (blocked, asked[1], "blocked")))
+    stop = cascade(rules.where("verdict = 'block'"), rules, scratch, "verdicts")
+    # a url's keys as rows, and one row without a key that always stays
+    def marked(n: int, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(n).alias("list"), k.alias("key")))
+
+    none = F.struct(F.lit(2).alias("list"), F.lit(None).cast("string").alias("key"))
+    as_rows = F.array_append(F.concat(*(marked(n, keys) for n, keys in enumerate(asked))), none)
+    each = base.select("row", "page_id", "host", "path", F.explode(as_rows).alias("k")).select("row", "page_id", "host", "path", "k.list", "k.key")
+    fits = F.when(F.col("list") == 0, member(listed, F.col("key"))).when(F.col("list") == 1, member(other, F.col("key"))).otherwise(True)
+    longest = F.max(F.when(F.col("list") == 0, F.struct(F.length("key").alias("n"), "key")))
+    judged = each.where(fits).groupBy("row", "page_id", "host", "path").agg(longest["key"].alias("rule"), F.max(F.col("list") == 1).alias("also"))
     blocks = F.when(F.col("rule").isNotNull(), member(stop, F.col("rule"))).otherwise(F.col("also"))
-    return out.select("page_id", "host", "path", "rule", F.when(blocks, "block").otherwise("allow").alias("verdict"))
-
-
-def _joined(base: DataFrame, rules: DataFrame, blocked: DataFrame, shapes: list) -> DataFrame:
-    """The same for lists that are too long for a plan: distinct keys of distinct urls are joined with them."""
-    urls = base.select("host", "path").distinct()
-
-    def met(listed: DataFrame, labels: int, lengths: list[int]) -> DataFrame:
-        keys = urls.select("host", "path", F.explode(keys_of(F.col("host"), F.col("path"), labels, lengths)).alias("key"))
-        return keys.join(listed, "key")
-
-    one = rules.groupBy("key").agg(F.max("verdict").alias("verdict"))
-    best = met(one, *shapes[0]).groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("b"))
-    also = met(blocked.select("key").distinct(), *shapes[1]).select("host", "path").distinct().withColumn("also", F.lit(True))
-    judged = urls.join(best, ["host", "path"], "left").join(also, ["host", "path"], "left")
-    judged = judged.select("host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.when(F.col("also"), "block"), F.lit("allow")).alias("verdict"))
-    return base.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")
+    return judged.select("page_id", "host", "path", "rule", F.when(blocks, "block").otherwise("allow").alias("verdict"))
 
 
 #: fixed values: the rules of the contract, and hosts that this filter blocks where no rule fits
