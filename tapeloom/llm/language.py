@@ -13,7 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .workers import in_arrow, parts
 
 LETTER = regex.compile(r"\p{L}")
 WINDOW = 256
@@ -76,8 +78,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], widths: tuple[int, ...] = (2, 3, 4, 5), each: int = 8, d: int = 8, epochs: int = 12, rate: float = 0.01, batch: int = 64, seed: int = 5) -> Model:
-    """Adam on cross-entropy; each label weighs the same. Windows are drawn anew in each epoch, some of them short."""
+def train(texts: list[list[bytes]], labels: list[str], widths: tuple[int, ...] = (2, 3, 4, 5), each: int = 8, d: int = 8, epochs: int = 12, rate: float = 0.01, batch: int = 64, seed: int = 5) -> Model:
+    """Adam on cross-entropy; each label weighs the same. A text is a list of parts; in each epoch a window is drawn anew from
+    one of them, some of them short."""
     names = sorted(set(labels))
     y = np.array([names.index(v) for v in labels])
     rng = np.random.default_rng(seed)
@@ -97,8 +100,9 @@ def train(texts: list[bytes], labels: list[str], widths: tuple[int, ...] = (2, 3
             x = np.full((len(some), WINDOW), 256, np.int16)
             for k, i in enumerate(some):
                 size = WINDOW if rng.random() < 0.6 else int(rng.integers(12, WINDOW))
-                begin = int(rng.integers(0, max(1, len(texts[i]) - size + 1)))
-                part = np.frombuffer(texts[i][begin : begin + size], np.uint8)
+                own = texts[i][int(rng.integers(0, len(texts[i])))]
+                begin = int(rng.integers(0, max(1, len(own) - size + 1)))
+                part = np.frombuffer(own[begin : begin + size], np.uint8)
                 x[k, : len(part)] = part
             patches, r = m.pooled(x)
             arg = r.argmax(1)
@@ -129,25 +133,30 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, per_label: int = 1500, most_bytes: int = 2048, seed: int = 5) -> Model | None:
+def fit(docs: DataFrame, per_label: int = 1500, spread: int = 8, seed: int = 5) -> Model | None:
     """A model of the rows of ``docs`` that aren't held out and have a lang; None if there are none.
 
-    At most about ``per_label`` rows of each label are taken, chosen by a hash of doc_id with a share that the label's count
-    gives, and at most ``most_bytes`` bytes of each from a place that the same hash gives: this sample is what bounds the
-    driver's memory. Labels are expected to be few (up to some hundreds).
+    At most ``per_label`` rows of each label are taken, those with the smallest hashes of doc_id and text (of rows that are
+    alike in both, any): this bound, with ``spread`` parts of ``WINDOW`` bytes that lie evenly over the whole of each text,
+    is what bounds the driver's memory. Labels are expected to be few (up to some hundreds).
     """
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_label / n)))))
-    h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-    raw = F.encode("text", "UTF-8")
-    size = F.octet_length("text")
-    begin = F.when(size > most_bytes, F.pmod(F.xxhash64("doc_id"), (size - most_bytes).cast("long")) + 1).otherwise(1).cast("int")
-    taken = rows.where(h < share[F.col("lang")] * (1 << 30)).select("doc_id", "lang", raw.substr(begin, F.lit(most_bytes)).alias("text"))
-    got = sorted(((r["doc_id"] or 0, r["lang"], bytes(r["text"]).decode(errors="ignore").lower().encode()) for r in taken.limit(2 * per_label * len(counts)).collect() if len(r["text"])), key=lambda r: r[:2])
-    return train([r[2] for r in got], [r[1] for r in got], seed=seed) if got else None
+    # about twice as many are let through by their hash, and of these the first ones count exactly
+    share = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 2 * per_label / n)))))
+    h = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30))
+    size, raw = F.octet_length("text"), F.encode("text", "UTF-8")
+    begin = lambda k: (F.greatest(size - WINDOW, F.lit(0)) * k / max(1, spread - 1)).cast("int") + 1
+    own = F.when(size <= spread * WINDOW, F.array(raw)).otherwise(F.array(*(raw.substr(begin(k), F.lit(WINDOW)) for k in range(spread))))
+    taken = rows.withColumn("h", h).where(F.col("h") < share[F.col("lang")] * (1 << 30)).select("doc_id", "lang", "h", own.alias("own"))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "own")
+    got = taken.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_label).collect()
+    made = [(r["h"], r["lang"], [bytes(p).decode(errors="ignore").lower().encode() for p in r["own"]]) for r in got]
+    made = sorted(((h, lang, [p for p in parts_ if p]) for h, lang, parts_ in made), key=lambda r: r[:3])
+    made = [r for r in made if r[2]]
+    return train([r[2] for r in made], [r[1] for r in made], seed=seed) if made else None
 
 
 def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -156,25 +165,24 @@ def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("l
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                texts = part.column(columns.index("text")).to_pylist()
-                good = [i for i, t in enumerate(texts) if model is not None and t and LETTER.search(t)]
-                lang, score = ["und"] * len(texts), [0.0] * len(texts)
-                if good:
-                    p = softmax(model.of_texts([texts[i].lower().encode() for i in good]))
-                    for i, k, q in zip(good, p.argmax(1).tolist(), p.max(1).tolist()):
-                        lang[i], score[i] = model.labels[k], q
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score, pa.float64())], names=[*columns, *names])
+        for part in parts(batches):
+            texts = part.column(columns.index("text")).to_pylist()
+            good = [i for i, t in enumerate(texts) if model is not None and t and LETTER.search(t)]
+            lang, score = ["und"] * len(texts), [0.0] * len(texts)
+            if good:
+                p = softmax(model.of_texts([texts[i].lower().encode() for i in good]))
+                for i, k, q in zip(good, p.argmax(1).tolist(), p.max(1).tolist()):
+                    lang[i], score[i] = model.labels[k], q
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score, pa.float64())], names=[*columns, *names])
 
-    return docs.mapInArrow(run, kinds)
+    return in_arrow(docs, run, kinds)
 
 
 def identified(docs: DataFrame, per_label: int = 1500) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs`` (doc_id, text, lang), fitted on its own labelled rows.
 
-    Null or letterless texts are `und`; a null doc_id isn't held out; repeated rows and other columns don't matter.
+    Null or letterless texts are `und`; a null doc_id isn't held out; repeated rows and other columns don't matter; of equal
+    scores the first label in order counts; a very long text is read in windows; an empty table gives no rows.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     got = predicted(named.select("doc_id", "text"), fit(named, per_label))
