@@ -43,6 +43,7 @@ class Template:
 
 
 LLAMA = Template()
+STRETCH = 256
 
 
 def escaped(text: Column, template: Template) -> Column:
@@ -101,9 +102,15 @@ def formatted(conversations: DataFrame, template: Template = LLAMA) -> DataFrame
         more = F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), n.alias("length"))))
         return F.struct((s["at"] + n).alias("at"), F.when(g["loss"], more).otherwise(s["spans"]).alias("spans"))
 
+    def stretch(s: Column, some: Column) -> Column:
+        begin = F.struct(s["at"].alias("at"), none["spans"].alias("spans"))
+        return F.aggregate(some, begin, span, lambda r: F.struct(r["at"].alias("at"), F.concat(s["spans"], r["spans"]).alias("spans")))
+
+    # spans are gathered a stretch at a time: each gathering copies what it has, so by single segments it would be quadratic
+    stretches = F.transform(F.sequence(F.lit(0), F.size("segments"), F.lit(STRETCH)), lambda at: F.slice(F.col("segments"), at + 1, STRETCH))
     return told.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.col("machine.state").isin(*template.accepts).alias("valid"), F.col("machine.bad").alias("bad_turn"), "segments",
-        F.array_join(F.transform("segments", lambda g: g["text"]), "").alias("formatted"), F.aggregate("segments", none, span)["spans"].alias("loss_spans"),
+        F.array_join(F.transform("segments", lambda g: g["text"]), "").alias("formatted"), F.aggregate(stretches, none, stretch)["spans"].alias("loss_spans"),
     )
 
 
