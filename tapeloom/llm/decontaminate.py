@@ -4,6 +4,9 @@ The automaton accepts every run of words that stands in some item. A text's word
 length of the longest run that ends at each word. Where that reaches ``window`` words, or a whole item that is shorter,
 the window that ends there is an occurrence and its words are hit. Runs of words that no item has reset the automaton,
 so only runs of known words that are long enough for some window are streamed.
+
+Which items a text can touch is told beforehand by hashes of all windows of all items: texts without any are done, and the
+automaton need hold no other items than those that are touched, so a long benchmark takes one pass over the corpus too.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import Scratch
 from .words import WORD, words
+from .workers import in_arrow, parts
 
 
 class Automaton:
@@ -132,22 +136,113 @@ class Automaton:
         return runs, found
 
 
-#: an automaton takes about 700 bytes a word; items beyond this many words are taken in parts
-MOST_WORDS = 200_000
+#: an automaton takes about 700 bytes a word and holds at most so many words (or one item); hashes of the windows take about
+#: 30 bytes a word, and a benchmark of more words than the second number is taken in written passes
+MOST_WORDS, MOST_HASHED = 200_000, 5_000_000
+_MULT = 0x9E3779B97F4A7C15
+_STRETCH = 1 << 16
+
+
+def _powers(x: int, n: int) -> np.ndarray:
+    steps = np.full(n, x, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def automata(benchmark: DataFrame, window: int, most_words: int = MOST_WORDS) -> Iterator[Automaton]:
-    """Automata of at most ``most_words`` words each (or one item). Items are read one partition at a time."""
+class Windows:
+    """Items and the hashes of their windows; ``touched`` tells which items' windows a text may hold."""
+
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = 13, most: int = MOST_WORDS):
+        self.window, self.most = window, most
+        self.ids, self.vocabulary, self.runs = [], {}, []
+        for item, tokens in items:
+            if tokens:
+                self.ids.append(item)
+                self.runs.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens], np.int32))
+        self.spoken = list(self.vocabulary)
+        self.least = min([min(window, len(r)) for r in self.runs], default=window)
+        self.n_words = sum(map(len, self.runs))
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, run in enumerate(self.runs):
+            n = min(window, len(run))
+            found.setdefault(n, []).append((self._hashes(run, n), k))
+        #: window length -> (places that some hash falls into, hashes in order, their items)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, some in sorted(found.items()):
+            h, k = np.concatenate([x for x, _ in some]), np.concatenate([np.full(len(x), k, np.int32) for x, k in some])
+            order = np.argsort(h, kind="stable")
+            places = np.zeros(1 << self._bits(len(h)), np.bool_)
+            places[h >> np.uint64(64 - self._bits(len(h)))] = True
+            self.tables[n] = places, h[order], k[order]
+
+    @staticmethod
+    def _bits(n: int) -> int:
+        return max(10, int(n).bit_length() + 1)
+
+    def _hashes(self, run: np.ndarray, n: int) -> np.ndarray:
+        """A hash for each window of n words, in stretches; windows that a word of no item stands in (-1) are told alike."""
+        if not hasattr(self, "_up"):
+            size = _STRETCH + self.window
+            self._up, self._down = _powers(_MULT, size), _powers(pow(_MULT, -1, 1 << 64), size)
+        out = []
+        for at in range(0, max(1, len(run) - n + 1), _STRETCH):
+            part = run[at : at + _STRETCH + n - 1].astype(np.int64)
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_mixed((part + 2).astype(np.uint64)) * self._up[: len(part)], out=total[1:])
+            out.append(_mixed((total[n:] - total[:-n]) * self._down[: len(part) - n + 1]))
+        return np.concatenate(out)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_up", "_down")}
+
+    def numbered(self, tokens: list[bytes]) -> np.ndarray:
+        return np.array([-1 if c is None else c for c in map(self.vocabulary.get, tokens)], np.int64)
+
+    def touched(self, known: np.ndarray) -> set[int]:
+        """Items of which a window may stand in a text, given as numbers of its words."""
+        gaps = np.flatnonzero(np.r_[True, known < 0, True])
+        if not self.tables or np.diff(gaps).max() <= self.least:
+            return set()
+        out: set[int] = set()
+        for n, (places, hashes, items) in self.tables.items():
+            if len(known) < n:
+                continue
+            h = self._hashes(known, n)
+            h = np.unique(h[places[h >> np.uint64(64 - self._bits(len(hashes)))]])
+            first, last = (np.searchsorted(hashes, h, side) for side in ("left", "right"))
+            for a, b in zip(first[last > first].tolist(), last[last > first].tolist()):
+                out.update(items[a:b].tolist())
+        return out
+
+    def automaton(self, held: tuple[set[int], Automaton] | None, need: set[int]) -> tuple[set[int], Automaton]:
+        """Items and an automaton of them that has all of ``need``: ``held`` if it has, else a new one."""
+        if held is not None and need <= held[0]:
+            return held
+        size = lambda some: sum(len(self.runs[k]) for k in some)
+        items = set(range(len(self.runs))) if self.n_words <= self.most else need | (held[0] if held else set())
+        if size(items) > self.most:
+            items = need
+        return items, Automaton([(self.ids[k], [self.spoken[c] for c in self.runs[k].tolist()]) for k in sorted(items)], self.window)
+
+
+def windows(benchmark: DataFrame, window: int, most_words: int) -> Iterator[Windows]:
+    """The items' windows, of at most ``most_words`` words (or one item) at once. Items are read one partition at a time."""
     held, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).where("text is not null")
     for item, text in rows.toLocalIterator():
         tokens = words(bytes(text))
         if held and size + len(tokens) > most_words:
-            yield Automaton(held, window)
+            yield Windows(held, window)
             held, size = [], 0
         held.append((item, tokens))
         size += len(tokens)
-    yield Automaton(held, window)
+    yield Windows(held, window)
 
 
 SPANS = "array<struct<from:bigint,to:bigint>>"
@@ -157,8 +252,8 @@ MARKS = ("hit spans", "hit items", "all words")
 def annotated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` (text as binary) with the columns ``MARKS``.
 
-    A benchmark of over ``MOST_WORDS`` words is taken in parts of that size: each is broadcast for a pass of its own, which
-    is written before the next part is read, so neither the driver nor an executor holds more than one part.
+    The windows' hashes are broadcast, of at most ``MOST_HASHED`` words; a longer benchmark is taken in parts of that size,
+    and what one part gives is written before the next is read, so neither the driver nor an executor holds more than one.
     """
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
     rest = [c for c in docs.columns if c != "text"]
@@ -166,12 +261,15 @@ def annotated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFr
 
     def over(shared) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for b in batches:
+            known, held = shared.value, None
+            for b in parts(batches):
                 n, spans, items = [], [], []
                 for text, old, had in zip(b.column("text"), b.column(MARKS[0]), b.column(MARKS[1])):
                     tokens = words(text.as_py())
-                    runs, found = automaton.scan(tokens)
+                    runs, found = [], set()
+                    if len(tokens) >= known.least and (need := known.touched(known.numbered(tokens))):
+                        held = known.automaton(held, need)
+                        runs, found = held[1].scan(tokens)
                     if old.as_py():
                         runs = joined([*runs, *((s["from"], s["to"]) for s in old.as_py())])
                     n.append(len(tokens))
@@ -183,12 +281,12 @@ def annotated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFr
 
     scratch, shared = Scratch(docs.sparkSession, "decontaminate"), None
     now = docs.select(*(F.col(f"`{c}`") for c in rest), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"), F.lit(None).cast(SPANS).alias(MARKS[0]), F.lit(None).cast("array<string>").alias(MARKS[1]))
-    for k, automaton in enumerate(automata(benchmark, window)):
+    for k, known in enumerate(windows(benchmark, window, MOST_HASHED)):
         if shared is not None:
             now = scratch.cut(now, f"part{k}").drop(MARKS[2])
             shared.destroy()
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        now = now.mapInArrow(over(shared), kinds)
+        shared = docs.sparkSession.sparkContext.broadcast(known)
+        now = in_arrow(now, over(shared), kinds)
     return now
 
 
@@ -197,7 +295,9 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
 
     spans: hit runs of words; items: ids (as strings) of the items found; contaminated: at least one word in ``share`` is
     hit. A null or empty text has no words; rows that repeat and null ids stay as they are; other columns are ignored. An
-    item whose text is null or has no words is left out; one whose id is null counts for n_hit and is not among the items.
+    item whose text is null or has no words is left out; one whose id is null counts for n_hit and is not among the items;
+    items that repeat count once. A very long text is hashed in stretches and streamed. No documents give no rows, no items
+    no hits.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
@@ -229,12 +329,12 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int
         return marked.where(~bad).withColumn("text", F.decode("text", "UTF-8")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts = [without_spans(t, [(s["from"], s["to"]) for s in runs]).decode() if cut else t if t is None else t.decode() for t, runs, cut in zip(*(b.column(c).to_pylist() for c in ("text", MARKS[0], "cut")))]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), pa.array(texts, pa.string())], names=[*(f.name for f in rest), "text"])
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string"])
-    out = marked.withColumn("cut", bad).mapInArrow(run, kinds)
+    out = in_arrow(marked.withColumn("cut", bad), run, kinds)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
