@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .workers import in_arrow, parts
+
 #: fixed values: element names of the HTML standard
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,24 +56,26 @@ class Block:
 
 @dataclass
 class Reader:
-    """Block reader; ``open`` holds (name, dropped here, main part) of the open elements."""
+    """Block reader. ``open`` holds (name, dropped here, main part) of the open elements, ``at`` the places of each name in it
+    and ``count`` how many are dropped, main parts or headings, so that no step depends on how deep the page is nested."""
 
     blocks: list[Block] = field(default_factory=list)
     open: list[tuple[str, bool, bool]] = field(default_factory=list)
+    at: dict[str, list[int]] = field(default_factory=dict)
+    count: dict[str, int] = field(default_factory=lambda: {"dropped": 0, "main": 0, "heading": 0})
     parts: list[str] = field(default_factory=list)
     links: int = 0
 
     def end_block(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
-            names = [n for n, _, _ in self.open]
-            self.blocks.append(Block(text, self.links, any(d for _, d, _ in self.open), any(m for _, _, m in self.open), bool(HEADING.intersection(names))))
+            self.blocks.append(Block(text, self.links, self.count["dropped"] > 0, self.count["main"] > 0, self.count["heading"] > 0))
         self.parts, self.links = [], 0
 
     def text(self, data: str) -> None:
         if data:
             self.parts.append(data)
-            if any(n == "a" for n, _, _ in self.open):
+            if self.at.get("a"):
                 self.links += len(data.strip())
 
     def start(self, name: str, rest: str) -> None:
@@ -86,7 +90,17 @@ class Reader:
             self.close("p", stop=("article", "div", "section", "main", "body", "td", "li", "blockquote", "form"))
         if name in ("li", "option", "tr", "td", "th"):
             self.close(name, stop=("ul", "ol", "table", "select", "menu"))
-        self.open.append((name, name in DROPPED or self._named(name, rest, any(m for _, _, m in self.open)), name in MAIN or 'role="main"' in rest))
+        self.put(name, name in DROPPED or self._named(name, rest, self.count["main"] > 0), name in MAIN or 'role="main"' in rest)
+
+    def put(self, name: str, dropped: bool, main: bool) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, dropped, main))
+        self._tell(name, dropped, main, 1)
+
+    def _tell(self, name: str, dropped: bool, main: bool, by: int) -> None:
+        self.count["dropped"] += by * dropped
+        self.count["main"] += by * main
+        self.count["heading"] += by * (name in HEADING)
 
     @staticmethod
     def _named(name: str, rest: str, inside: bool) -> bool:
@@ -106,12 +120,14 @@ class Reader:
         return False
 
     def close(self, name: str, stop: tuple[str, ...] = ()) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == name:
-                del self.open[k:]
-                return
-            if self.open[k][0] in stop:
-                return
+        """Closes the last open element of that name and all in it, unless one of ``stop`` was opened within it."""
+        if own := self.at.get(name):
+            k = own[-1]
+            if all(not (s := self.at.get(x)) or s[-1] <= k for x in stop):
+                while len(self.open) > k:
+                    gone = self.open.pop()
+                    self.at[gone[0]].pop()
+                    self._tell(*gone, -1)
 
     def end(self, name: str) -> None:
         if name == "br":
@@ -228,15 +244,13 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html).
 
     A null or empty page has an empty text; a null url or id stays null; repeated rows give repeated rows; other columns
-    are ignored.
+    are ignored; an empty table gives no rows. A very long or deeply nested page takes time in proportion to its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                texts = [main_text(h.as_py()) for h in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for part in parts(batches):
+            texts = [main_text(h.as_py()) for h in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_arrow(chosen, run, "page_id long, url string, text string, n_chars long")
