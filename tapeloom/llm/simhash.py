@@ -5,9 +5,11 @@ emits all values within r bits (2,081 for 64 bits and r = 2); whoever meets on a
 
 The values are dealt in two steps. The leading bits of a value are its shuffle key, so a fingerprint is sent once to each
 leading part within r flips and not 2,081 times; the flips that are left are spelled out inside the task. A leading part
-that holds too many fingerprints is divided further by a linear checksum of the whole value: each class spells out only
-the flips that lead to it. Those that meet on a value are linked to one of them, not to each other (all of them lie
-within 2r bits by the triangle inequality, and each link is verified), so a group of n emits n links.
+that holds too many fingerprints is divided further by a linear checksum of the whole value: a fingerprint is sent to those
+classes that some of its flips lead to, and each class spells out only these. There are as many classes as the part needs,
+so no part stays large, and no fingerprint is sent more often than it has values. Those that meet on a value are linked to
+one of them, not to each other (all of them lie within 2r bits by the triangle inequality, and each link is verified), so a
+group of n emits n links.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components, local_roots
 from .store import Scratch
+from .workers import in_arrow, parts
 
 BITS = 64
+CHECK = 24  # bits of the checksum: the most classes of a leading part are 2 to this power
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42, block: int = 1 << 16) -> int:
@@ -50,11 +54,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+        for b in parts(batches):
+            fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")), run, "doc_id long, fp long")
 
 
 def flips(bits: int, most: int) -> list[np.ndarray]:
@@ -67,17 +71,27 @@ def flips(bits: int, most: int) -> list[np.ndarray]:
 
 
 def _labels() -> np.ndarray:
-    return np.random.default_rng(7).integers(1, 256, BITS, dtype=np.uint64)
+    return np.random.default_rng(7).integers(1, 1 << CHECK, BITS, dtype=np.uint64)
 
 
 def checksum(v: np.ndarray) -> np.ndarray:
-    """8-bit linear checksum: the labels of the set bits, added without carry."""
+    """Linear checksum of ``CHECK`` bits: the labels of the set bits, added without carry."""
     out = np.zeros(len(v), np.uint64)
     for i, label in enumerate(_labels()):
         out ^= ((v >> np.uint64(i)) & np.uint64(1)) * label
     return out
 
 
+def reached(base: np.ndarray, sums: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, class) of the classes, of ``many``, that the flips with these checksums lead each value to."""
+    mask = np.uint64(many - 1)
+    own = checksum(base) & mask
+    if many <= 64:  # nearly all are reached
+        return np.repeat(np.arange(len(base)), many), np.tile(np.arange(many, dtype=np.int64), len(base))
+    offsets = np.unique(sums & mask)
+    return np.repeat(np.arange(len(base)), len(offsets)), (own[:, None] ^ offsets[None, :]).ravel().astype(np.int64)
+
+
 def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int = 2048) -> DataFrame:
     """(a, b): links between fingerprints (column fp, no repeats) whose components are those of all pairs within ``distance``.
 
@@ -89,26 +103,35 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int =
     low = BITS - lead
     top = F.shiftrightunsigned("fp", low)
     least = max(room, n // 100_000)  # at most 100,000 leading parts can be hot, so this list stays small
-    hot = {r["top"]: min(256, 1 << ceil(log2(r["n"] / room))) for r in distinct.groupBy(top.alias("top")).agg(F.count("*").alias("n")).where(F.col("n") > least).collect()}
+    hot = {r["top"]: min(1 << CHECK, 1 << ceil(log2(r["n"] / room))) for r in distinct.groupBy(top.alias("top")).agg(F.count("*").alias("n")).where(F.col("n") > least).collect()}
     masks = flips(lead, half)[half]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = np.bitwise_count(masks).astype(np.int8)
+        sums_low = [checksum(m) for m in flips_low]
         for batch in batches:
             all_fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(all_fp), 4096):
-                fp = all_fp[at : at + 4096]
+            step = 256 if hot else 4096
+            for at in range(0, len(all_fp), step):
+                fp = all_fp[at : at + step]
                 key = ((fp >> np.uint64(low))[:, None] ^ masks[None, :]).ravel()
                 own, r = np.repeat(fp, len(masks)), np.tile(used, len(fp))
                 many = np.array([hot.get(k, 1) for k in key.tolist()]) if hot else np.ones(len(key), np.int64)
-                rep = np.repeat(np.arange(len(key)), many)
-                cls = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
+                rep, cls = [np.flatnonzero(many == 1)], [np.zeros(int((many == 1).sum()), np.int64)]
+                for m in np.unique(many[many > 1]).tolist():
+                    for spent in range(half + 1):
+                        rows = np.flatnonzero((many == m) & (r == spent))
+                        base = (own[rows] & np.uint64((1 << low) - 1)) | (key[rows] << np.uint64(low))
+                        which, c = reached(base, sums_low[half - spent], m)
+                        rep.append(rows[which])
+                        cls.append(c)
+                rep, cls = np.concatenate(rep), np.concatenate(cls)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[rep].view(np.int64)), pa.array(cls.astype(np.int32)), pa.array(many[rep].astype(np.int32)), pa.array(own[rep].view(np.int64)), pa.array(r[rep])],
                     names=["key", "cls", "many", "fp", "r"],
                 )
 
-    def spelled(base: np.ndarray, r: np.ndarray, owner: np.ndarray, many: int, cls: int) -> tuple[list, list]:
+    def spelled(base: np.ndarray, r: np.ndarray, owner: np.ndarray, many: int, cls: np.ndarray) -> tuple[list, list]:
         """The values that rows with ``r`` flips spent still reach below their leading part, and their owners."""
         values, owners = [], []
         for used in range(half + 1):
@@ -118,23 +141,25 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int =
                 values.append((base[rows][:, None] ^ m[None, :]).ravel())
                 owners.append(np.repeat(owner[rows], len(m)))
                 continue
-            want = (checksum(base[rows]) ^ np.uint64(cls)) & np.uint64(many - 1)
-            sums = checksum(m) & np.uint64(many - 1)
-            for c in range(many):
-                these, fit = rows[want == c], m[sums == c]
-                values.append((base[these][:, None] ^ fit[None, :]).ravel())
-                owners.append(np.repeat(owner[these], len(fit)))
+            # the flips whose checksum is what a row lacks to the class
+            mask = np.uint64(many - 1)
+            want, sums = (checksum(base[rows]) ^ cls[rows].astype(np.uint64)) & mask, checksum(m) & mask
+            order = np.argsort(sums, kind="stable")
+            first, last = (np.searchsorted(sums[order], want, side) for side in ("left", "right"))
+            n = last - first
+            at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            values.append(np.repeat(base[rows], n) ^ m[order[at]])
+            owners.append(np.repeat(owner[rows], n))
         return values, owners
 
     def met(key: np.ndarray, cls: np.ndarray, many: np.ndarray, x: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
         fp, owner = np.unique(x, return_inverse=True)
         owner = owner.astype(np.int32)
         base = (x & np.uint64((1 << low) - 1)) | (key << np.uint64(low))
-        plain = many == 1
-        values, owners = spelled(base[plain], r[plain], owner[plain], 1, 0)
-        for k, c in {*zip(key[~plain].tolist(), cls[~plain].tolist())}:
-            rows = (key == np.uint64(k)) & (cls == c) & ~plain
-            more = spelled(base[rows], r[rows], owner[rows], int(many[rows][0]), c)
+        values, owners = [], []
+        for m in np.unique(many).tolist():
+            rows = many == m
+            more = spelled(base[rows], r[rows], owner[rows], m, cls[rows])
             values += more[0]
             owners += more[1]
         v, o = np.concatenate(values), np.concatenate(owners)
@@ -167,7 +192,7 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int =
             new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
             if held and (held[-1][0][-1] == cols[0][0]) and held[-1][1][-1] == cls[0]:
                 new[0] = False
-            cost = np.cumsum(weight[r] // many)
+            cost = np.cumsum(weight[r] // many + 1)
             done = 0
             for at in np.flatnonzero(new).tolist():
                 if total + cost[at] - (cost[done - 1] if done else 0) > 3_000_000 and (held or at > done):
@@ -183,16 +208,17 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int =
     flips_low = flips(low, half)
     if odd:
         raise ValueError("distance must be even: half of it is the radius of the balls")
-    dealt = distinct.select("fp").mapInArrow(deal, "key long, cls int, many int, fp long, r byte")
+    dealt = in_arrow(distinct.select("fp"), deal, "key long, cls int, many int, fp long, r byte")
     spread = dealt.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key", "cls")
-    return scratch.cut(spread.sortWithinPartitions("key", "cls").mapInArrow(meet, "a long, b long"), "links")
+    return scratch.cut(in_arrow(spread.sortWithinPartitions("key", "cls"), meet, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null and wordless texts have fingerprint zero and link like any other. Repeated rows give repeated rows. Rows whose
-    doc_id is null take part; component_id is the smallest doc_id that isn't null, or null if there is none.
+    doc_id is null take part; component_id is the smallest doc_id that isn't null, or null if there is none. Very long texts
+    are read in blocks of words; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.cut(fingerprints(docs, shingle, seed), "fps")
@@ -212,17 +238,17 @@ def one_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
     told = docs.withColumn(key[0], F.col("doc_id").cast("long")).withColumn(key[1], F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+        for b in parts(batches):
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=[*key, "fp"])
 
     kinds = f"`{key[0]}` long, `{key[1]}` long, fp long"
-    fps = scratch.cut(told.select(*key, F.encode("text", "UTF-8").alias("text")).mapInArrow(run, kinds), "fps")
-    distinct = scratch.cut(fps.select("fp").distinct(), "distinct")
+    fps = in_arrow(told.select(*key, F.encode("text", "UTF-8").alias("text")), run, kinds)
+    best = F.min(F.struct(F.col(key[0]).isNull().alias("without"), *(F.col(k) for k in key))).alias("k")
+    distinct = scratch.cut(fps.groupBy("fp").agg(best), "distinct")
     roots = components(links(distinct, scratch, distance), scratch)
-    known = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    rows = fps.join(known, "fp")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col(key[0]).isNull().alias("without"), *(F.col(k) for k in key))).alias("k"))
+    known = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "k")
+    first = known.groupBy("root").agg(F.min("k").alias("k"))
     chosen = scratch.cut(first.select(F.col(f"k.`{key[0]}`").alias("keep id"), F.col(f"k.`{key[1]}`").alias("keep hash")), "chosen")
     same = told[key[0]].eqNullSafe(chosen["keep id"]) & (told[key[1]] == chosen["keep hash"])
     return told.join(chosen, same, "left_semi").dropDuplicates(key).select(*docs.columns)
