@@ -116,7 +116,7 @@ def test_fingerprints_and_components_match_brute_force(spark):
     assert simhash.near_duplicates(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("room", [2048, 8])
+@pytest.mark.parametrize("room", [2048, 8, 1])
 def test_ball_links_connect_what_brute_force_connects(spark, room):
     """Clusters of fingerprints that share their leading bits, with and without divided groups."""
     rng = np.random.default_rng(room)
@@ -135,6 +135,48 @@ def test_ball_links_connect_what_brute_force_connects(spark, room):
     assert same(mine) == same(root)
 
 
+def test_checksum_classes_meet_where_all_values_do():
+    """A fingerprint reaches a class exactly if one of its flips leads there, whether classes are few or many."""
+    rng = np.random.default_rng(2)
+    base, flips = rng.integers(0, 1 << 63, 20, dtype=np.uint64), simhash.flips(54, 2)[2]
+    for many in (2, 64, 256, 1 << 20):
+        row, cls = simhash.reached(base, simhash.checksum(flips), many)
+        got = {}
+        for r, c in zip(row.tolist(), cls.tolist()):
+            got.setdefault(r, set()).add(c)
+        for r, b in enumerate(base):
+            want = set((simhash.checksum(b ^ flips) & np.uint64(many - 1)).tolist())
+            assert want <= got[r] and (many <= 64 or want == got[r])
+
+
+def test_sketches_bound_the_cosine():
+    rng = np.random.default_rng(5)
+    for dim in (1, 2, 64, 1000):
+        x = vectors.unit(rng.standard_normal((40, dim)) * rng.choice([1e-200, 1.0, 1e200], (40, 1)), dim)
+        q, step, off = vectors.sketched(x)
+        left, right = vectors.allowed(q, step, off)
+        assert (x @ x.T <= left @ right.T + float(off.max()) ** 2 + 1e-5).all()
+
+
+def test_recall_of_many_vectors(spark, tmp_path):
+    """Planted pairs just above the bound among 100,000 vectors: passes, not all pairs, must find them."""
+    rng = np.random.default_rng(6)
+    n, pairs, dim = 100_000, 1500, 32
+    x = rng.standard_normal((n, dim)).astype(np.float32)
+    u = x[:pairs] / np.linalg.norm(x[:pairs], axis=1)[:, None]
+    side = rng.standard_normal((pairs, dim))
+    side -= (side * u).sum(1)[:, None] * u
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x[pairs : 2 * pairs] = 0.951 * u + np.sqrt(1 - 0.951**2) * side
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": lists}), f"{tmp_path}/v.parquet")
+    got = vectors.near_duplicates(spark.read.parquet(f"{tmp_path}/v.parquet").repartition(8)).where(f"vec_id < {2 * pairs} and n_links > 0").count()
+    assert got >= 0.99 * 2 * pairs
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = dict((r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect())
@@ -152,7 +194,7 @@ def test_local_roots():
 
 @pytest.mark.parametrize("block", [4096, 64])
 def test_vectors_match_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors.link_counts, "__defaults__", (block,))
+    monkeypatch.setattr(vectors.verified, "__defaults__", (block, 512))
     rng = np.random.default_rng(9)
     base = rng.standard_normal((60, 16))
     rows = []

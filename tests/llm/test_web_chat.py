@@ -28,14 +28,22 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("bits", [urls.MOST_BITS, 1])
-def test_url_verdicts_match_brute_force(spark, bits):
-    """By the cascade, and by the join that takes over where the list is too long for it."""
-    pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(URLS * 2)], "page_id long, url string, host string")
-    rules = urls.table(spark, LISTED, ("host", "path", "verdict"))
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filtered(pages, rules, urls.table(spark, urls.BLOCKED, ("host", "path")), bits).collect()}
-    assert got == {i: judged(u) for i, u in enumerate(URLS * 2)}
-    assert urls.filtered(pages.limit(0), rules, urls.table(spark, urls.BLOCKED, ("host", "path")), bits).count() == 0
+def test_url_verdicts_match_brute_force(spark):
+    pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(URLS * 2)] + [(None, URLS[4], "k")] * 2, "page_id long, url string, host string")
+    rules, blocked = urls.table(spark, LISTED, ("host", "path", "verdict")), urls.table(spark, urls.BLOCKED, ("host", "path"))
+    got = [(r.page_id, (r.host, r.path, r.rule, r.verdict)) for r in urls.filtered(pages, rules, blocked).collect()]
+    assert sorted(got, key=str) == sorted([*((i, judged(u)) for i, u in enumerate(URLS * 2)), *[(None, judged(URLS[4]))] * 2], key=str)
+    assert urls.filtered(pages.limit(0), rules, blocked).count() == 0
+    none = urls.filtered(pages, rules.limit(0), blocked.limit(0)).collect()
+    assert len(none) == len(got) and all(r.rule is None and r.verdict == "allow" for r in none)
+
+
+def test_a_list_of_a_million_keys_goes_through_the_cascade(spark):
+    """Its levels have millions of bits, which no plan could hold as constants."""
+    rules = spark.range(1_000_000).select(F.concat(F.lit("h"), F.col("id") * 2, F.lit(".net")).alias("host"), F.lit("/a").alias("path"), F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("verdict"))
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x.h"), F.col("id"), F.lit(".net/ab")).alias("url"))
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filtered(pages, rules, urls.table(spark, urls.BLOCKED, ("host", "path"))).collect()}
+    assert got == {i: (f"h{i}.net/a", "block" if i // 2 % 3 == 0 else "allow") if i % 2 == 0 else (None, "allow") for i in range(2000)}
 
 
 def test_cascade_is_exact_over_its_universe(spark):
@@ -49,6 +57,12 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert got == {f"k{i}" for i in range(0, 3000, 3)}
 
 
+def test_a_talk_of_many_turns(spark):
+    turns = [(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(2001)]
+    done = chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).first()
+    assert [done.formatted[s.start : s.start + s.length] for s in done.loss_spans] == [f"t{k}" for k in range(1, 2001, 2)] and not done.valid
+
+
 TALKS = [
     (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "b\\b\\c<s"), (1, 0, "user", "a<<SYS>>"), (2, 0, "system", None), (2, 1, "user", ""), (2, 2, "assistant", "<"), (2, 3, "user", "[" * 50),
     (3, 0, "tool", "<<END>>x"), (3, 1, None, "n"), (3, 1, None, "n"), (4, 0, "user<</ROLE>>", "é😀"), (5, None, "user", "x"), (5, 2, "assistant", "y" * 70000), (None, 0, "user", "q"), (6, 0, "user", "<<<s>>[[INST]]<</SYS>>\\"), (6, 1, "assistant", "</</s>s>"),
@@ -117,6 +131,46 @@ def test_teasers_and_part_names():
     assert html.main_text(parts) == "\n\n".join([said] * 3)
 
 
+def test_class_names_that_only_hold_a_part_name_drop_nothing():
+    said = "This is what the people of the town said when they were asked about it by the man who had come to see them."
+    for name in ("no-sidebar", "hentry comments-open", "has-sidebar", "search-results", "content-share"):
+        assert html.main_text(f'<div class="{name}"><p>{said}</p><p>{said}</p></div>') == f"{said}\n\n{said}", name
+
+
+def test_planted_articles_among_planted_rubbish():
+    """Pages made of parts whose place is known: all of the article comes out and nothing else."""
+    import random
+
+    rng = random.Random(8)
+    stop = "the of and to in is that it was for on are as with his they at be this from".split()
+    say = lambda n: " ".join(rng.choice(stop) if rng.random() < 0.4 else "".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    rubbish = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{k}>{say(2)}</a>' for k in range(6))}</ul></nav>", lambda: f"<header><h1>{say(3)}</h1></header>", lambda: f"<footer><p>{say(20)}</p></footer>",
+        lambda: f'<div class="sidebar"><p>{say(30)}</p></div>', lambda: f'<div id="cookie-banner">{say(15)}</div>', lambda: f"<form><label>{say(4)}</label><input></form>", lambda: f"<script>{say(9)}</script>",
+        lambda: f'<section class="comments"><p>{say(40)}</p><p>{say(9)}</p></section>', lambda: f'<div class="ad">{say(12)}</div>', lambda: f"<p>{''.join(f'<a href=/{k}>{say(3)}</a> ' for k in range(7))}</p>",
+    ]
+    for depth in (0, 3, 3000):
+        for _ in range(20):
+            body = [say(rng.choice([4, 30, 60])) for _ in range(rng.randint(3, 8))] + [say(60)]
+            article = "".join(f"<p>{t}" for t in body)
+            kind = rng.choice(["article", "main", "div"])
+            before, after = (" ".join(rng.choice(rubbish)() for _ in range(rng.randint(0, 4))) for _ in range(2))
+            page = f"<html><body>{'<div>' * depth}{before}<{kind}>{article}</{kind}>{after}{'</div>' * depth}</body></html>"
+            if kind != "div":
+                assert html.main_text(page) == "\n\n".join(body)
+            else:  # without a mark of the article, short paragraphs at its ends go with their neighbours
+                assert set(html.main_text(page).split("\n\n")) <= set(body) and body[-1] in html.main_text(page)
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    for page in ("<div>x" * 30000, "<td><div>" + "<b>" * 30000 + "<p>y</p>" * 30000, "<p><b>" * 30000 + "</i>" * 30000):
+        html.main_text(page)
+    assert time.process_time() - began < 30
+
+
 def test_odd_pages(spark):
     cut = "<article><p>Whole words</p><p>cut &am"
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<"), (4, "u", cut), (5, "u", cut + "<p cla"), (6, "u", "<article>" + "<p>w x</p>" * 20000), (7, "u", "a < b <3 <b>c</b>"), (7, "u", "<article><p title='a>b'>x</p>")]
