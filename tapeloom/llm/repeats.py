@@ -2,9 +2,9 @@
 
 A string of ``size`` bytes that also starts elsewhere is found wherever it stands, across all documents, exactly:
 
-1. Every window of ``size`` bytes has an anchor, the place of its least ``GRAM``-byte hash, and lies at some distance from
-   it. Windows of one anchor whose distances fall into the same stretch share a core of bytes; together they make one
-   block, whose key is the hash of the core. Equal windows have equal cores, so they meet under one key.
+1. Every window of ``size`` bytes has an anchor, the place of the least hash of its grams (``Shape.gram`` bytes), and lies
+   at some distance from it. Windows of one anchor whose distances fall into the same stretch share a core of bytes;
+   together they make one block, whose key is the hash of the core. Equal windows have equal cores, so they meet under one key.
 2. Counts by key drop the blocks whose core stands nowhere else. Where all blocks of a key are equal as a whole, each of
    their windows is repeated.
 3. What is left are the edges of repeated passages. One block of each kind is fetched, its core put down as a single
@@ -12,13 +12,14 @@ A string of ``size`` bytes that also starts elsewhere is found wherever it stand
 4. A key with more than ``room`` different blocks is not sorted in one task: each of its windows becomes a key of its own,
    which needs a count only.
 
-Blocks are told apart by two 64-bit hashes, documents by one 64-bit hash of doc_id and text.
+Blocks are told apart by two 64-bit hashes; a row goes by its doc_id and the 64-bit hash of its text (``ROW``).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,39 @@ from pyspark.sql import DataFrame, functions as F
 
 from .grouping import suffix_array
 from .store import Scratch
+from .workers import in_arrow, parts
+
+SLICE = 1 << 18
+#: what a row goes by; rows that agree in both have one text and so the same repeats
+ROW = ("own", "hash")
+
+
+@dataclass(frozen=True)
+class Shape:
+    """How windows of ``size`` bytes make blocks: a smaller gram leaves more places for an anchor to serve, so there are
+    fewer blocks; a smaller stretch leaves a longer core, so fewer blocks meet by chance."""
+
+    size: int
+
+    @property
+    def gram(self) -> int:
+        return max(1, min(64, self.size // 4))
+
+    @property
+    def width(self) -> int:
+        """Grams of a window."""
+        return self.size - self.gram + 1
+
+    @property
+    def stretch(self) -> int:
+        return max(1, min(64, self.size // 2))
+
+    def core(self, shape: int) -> tuple[int, int]:
+        """(bytes before the core, bytes of the core) of a block."""
+        lead, j = divmod(shape, 8)
+        return lead, self.size - (min((j + 1) * self.stretch, self.width) - 1 - j * self.stretch)
+
 
-GRAM, STRETCH, SLICE = 64, 64, 1 << 18
 _MULT = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
 
@@ -57,21 +89,22 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
 
 def blocks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int) -> dict[str, np.ndarray]:
     """Blocks of the texts data[begins[i]:ends[i]], which follow one another: text, start, windows, shape, key, ctx, copies."""
-    n, width = len(data), size - GRAM + 1
+    cut = Shape(size)
+    n, width, gram_size, step = len(data), cut.width, cut.gram, cut.stretch
     if n < size:
         return {k: np.zeros(0, np.int64) for k in ("text", "start", "windows", "shape", "key", "ctx", "copies")}
-    up, down, byte = _powers(SLICE + 4 * size + 2)
+    up, down, byte = _powers(max(SLICE + 4 * size, n) + 2)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(byte[data] * up[:n], out=total[1:])
 
     def hashed(a: np.ndarray | slice, b: np.ndarray | slice) -> np.ndarray:
         return _mixed((total[b] - total[a]) * down[:n][a])
 
-    gram = hashed(slice(0, n - GRAM + 1), slice(GRAM, n + 1))
+    gram = hashed(slice(0, n - gram_size + 1), slice(gram_size, n + 1))
     gram = gram >> np.uint64(21) << np.uint64(21) | np.arange(len(gram), dtype=np.uint64)
     anchor = (_least(gram, width) & np.uint64((1 << 21) - 1)).astype(np.int64)
     start = np.arange(len(anchor))
-    stretch = (anchor - start) // STRETCH
+    stretch = (anchor - start) // step
     text = np.repeat(np.arange(len(ends)), ends - begins)[: len(anchor)]
     fits = np.flatnonzero(start + size <= ends[text])
     if not len(fits):
@@ -82,8 +115,8 @@ def blocks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int) ->
     many = np.diff(np.r_[first, len(fits)])
     at = fits[first]
     j = stretch[at]
-    lo = anchor[at] - j * STRETCH
-    hi = anchor[at] - np.minimum((j + 1) * STRETCH, width) + 1 + size
+    lo = anchor[at] - j * step
+    hi = anchor[at] - np.minimum((j + 1) * step, width) + 1 + size
     seed = (j.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULT)
     key = hashed(lo, hi) ^ seed
     ctx = _mixed(hashed(at, at + many + size - 1) + ((lo - at) * 4096 + many).astype(np.uint64))
@@ -96,42 +129,39 @@ def blocks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int) ->
     return {"text": own[head], "start": at[head] - begins[own[head]], "windows": windows, "shape": (lo - at)[head] * 8 + j[head], "key": key[head].view(np.int64), "ctx": ctx[head].view(np.int64), "copies": copies}
 
 
-def _slices(raw: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(bytes, begins, ends, text numbers, shift): neighbouring texts together, long ones in overlapping parts."""
-    held, names, total = [], [], 0
-
-    def out():
-        ends = np.cumsum([len(b) for b in held])
-        return np.frombuffer(b"".join(held), np.uint8), ends - [len(b) for b in held], ends, np.array(names), 0
-
-    for i, b in enumerate(raw):
-        if len(b) < size:
+def _slices(texts: pa.Array, size: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(bytes, begins, ends, text numbers, shift) of a binary column, without copying it: neighbouring texts together, long
+    ones in overlapping parts."""
+    kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+    _, at, raw = texts.buffers()
+    if not len(texts) or raw is None:
+        return
+    at = np.frombuffer(at, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8)
+    i, n = 0, len(texts)
+    while i < n:
+        if at[i + 1] - at[i] > most:
+            for begin in range(int(at[i]), int(at[i + 1]) - size + 1, most):
+                part = data[begin : min(begin + most + size - 1, at[i + 1])]
+                yield part, np.array([0]), np.array([len(part)]), np.array([i]), begin - int(at[i])
+            i += 1
             continue
-        if len(b) > SLICE:
-            for at in range(0, len(b) - size + 1, SLICE):
-                part = b[at : at + SLICE + size - 1]
-                yield np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)]), np.array([i]), at
-            continue
-        if total + len(b) > SLICE:
-            yield out()
-            held, names, total = [], [], 0
-        held.append(b)
-        names.append(i)
-        total += len(b)
-    if held:
-        yield out()
+        e = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        yield data[at[i] : at[e]], at[i:e] - at[i], at[i + 1 : e + 1] - at[i], np.arange(i, e), 0
+        i = e
 
 
 def _rows(size: int, whole: bool):
-    """Blocks of a batch (uid, text): only key and ctx, or everything."""
+    """Blocks of a batch (own, hash, text): only key and ctx, or everything."""
+    most = SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid = batch.column(0).to_numpy(zero_copy_only=False)
-            for data, begins, ends, names, shift in _slices(batch.column(1).to_pylist(), size):
+            row = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]
+            for data, begins, ends, names, shift in _slices(batch.column(2), size, most):
                 b = blocks(data, begins, ends, size)
                 if whole:
-                    cols = {"uid": uid[names[b["text"]]] if len(names) else uid[:0], "start": (b["start"] + shift).astype(np.int32), "windows": b["windows"].astype(np.int32), "shape": b["shape"].astype(np.int32), "key": b["key"], "ctx": b["ctx"], "copies": b["copies"].astype(np.int32)}
+                    cols = {c: x[names[b["text"]]] for c, x in zip(ROW, row)} | {"start": (b["start"] + shift).astype(np.int32), "windows": b["windows"].astype(np.int32), "shape": b["shape"].astype(np.int32), "key": b["key"], "ctx": b["ctx"], "copies": b["copies"].astype(np.int32)}
                 else:
                     cols = {"key": b["key"], "ctx": b["ctx"], "copies": b["copies"].astype(np.int32)}
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], names=list(cols))
@@ -139,18 +169,13 @@ def _rows(size: int, whole: bool):
     return run
 
 
-def _core(size: int, shape: int) -> tuple[int, int]:
-    """(bytes before the core, bytes of the core) of a block."""
-    lead, j = divmod(shape, 8)
-    return lead, size - (min((j + 1) * STRETCH, size - GRAM + 1) - 1 - j * STRETCH)
-
-
 def _fetch(size: int):
     """Texts with the list of blocks wanted of them -> a row for each block, or for each window of one with a hot key."""
+    cut = Shape(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "core", "uid", "start", "windows", "single", "lead", "front", "back"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["key", "core", *ROW, "start", "windows", "single", "front", "back"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
 
@@ -160,20 +185,20 @@ def _fetch(size: int):
                     c.clear()
                 return out
 
-            for uid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for own, uid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = text.as_py()
                 for w in wanted.as_py():
                     s, n = w["start"], w["windows"]
                     if w["hot"]:
-                        rows = [(None, hashlib.blake2b(raw[p : p + size], digest_size=16).digest(), uid, p, 1, w["single"], 0, b"", b"") for p in range(s, s + n)]
+                        rows = [(None, hashlib.blake2b(raw[p : p + size], digest_size=16).digest(), own, uid, p, 1, w["single"], b"", b"") for p in range(s, s + n)]
                     else:
-                        lead, core = _core(size, w["shape"])
+                        lead, core = cut.core(w["shape"])
                         block = raw[s : s + n + size - 1]
-                        rows = [(w["key"], hashlib.blake2b(block[lead : lead + core], digest_size=8).digest(), uid, s, n, w["single"], lead, block[:lead], block[lead + core :])]
+                        rows = [(w["key"], hashlib.blake2b(block[lead : lead + core], digest_size=16).digest(), own, uid, s, n, w["single"], block[:lead], block[lead + core :])]
                     for r in rows:
                         for c, x in zip(cols, r):
                             c.append(x)
-                if len(cols[0]) > 50_000:
+                if len(cols[0]) > 10_000:
                     yield flush()
             yield flush()
 
@@ -183,12 +208,12 @@ def _fetch(size: int):
 def repeated_windows(rows: list[tuple], size: int) -> list[tuple[int, int, int]]:
     """(row, first window, windows) of the runs of windows of single rows that some other row has too.
 
-    rows: (key, core digest, uid, start, windows, single, lead, front, back), rows of one key and digest being comparable.
+    rows: (key, core digest, own, hash, start, windows, single, front, back), rows of one key and digest being comparable.
     """
     text: list[int] = []
     spots: list[tuple[int, int, int]] = []
     number: dict[tuple, int] = {}
-    for r, (key, digest, _, _, windows, _, lead, front, back) in enumerate(rows):
+    for r, (key, digest, _, _, _, windows, _, front, back) in enumerate(rows):
         at = len(text)
         text.extend(c + 1 for c in front)
         text.append(257 + number.setdefault((key, digest), len(number)))
@@ -208,7 +233,7 @@ def repeated_windows(rows: list[tuple], size: int) -> list[tuple[int, int, int]]
             q, s, m = last
             if got[1] == m and text[p : p + m] == text[q : q + m]:
                 for x, row in ((p, got[0]), (q, s)):
-                    if rows[row][5]:
+                    if rows[row][6]:
                         hit.setdefault(row, []).append(x)
         last = (p, *got)
     out, begin = [], {}
@@ -227,16 +252,16 @@ def repeated_windows(rows: list[tuple], size: int) -> list[tuple[int, int, int]]
 
 
 def _sorted_blocks(size: int, together: int = 1500):
-    """Blocks ordered by key -> (uid, start, windows) of the repeated windows of single ones."""
+    """Blocks ordered by key -> (own, hash, start, windows) of the repeated windows of single ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def work() -> pa.RecordBatch:
-            found = [(held[r][2], held[r][3] + k, n) for r, k, n in repeated_windows(held, size)]
+            found = [(held[r][2], held[r][3], held[r][4] + k, n) for r, k, n in repeated_windows(held, size)]
             held.clear()
-            cols = list(zip(*found)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], names=["uid", "start", "windows"])
+            cols = list(zip(*found)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=[*ROW, "start", "windows"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -262,52 +287,57 @@ def covered(raw: bytes, ranges: list, size: int) -> list[tuple[int, int]]:
 
 
 def repeated_ranges(texts: DataFrame, scratch: Scratch, size: int = 400, room: int = 256) -> DataFrame:
-    """texts (uid long, text binary) -> (uid, ranges array<struct<start, windows>>) for the texts that have any."""
-    kind = "uid long, start int, windows int, shape int, key long, ctx long, copies int"
-    counted = texts.mapInArrow(_rows(size, False), "key long, ctx long, copies int").groupBy("key").agg(F.sum("copies").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
+    """texts (own long, hash long, text binary) -> (own, hash, ranges array<struct<start, windows>>) for those that have any."""
+    row = "own long, hash long"
+    kind = f"{row}, start int, windows int, shape int, key long, ctx long, copies int"
+    counted = in_arrow(texts, _rows(size, False), "key long, ctx long, copies int").groupBy("key").agg(F.sum("copies").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
     keys = scratch.cut(counted.where("n > 1").select("key", (F.col("low") != F.col("high")).alias("mixed")), "keys")
-    kept = scratch.cut(texts.mapInArrow(_rows(size, True), kind).join(keys, "key"), "kept")
+    kept = scratch.cut(in_arrow(texts, _rows(size, True), kind).join(keys, "key"), "kept")
     scratch.drop("keys")
     mixed = kept.where("mixed")
-    kinds = scratch.cut(mixed.groupBy("key", "ctx").agg(F.sum("copies").alias("n"), F.min(F.struct("uid", "start", "windows", "shape", "copies")).alias("one")), "kinds")
+    kinds = scratch.cut(mixed.groupBy("key", "ctx").agg(F.sum("copies").alias("n"), F.min(F.struct(*ROW, "start", "windows", "shape", "copies")).alias("one")), "kinds")
     # tables of their own, so that the joins below stand on exchanges that adaptive execution can split
     per_key = scratch.cut(kinds.groupBy("key").agg(F.count("*").alias("different")), "per_key")
-    copied = scratch.cut(mixed.join(kinds.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select("uid", "start", "windows"), "copied")
+    copied = scratch.cut(mixed.join(kinds.where("n > 1").select("key", "ctx"), ["key", "ctx"]).select(*ROW, "start", "windows"), "copied")
     one_window = (F.col("one.windows") / F.col("one.copies")).cast("int")  # equal neighbours have equally many
     wanted = kinds.join(per_key, "key").select(
-        F.col("one.uid").alias("uid"),
+        *(F.col(f"one.{c}").alias(c) for c in ROW),
         F.struct("key", F.col("one.start").alias("start"), one_window.alias("windows"), F.col("one.shape").alias("shape"), (F.col("n") == 1).alias("single"), (F.col("different") > room).alias("hot")).alias("w"),
     )
-    wanted = scratch.cut(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")), "wanted")
-    cols = "key long, core binary, uid long, start int, windows int, single boolean, lead int, front binary, back binary"
-    edges = scratch.cut(texts.join(wanted, "uid").select("uid", "text", "wanted").mapInArrow(_fetch(size), cols), "edges")
-    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    found = edges.where("key is not null").repartition(parts, "key").sortWithinPartitions("key", "core").mapInArrow(_sorted_blocks(size), "uid long, start int, windows int")
+    wanted = scratch.cut(wanted.groupBy(*ROW).agg(F.collect_list("w").alias("wanted")), "wanted")
+    cols = f"key long, core binary, {row}, start int, windows int, single boolean, front binary, back binary"
+    edges = scratch.cut(in_arrow(texts.join(wanted, list(ROW)).select(*ROW, "text", "wanted"), _fetch(size), cols), "edges")
+    n_parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    found = in_arrow(edges.where("key is not null").repartition(n_parts, "key").sortWithinPartitions("key", "core"), _sorted_blocks(size), f"{row}, start int, windows int")
     alone = edges.where("key is null")
     often = alone.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    hot = scratch.cut(alone.where("single").join(often, "core").select("uid", "start", "windows"), "hot")
-    all_ranges = kept.where("not mixed").select("uid", "start", "windows").union(copied).union(found).union(hot)
-    return scratch.cut(all_ranges.groupBy("uid").agg(F.collect_list(F.struct("start", "windows")).alias("ranges")), "ranges")
+    hot = scratch.cut(alone.where("single").join(often, "core").select(*ROW, "start", "windows"), "hot")
+    all_ranges = kept.where("not mixed").select(*ROW, "start", "windows").union(copied).union(found).union(hot)
+    return scratch.cut(all_ranges.groupBy(*ROW).agg(F.collect_list(F.struct("start", "windows")).alias("ranges")), "ranges")
 
 
 def with_spans(docs: DataFrame, scratch: Scratch, size: int = 400, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs``, text as binary (null: empty), and ranges: the repeated windows, null if none."""
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    texts = docs.select(*keep, text.alias("text")).withColumn("uid", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    ranges = repeated_ranges(texts.select("uid", "text").where(F.octet_length("text") >= size), scratch, size)
-    return texts.join(ranges, "uid", "left").select(*keep, "text", "ranges")
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64("text bytes")]
+    texts = docs.select(*(F.col(f"`{c}`") for c in keep), text.alias("text bytes")).withColumns({f"row {c}": x for c, x in zip(ROW, own)})
+    named = texts.select(*(F.col(f"row {c}").alias(c) for c in ROW), F.col("text bytes").alias("text"))
+    ranges = repeated_ranges(named.where(F.octet_length("text") >= size), scratch, size)
+    ranges = ranges.select(*(F.col(c).alias(f"row {c}") for c in ROW), "ranges")
+    return texts.join(ranges, [f"row {c}" for c in ROW], "left").select(*(F.col(f"`{c}`") for c in keep), F.col("text bytes"), F.col("ranges").alias("repeated ranges"))
 
 
 def removed(docs: DataFrame, size: int = 400) -> DataFrame:
     """(doc_id, spans array<struct<from, to>>, kept binary, n_bytes): what is removed of each row of ``docs`` and what stays.
 
     A null text is empty; a text shorter than ``size`` keeps all; a row that occurs twice is repeated as a whole; a null
-    doc_id is a value like any other; other columns are ignored; an empty table gives no rows.
+    doc_id is a value like any other; other columns are ignored; an empty table gives no rows. A very long text is read in
+    overlapping parts and leaves as one value.
     """
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             spans, kept, sizes = [], [], []
             for text, ranges in zip(b.column(1), b.column(2)):
                 raw = text.as_py()
@@ -320,7 +350,7 @@ def removed(docs: DataFrame, size: int = 400) -> DataFrame:
 
     scratch = Scratch(docs.sparkSession, "repeats")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_spans(named, scratch, size).mapInArrow(run, "doc_id long, spans array<struct<from:bigint,to:bigint>>, kept binary, n_bytes long")
+    return in_arrow(with_spans(named, scratch, size), run, "doc_id long, spans array<struct<from:bigint,to:bigint>>, kept binary, n_bytes long")
 
 
 def whole_words(raw: bytes, a: int, e: int) -> int:
@@ -336,9 +366,9 @@ def without_repeats(docs: DataFrame, size: int = 400, words: int | None = None)
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             out: list[str | None] = []
-            for text, ranges in zip(b.column("text"), b.column("ranges")):
+            for text, ranges in zip(b.column("text bytes"), b.column("repeated ranges")):
                 raw, got = text.as_py(), ranges.as_py()
                 if got:
                     runs = covered(raw, [(r["start"], r["windows"]) for r in got], size)
@@ -352,7 +382,7 @@ def without_repeats(docs: DataFrame, size: int = 400, words: int | None = None)
 
     scratch = Scratch(docs.sparkSession, "repeats")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    out = with_spans(docs, scratch, size, tuple(rest)).mapInArrow(run, f"{kinds}, text string")
+    out = in_arrow(with_spans(docs, scratch, size, tuple(rest)), run, f"{kinds}, text string")
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
