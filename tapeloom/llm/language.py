@@ -42,7 +42,7 @@ class Model:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(self.pooled(x)[1].max(1) + self.bias, 0) @ self.out + self.out_bias
 
-    def of_texts(self, texts: list[bytes], together: int = 256) -> np.ndarray:
+    def of_texts(self, texts: list[bytes], together: int = 64) -> np.ndarray:
         """Mean logits of each text over the windows that cover it."""
         total, weight = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
         rows: list[np.ndarray] = []
