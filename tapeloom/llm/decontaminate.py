@@ -5,8 +5,8 @@ length of the longest run that ends at each word. Where that reaches ``window``
 the window that ends there is an occurrence and its words are hit. Runs of words that no item has reset the automaton,
 so only runs of known words that are long enough for some window are streamed.
 
-Which items a text can touch is told beforehand by hashes of all windows of all items: texts without any are done, and the
-automaton need hold no other items than those that are touched, so a long benchmark takes one pass over the corpus too.
+Where one automaton can't hold all items, hashes of all their windows tell beforehand which items a text can touch: texts
+without any are done, and the automaton need hold no others, so a long benchmark takes one pass over the corpus too.
 """
 
 from __future__ import annotations
@@ -181,6 +181,11 @@ class Windows:
             places[h >> np.uint64(64 - self._bits(len(h)))] = True
             self.tables[n] = places, h[order], k[order]
 
+    @property
+    def small(self) -> bool:
+        """Whether one automaton holds all items, so that streaming costs less than asking which are touched."""
+        return self.n_words <= self.most
+
     @staticmethod
     def _bits(n: int) -> int:
         return max(10, int(n).bit_length() + 1)
@@ -225,7 +230,7 @@ class Windows:
         if held is not None and need <= held[0]:
             return held
         size = lambda some: sum(len(self.runs[k]) for k in some)
-        items = set(range(len(self.runs))) if self.n_words <= self.most else need | (held[0] if held else set())
+        items = set(range(len(self.runs))) if self.small else need | (held[0] if held else set())
         if size(items) > self.most:
             items = need
         return items, Automaton([(self.ids[k], [self.spoken[c] for c in self.runs[k].tolist()]) for k in sorted(items)], self.window)
@@ -267,8 +272,8 @@ def annotated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFr
                 for text, old, had in zip(b.column("text"), b.column(MARKS[0]), b.column(MARKS[1])):
                     tokens = words(text.as_py())
                     runs, found = [], set()
-                    if len(tokens) >= known.least and (need := known.touched(known.numbered(tokens))):
-                        held = known.automaton(held, need)
+                    if len(tokens) >= known.least and (known.small or (need := known.touched(known.numbered(tokens)))):
+                        held = known.automaton(held, set() if known.small else need)
                         runs, found = held[1].scan(tokens)
                     if old.as_py():
                         runs = joined([*runs, *((s["from"], s["to"]) for s in old.as_py())])
