@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import Scratch
 from .tokens import default_path, word_ids
+from .workers import in_arrow, parts
 
 PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
-BIN = f"bin string, fill bigint, pieces array<{PIECE}>"
+BIN = f"bin bigint, fill bigint, pieces array<{PIECE}>"
+#: a bin's number: the round, the task and the place within the task
+ROUND, TASK = 57, 32
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -63,7 +66,7 @@ def tokenised(docs: DataFrame, size: int, path: str, end: int = 1, with_ids: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, stop = word_ids(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in parts(batches):
             cols: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = table.ids(text.as_py()) + stop
@@ -74,16 +77,16 @@ def tokenised(docs: DataFrame, size: int, path: str, end: int = 1, with_ids: boo
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, kind)
 
 
-def _pack(size: int, full: int, level: int, chunk: int):
+def _pack(size: int, level: int, chunk: int):
     """Packs a task's bins, at most ``chunk`` at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, k, held, rows = TaskContext.get().partitionId(), 0, [], 0
+        k, held, rows = level << ROUND | TaskContext.get().partitionId() << TASK, [], 0
 
         def pack() -> Iterator[pa.RecordBatch]:
             nonlocal k
@@ -102,13 +105,13 @@ def _pack(size: int, full: int, level: int, chunk: int):
                         shift.append(np.full(begin[i + 1] - begin[i], at))
                         at += int(fill[i])
                     ends.append(ends[-1] + sum(int(begin[i + 1] - begin[i]) for i in b))
-                    names.append(f"{level}:{part}:{k}")
+                    names.append(k)
                     fills.append(at)
                     k += 1
                 idx = np.concatenate(take)
                 new = [f.take(pa.array(idx)) for f in fields[:-1]] + [pa.array(offset[idx] + np.concatenate(shift))]
                 value = pa.StructArray.from_arrays(new, fields=list(flat.type))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(fills, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), value)], names=["bin", "fill", "pieces"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(fills, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), value)], names=["bin", "fill", "pieces"])
             held.clear()
 
         for batch in batches:
@@ -132,11 +135,11 @@ def pack(pieces: DataFrame, scratch: Scratch, size: int = 4096, full: float = 0.
     least = int(size * full)
     item = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     # spread by a hash, so that a task has all lengths where the input is sorted by them
-    pieces = pieces.repartition(pieces.rdd.getNumPartitions() or 1, F.xxhash64("doc_id", "piece", "ids_crc32"))
-    now = pieces.select(F.lit("").alias("bin"), F.col("length").alias("fill"), F.array(item).alias("pieces"))
+    pieces = pieces.repartition(F.xxhash64("doc_id", "piece", "ids_crc32"))
+    now = pieces.select(F.lit(0).cast("long").alias("bin"), F.col("length").alias("fill"), F.array(item).alias("pieces"))
     done, level, before, tasks = [], 0, None, None
     while True:
-        bins = scratch.cut(now.mapInArrow(_pack(size, least, level, chunk), BIN), f"bins{level}")
+        bins = scratch.cut(in_arrow(now, _pack(size, level, chunk), BIN), f"bins{level}")
         open_bins = bins.where(F.col("fill") < least)
         n = open_bins.count()
         if n <= 1 or tasks == 1 or (before is not None and bins.count() >= before):
@@ -150,7 +153,7 @@ def pack(pieces: DataFrame, scratch: Scratch, size: int = 4096, full: float = 0.
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    out = out.select(F.xxhash64("bin").alias("sequence_id"), F.explode("pieces").alias("p"))
+    out = out.select(F.col("bin").alias("sequence_id"), F.explode("pieces").alias("p"))
     return out.select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
 
 
@@ -158,7 +161,8 @@ def pack_documents(docs: DataFrame, size: int = 4096, path: str | None = None) -
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all rows of ``docs`` (doc_id, text).
 
     A null or empty text is the end token alone. Repeated rows are packed as often as they occur; a null doc_id stays
-    null; other columns are ignored; an empty table gives no rows.
+    null; other columns are ignored; an empty table gives no rows; pieces of one length may change places. A very long text
+    is encoded in stretches of about a million characters.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     return pack(tokenised(docs, size, path or default_path()), scratch, size)
@@ -174,4 +178,4 @@ def sequences(docs: DataFrame, placed: DataFrame, size: int = 4096, path: str |
             ids = [np.frombuffer(b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["offset"])), "<u4").astype(np.int32) for parts in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["sequence_id", "ids"])
 
-    return keyed.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "ids")).alias("p")).mapInArrow(run, "sequence_id long, ids array<int>")
+    return in_arrow(keyed.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "ids")).alias("p")), run, "sequence_id long, ids array<int>")
