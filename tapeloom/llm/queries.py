@@ -39,7 +39,8 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = repeats.removed(_table(spark, sf_dir, "documents"))
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
-    return got.select("doc_id", "n_bytes", cut.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    got = got.select("doc_id", "n_bytes", cut.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return got.withColumn("removed_share", F.coalesce(F.try_divide(F.col("n_removed").cast("double"), F.col("n_bytes")), F.lit(0.0)))
 
 
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
