@@ -13,9 +13,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: blocks from this size on are mapped for themselves and unmapped when freed
-MAPPED = 4 << 20
-_M_MMAP_THRESHOLD = -3  # fixed value: the C library's number of that setting
+#: blocks from this size on are mapped for themselves and unmapped when freed; so much freed memory stays for the next batch
+MAPPED, HELD = 4 << 20, 64 << 20
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3  # fixed values: the C library's numbers of these settings
 _ready = False
 
 
@@ -30,6 +30,7 @@ def settle() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
         if hasattr(_libc(), "mallopt"):  # another C library keeps its own ways
             _libc().mallopt(_M_MMAP_THRESHOLD, MAPPED)
+            _libc().mallopt(_M_TRIM_THRESHOLD, HELD)
 
 
 def give_back() -> None:
