@@ -94,6 +94,21 @@ def is_close(a, b, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     return F.coalesce(F.abs(known(a) - known(b)) <= atol + rtol * F.abs(known(b)), F.lit(False))
 
 
+def fast_abs(x) -> Column:
+    return F.abs(known(x))
+
+
+def fast_log(x) -> Column:
+    return safe_log(x, None)
+
+
+fast_relu, fast_clip, fast_square, fast_cube, fast_sigmoid, stable_sigmoid = relu, clip, square, cube, sigmoid, sigmoid
+
+
+def epsilon() -> float:
+    return EPSILON
+
+
 def hl2(high="high", low="low") -> Column:
     return (_c(high) + _c(low)) / 2
 
@@ -110,6 +125,9 @@ def weighted_price(high="high", low="low", close="close") -> Column:
     return (_c(high) + _c(low) + 2 * _c(close)) / 4
 
 
+typical_price, median_price = hlc3, hl2
+
+
 def candle_direction(open_="open", close="close") -> Column:
     return F.signum(_c(close) - _c(open_))
 
@@ -149,6 +167,14 @@ def coefficient_of_variation(x) -> Column:
     return safe_divide(F.stddev_pop(known(x)), F.abs(F.avg(known(x))), 0.0)
 
 
+def variance(x) -> Column:
+    return F.var_samp(known(x))
+
+
+def std(x) -> Column:
+    return F.stddev_samp(known(x))
+
+
 def standard_error(x) -> Column:
     return F.stddev_samp(known(x)) / F.sqrt(F.count(known(x)))
 

@@ -2,10 +2,12 @@
 
 An indicator is written once as SQL expressions over named columns. ``Sheet.put`` gives an expression a name and a layer:
 one more than the highest layer it reads, so an expression over a window result lands in a later projection and Catalyst
-sees one chain of windows over one partitioning and sort. Equal expressions share one column. Recursions go to a fold
-column: all folds of a layer run in one pass over the sorted bars, a few numbers of state per symbol, in Arrow batches.
+sees one chain of windows over one partitioning and sort. Equal expressions share one column. Recursions are folds and state
+machines, which run in passes over the sorted bars, a few numbers of state per symbol, in Arrow batches. Folds and machines
+that read each other run in one pass; a pass more is needed only where an expression stands between two recursions.
 
-Missing values are NULL. A rolling value needs a full window unless ``least`` says otherwise.
+Missing values are NULL. A rolling value needs a full window unless ``least`` says otherwise. Bars of one symbol and time are
+ordered by their prices and volume, so all windows and recursions see them in one order.
 """
 
 from __future__ import annotations
@@ -21,7 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 NAME = re.compile(r"[A-Za-z_]\w*\Z")
 #: added before rounding, so that values with few decimals don't lie on a tie, where the last bit would decide
 SHIFT = 1.37e-6
+#: beyond this, in which a double has few decimals left, values are rounded to whole numbers
+LARGE = "1e8"
 TOKEN = re.compile(r"'(?:[^']|'')*'|[A-Za-z_]\w*")
+CONSTANT = re.compile(r"cast\(([-+.\de]+) AS double\)")
+#: values of a stretch from which on a fold is computed in blocks
+LONG = 4096
 
 NUMBER = re.compile(r"'(?:[^']|'')*'|(?<![\w.])\d+\.\d+(?![\w.])")
 
@@ -52,7 +59,8 @@ class Fold:
 class Machine:
     """A state machine over the rows of a symbol: ``make()`` gives a function from input lists to output lists.
 
-    It is called with consecutive stretches of a symbol's rows and keeps what it needs between calls.
+    It is called with consecutive stretches of a symbol's rows and keeps what it needs between calls. ``sql``: the same for
+    DuckDB, a function of (sheet, table, inputs, outputs) that gives a SELECT of the table with the outputs.
     """
 
     layer: int
@@ -60,6 +68,7 @@ class Machine:
     inputs: list[str]
     outputs: list[str]
     whole: bool = False  # needs all rows of a symbol at once
+    sql: Callable | None = None
 
 
 @dataclass
@@ -70,6 +79,7 @@ class Sheet:
     cells: dict[str, Cell] = field(default_factory=dict)
     folds: dict[str, Fold] = field(default_factory=dict)
     machines: list[Machine] = field(default_factory=list)
+    gates: dict[str, tuple[str, str]] = field(default_factory=dict)
     names: dict[tuple, str] = field(default_factory=dict)
     made: int = 0
 
@@ -100,7 +110,8 @@ class Sheet:
         return known
 
     def fold(self, seed: str, gain: str, x: str) -> str:
-        seed, gain, x = self.put(seed), self.put(gain), self.put(x)
+        seed, x = self.put(seed), self.put(x)
+        gain = gain if CONSTANT.fullmatch(gain) else self.put(gain)
         known = self.names.get(("fold", seed, gain, x))
         if known is None:
             known = self.names["fold", seed, gain, x] = self._name()
@@ -108,13 +119,21 @@ class Sheet:
             self.layers[known] = self.folds[known].layer
         return known
 
-    def machine(self, make: Callable, inputs: list[str], outputs: list[str], tag: tuple, whole: bool = False) -> dict[str, str]:
+    def gate(self, y: str, test: str) -> str:
+        """y where ``test`` holds. Folds can read it in the pass in which the fold y is made."""
+        y, test = self.put(y), self.put(test)
+        out = self.put(f"CASE WHEN {test} THEN {y} END")
+        if y in self.folds or y in self.gates:
+            self.gates[out] = y, test
+        return out
+
+    def machine(self, make: Callable, inputs: list[str], outputs: list[str], tag: tuple, whole: bool = False, sql: Callable | None = None) -> dict[str, str]:
         known = self.names.get(("machine", *tag))
         if known is None:
             inputs = [self.put(i) for i in inputs]
             layer = max(self.layers.get(c, 0) for c in inputs) + 1
             known = {o: self._name() for o in outputs}
-            self.machines.append(Machine(layer, make, inputs, list(known.values()), whole))
+            self.machines.append(Machine(layer, make, inputs, list(known.values()), whole, sql))
             for c in known.values():
                 self.layers[c] = layer
             self.names["machine", *tag] = known
@@ -123,7 +142,12 @@ class Sheet:
     # windows ------------------------------------------------------------------------------------------------------
 
     def over(self, frame: str = "", by: str = "") -> str:
-        return f"OVER (PARTITION BY {self.key}{', ' + by if by else ''} ORDER BY {self.time}{' ' + frame if frame else ''})"
+        return f"OVER (PARTITION BY {self.key}{', ' + by if by else ''} ORDER BY {', '.join(self.order)}{' ' + frame if frame else ''})"
+
+    @property
+    def order(self) -> list[str]:
+        """Time, and what tells bars of one time apart."""
+        return [self.time, *(c for c in ("open", "high", "low", "close", "volume") if c in self.columns)]
 
     def rows(self, n: int, end: int = 0) -> str:
         """The n rows that end ``end`` rows before this one."""
@@ -229,79 +253,128 @@ class Sheet:
     def spark(self, bars: DataFrame, outputs: dict[str, str], digits: int | None = None) -> DataFrame:
         """``bars`` with the columns ``outputs`` (name -> column of the sheet or expression over such)."""
         out = {name: self.put(e) for name, e in outputs.items()}
-        needed = self.needed(list(out.values()))
-        df, here = bars, set(bars.columns)
-        partitioned = ordered = False
-        last = self._last_use(needed, list(out.values()))
-        for k in range(1, max((self.layers[c] for c in needed), default=0) + 1):
-            cells = {c: self.cells[c].spark for c in needed if c in self.cells and self.layers[c] == k}
-            if cells:
-                df = df.selectExpr("*", *(f"{e} AS {c}" for c, e in cells.items()))
-                ordered = ordered and not any(" OVER (" in e for e in cells.values())
-            folds = {c: self.folds[c] for c in needed if c in self.folds and self.layers[c] == k}
-            machines = [m for m in self.machines if m.layer == k and needed & set(m.outputs)]
-            if folds or machines:
-                if not partitioned:
-                    df = df.repartition(F.col(self.key))
-                    partitioned = True
-                # what no later layer reads doesn't go through Python
-                df = df.select(*(c for c in df.columns if c in here or last.get(c, 0) >= k))
-                if not ordered:
-                    df = df.sortWithinPartitions(self.key, self.time)
-                df, ordered = self._pass(df, folds, machines), True
-        shown = [F.col(c) for c in bars.columns if c in here]
-        return df.select(*shown, *(_shown(df, c, digits).alias(name) for name, c in out.items()))
-
-    def _last_use(self, needed: set[str], outputs: list[str]) -> dict[str, int]:
-        """The last layer that reads each column."""
-        out: dict[str, int] = {c: 10**9 for c in outputs}
-
-        def read(names, layer: int) -> None:
+        depth = self._depths(self.needed(list(out.values())))
+        last, here = self._last_use(depth, list(out.values())), list(bars.columns)
+        df, deepest = bars, max(depth.values(), default=0)
+        if any(c in self.folds or c not in self.cells for c in depth):
+            df = df.repartition(F.col(self.key))  # windows before the first pass and the pass itself stand on this one
+        for k in range(deepest + 1):
+            if k:
+                df = self._pass(df, [c for c in depth if depth[c] == k], here, {c for c, n in last.items() if n >= 2 * k})
+            cells = [c for c in depth if c in self.cells and depth[c] == k]
+            for layer in sorted({self.layers[c] for c in cells}):
+                df = _select(df, ["*", *(f"{self.cells[c].spark} AS {c}" for c in cells if self.layers[c] == layer)])
+        kinds = dict(df.dtypes)
+        return _select(df, [*(f"`{c}`" for c in here), *(f"{_shown(c, kinds[c], digits)} AS `{name}`" for name, c in out.items())])
+
+    def _depths(self, needed: set[str]) -> dict[str, int]:
+        """For each column, in an order in which they can be made, the number of the pass that makes it or after which it is
+        made (0: before the first one)."""
+        made_by = {c: m for m in self.machines for c in m.outputs}
+        out: dict[str, int] = {}
+
+        def at(c: str) -> int:
+            """The first pass that can read c: that which makes it, if a recursion or a gate over one does."""
+            if c in self.folds or c in made_by:
+                return out[c]
+            if c in self.gates:
+                y, test = self.gates[c]
+                return max(at(y), out.get(test, 0) + 1)
+            return out.get(c, 0) + 1
+
+        for c in sorted(needed, key=lambda c: (self.layers[c], c)):
+            if c in self.cells:
+                out[c] = max((out[t] for t in TOKEN.findall(self.cells[c].spark) if t in needed), default=0)
+            elif c in self.folds:
+                f = self.folds[c]
+                out[c] = max(at(x) for x in (f.seed, f.gain, f.x) if not CONSTANT.fullmatch(x))
+            else:
+                out[c] = max((at(x) for x in made_by[c].inputs), default=1)
+        return out
+
+    def _last_use(self, depth: dict[str, int], outputs: list[str]) -> dict[str, int]:
+        """Where each column is read last: 2 * k by expressions after pass k, 2 * k - 1 by pass k itself."""
+        out: dict[str, int] = dict.fromkeys(outputs, 10**9)
+
+        def read(names, at: int) -> None:
             for n in names:
-                out[n] = max(out.get(n, 0), layer)
+                out[n] = max(out.get(n, 0), at)
+                if n in self.gates and at % 2:  # a pass makes a gate of its own folds from what the gate reads
+                    read(self.gates[n], at)
 
-        for c in needed:
+        for c, k in depth.items():
             if c in self.cells:
-                read((t for t in TOKEN.findall(self.cells[c].spark) if t in self.layers), self.cells[c].layer)
+                read((t for t in TOKEN.findall(self.cells[c].spark) if t in depth), 2 * k)
             elif c in self.folds:
-                read((self.folds[c].seed, self.folds[c].gain, self.folds[c].x), self.folds[c].layer)
+                read((self.folds[c].seed, self.folds[c].gain, self.folds[c].x), 2 * k - 1)
         for m in self.machines:
-            if needed & set(m.outputs):
-                read(m.inputs, m.layer)
+            if m.outputs[0] in depth or set(m.outputs) & depth.keys():
+                read(m.inputs, 2 * max(depth[o] for o in m.outputs if o in depth) - 1)
         return out
 
-    def _pass(self, df: DataFrame, folds: dict[str, Fold], machines: list[Machine]) -> DataFrame:
-        fold_list, key = list(folds.items()), self.key
-        new = [c for c, _ in fold_list] + [o for m in machines for o in m.outputs]
-        kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}` double" for c in new)])
-        any_whole = any(m.whole for m in machines)
+    def _pass(self, df: DataFrame, made: list[str], here: list[str], later: set[str]) -> DataFrame:
+        """All recursions among the columns ``made``, in one run over the sorted bars; what ``later`` doesn't name is dropped."""
+        machines = [m for m in self.machines if set(m.outputs) & set(made)]
+        own = {o: m for m in machines for o in m.outputs}
+        todo = list(dict.fromkeys(c if c in self.folds else tuple(own[c].outputs) for c in made if c in self.folds or c in own))
+        folds = {c: (f.seed, float(CONSTANT.fullmatch(f.gain)[1]) if CONSTANT.fullmatch(f.gain) else f.gain, f.x) for c, f in self.folds.items() if c in made}
+        steps: list[tuple[str, object]] = [("fold", c) if isinstance(c, str) else ("machine", next((m.make, m.inputs, m.outputs, m.whole) for m in machines if tuple(m.outputs) == c)) for c in todo]
+        made_here = {c for c in todo if isinstance(c, str)} | own.keys()
+
+        def gated(c: str) -> bool:
+            """A gate over something that this pass makes."""
+            return c in self.gates and (self.gates[c][0] in made_here or gated(self.gates[c][0]))
+
+        gates = {c: g for c, g in self.gates.items() if gated(c)}
+        read: set[str] = set()
+
+        def reads(c) -> None:
+            if isinstance(c, float) or c in made_here:
+                return
+            if c in gates:
+                for x in gates[c]:
+                    reads(x)
+            else:
+                read.add(c)
+
+        for c in [x for c in folds for x in folds[c]] + [x for m in machines for x in m.inputs]:
+            reads(c)
+        there = df.columns
+        taken = [c for c in there if c in here or c in read or c in later]
+        kept = [c for c in taken if c in here or c in later]
+        new = [c for c in made_here if c in later]
+        df = _select(df, [f"`{c}`" for c in taken]) if len(taken) < len(there) else df
+        df = df.sortWithinPartitions(self.key, *self.order)
+        kinds = dict(df.dtypes)
+        schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{c}` double" for c in new)])
+        any_whole, key = any(m.whole for m in machines), self.key
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, state, parts = None, None, []
 
             def work(part: pa.RecordBatch) -> pa.RecordBatch:
-                cols = []
-                cache: dict[str, list] = {}
+                lists: dict[str, list] = {}
 
                 def of(c: str) -> list:
-                    if c not in cache:
-                        cache[c] = part.column(part.schema.get_field_index(c)).to_pylist()
-                    return cache[c]
-
-                for i, (_, f) in enumerate(fold_list):
-                    y, out = state[0][i], []
-                    for s, g, x in zip(of(f.seed), of(f.gain), of(f.x)):
-                        if y is None:
-                            y = s
-                        elif x is not None and g is not None:
-                            y = y + g * (x - y)
-                        out.append(y)
-                    state[0][i] = y
-                    cols.append(pa.array(out, pa.float64()))
-                for m, step in zip(machines, state[1]):
-                    for got in step(*(of(c) for c in m.inputs)):
-                        cols.append(pa.array([None if v is None or v != v else float(v) for v in got], pa.float64()))
-                return pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *new])
+                    if c not in lists:
+                        if c in gates:
+                            y, test = gates[c]
+                            lists[c] = [v if t else None for v, t in zip(of(y), of(test))]
+                        else:
+                            lists[c] = part.column(part.schema.get_field_index(c)).to_pylist()
+                    return lists[c]
+
+                for i, (kind, what) in enumerate(steps):
+                    if kind == "fold":
+                        seed, gain, x = folds[what]
+                        xs = of(x)
+                        gains = gain if isinstance(gain, float) else of(gain)
+                        lists[what], state[i] = folded(xs if seed == x else of(seed), gains, xs, state[i])
+                    else:
+                        for c, got in zip(what[2], state[i](*(of(c) for c in what[1]))):
+                            lists[c] = [None if v is None or v != v else float(v) for v in got]
+                cols = [part.column(part.schema.get_field_index(c)) for c in kept]
+                return pa.RecordBatch.from_arrays([*cols, *(pa.array(lists[c], pa.float64()) for c in new)], names=[*kept, *new])
 
             def joined() -> pa.RecordBatch:
                 return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -316,7 +389,7 @@ class Sheet:
                         if parts:
                             yield work(joined())
                             parts = []
-                        now, state = keys[a], ([None] * len(fold_list), [m.make() for m in machines])
+                        now, state = keys[a], [None if kind == "fold" else what[0]() for kind, what in steps]
                     if any_whole:
                         parts.append(batch.slice(a, b - a))
                     else:
@@ -324,15 +397,13 @@ class Sheet:
             if parts:
                 yield work(joined())
 
-        return df.mapInArrow(run, kinds)
+        return df.mapInArrow(run, schema)
 
     def duck(self, source: str, outputs: dict[str, str], digits: int | None = None) -> str:
-        """DuckDB SQL for the same table, over the SQL ``source`` of the bars. Machines have no SQL."""
+        """DuckDB SQL for the same table, over the SQL ``source`` of the bars."""
         out = {name: self.put(e) for name, e in outputs.items()}
         needed = self.needed(list(out.values()), duck=True)
-        if any(needed & set(m.outputs) for m in self.machines):
-            raise ValueError("a state machine has no SQL form")
-        steps, last = [f"l0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {self.key} ORDER BY {self.time}) AS rn_ FROM ({source}))"], "l0"
+        steps, last = [f"l0 AS MATERIALIZED (SELECT *, row_number() {self.over()} AS rn_ FROM ({source}))"], "l0"
         for k in range(1, max((self.layers[c] for c in needed), default=0) + 1):
             cells = {c: self.cells[c].duck for c in needed if c in self.cells and self.layers[c] == k}
             if cells:
@@ -340,14 +411,35 @@ class Sheet:
                 last = f"l{k}"
             folds = {c: self.folds[c] for c in needed if c in self.folds and self.layers[c] == k}
             if folds:
+                gain = lambda f: doubles(f.gain) if CONSTANT.fullmatch(f.gain) else f"t.{f.gain}"
                 first = ", ".join(f"t.{f.seed}::DOUBLE AS {c}" for c, f in folds.items())
-                more = ", ".join(f"CASE WHEN r.{c} IS NULL THEN t.{f.seed} WHEN t.{f.x} IS NULL OR t.{f.gain} IS NULL THEN r.{c} ELSE r.{c} + t.{f.gain} * (t.{f.x} - r.{c}) END" for c, f in folds.items())
+                more = ", ".join(f"CASE WHEN r.{c} IS NULL THEN t.{f.seed} WHEN t.{f.x} IS NULL OR {gain(f)} IS NULL THEN r.{c} ELSE r.{c} + {gain(f)} * (t.{f.x} - r.{c}) END" for c, f in folds.items())
                 steps.append(f"f{k}({self.key}, rn_, {', '.join(folds)}) AS (SELECT t.{self.key}, t.rn_, {first} FROM {last} t WHERE rn_ = 1 UNION ALL SELECT t.{self.key}, t.rn_, {more} FROM f{k} r JOIN {last} t ON t.{self.key} = r.{self.key} AND t.rn_ = r.rn_ + 1)")
                 steps.append(f"g{k} AS MATERIALIZED (SELECT t.*, {', '.join(f'f.{c}' for c in folds)} FROM {last} t JOIN f{k} f ON t.{self.key} = f.{self.key} AND t.rn_ = f.rn_)")
                 last = f"g{k}"
+            for i, m in enumerate(m for m in self.machines if m.layer == k and needed & set(m.outputs)):
+                if m.sql is None:
+                    raise ValueError("a state machine without an SQL form")
+                steps.append(f"m{k}_{i} AS MATERIALIZED ({m.sql(self, last, m.inputs, m.outputs)})")
+                last = f"m{k}_{i}"
         shown = [*self.columns, *(f"{_duck_shown(c, self.kind(c), digits)} AS {name}" for name, c in out.items())]
         return f"WITH RECURSIVE {', '.join(steps)} SELECT {', '.join(shown)} FROM {last}"
 
+    def recursion(self, table: str, state: dict[str, str], layers: list[dict[str, str]], outputs: dict[str, str]) -> str:
+        """A SELECT of ``table`` with ``outputs`` (name -> expression over the state after a row), one row after another.
+
+        state: name -> its value before the first row. layers: expressions, each over the columns of ``t`` (the row), ``r``
+        (the state before it) and the layers before; a name of the state in a layer's last mention is its next value.
+        """
+        inner = f"SELECT t.*, {', '.join(f'r.{c} AS r_{c}' for c in state)} FROM walk r JOIN {table} t ON t.{self.key} = r.{self.key} AND t.rn_ = r.rn_ + 1"
+        for one in layers:
+            inner = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in one.items())} FROM ({inner})"
+        first = f"SELECT DISTINCT {self.key}, 0::BIGINT AS rn_, {', '.join(f'{v} AS {c}' for c, v in state.items())}, {', '.join(f'NULL::DOUBLE AS {c}' for c in outputs)} FROM {table}"
+        step = f"SELECT {self.key}, rn_, {', '.join(f'n_{c}' for c in state)}, {', '.join(f'({e})::DOUBLE' for e in outputs.values())} FROM ({inner})"
+        names = ", ".join([self.key, "rn_", *state, *outputs])
+        shown = ", ".join(f"w.{c}" for c in outputs)
+        return f"WITH RECURSIVE walk({names}) AS ({first} UNION ALL {step}) SELECT t.*, {shown} FROM {table} t JOIN walk w ON t.{self.key} = w.{self.key} AND t.rn_ = w.rn_"
+
     def kind(self, c: str) -> str:
         """double unless an expression is marked as something else."""
         return self.kinds.get(c, self.columns.get(c, "double"))
@@ -364,17 +456,74 @@ class Sheet:
         return c
 
 
-def _shown(df: DataFrame, c: str, digits: int | None):
-    kind = df.schema[c].dataType.simpleString()
+def _select(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One SELECT as text: wide tables are told to the engine in one call."""
+    return df.sparkSession.sql(f"SELECT {', '.join(columns)} FROM {{rows_}}", rows_=df)
+
+
+def _shown(c: str, kind: str, digits: int | None) -> str:
     if digits is None or kind not in ("double", "int", "bigint") and not kind.startswith("decimal"):
-        return F.col(c)
-    return F.round(F.col(c).cast("double") + F.lit(SHIFT), digits) + F.lit(0.0)
+        return c
+    x = f"cast({c} AS double)"
+    return f"CASE WHEN abs({x}) >= {LARGE} THEN round({x}, 0) ELSE round({x} + {SHIFT!r}D, {digits}) END + 0.0D"
+
+
+def folded(seed: list, gain: float | list, x: list, y: float | None) -> tuple[list, float | None]:
+    """The values of a fold over a stretch that begins with the state y, and the state after it."""
+    if len(x) >= LONG:
+        return _folded_in_blocks(seed, gain, x, y)
+    out = []
+    if isinstance(gain, float):
+        for s, v in zip(seed, x):
+            if y is None:
+                y = s
+            elif v is not None:
+                y += gain * (v - y)
+            out.append(y)
+    else:
+        for s, g, v in zip(seed, gain, x):
+            if y is None:
+                y = s
+            elif v is not None and g is not None:
+                y += g * (v - y)
+            out.append(y)
+    return out, y
+
+
+def _folded_in_blocks(seed: list, gain: float | list, x: list, y: float | None) -> tuple[list, float | None]:
+    """The same for a long stretch. A step is y -> (1 - g) * y + g * x, and steps compose: all blocks of the stretch are walked
+    at once, each from its own beginning, and the states at the blocks' beginnings follow from the composed steps."""
+    n, begin = len(x), 0
+    if y is None:
+        begin = next((i for i, s in enumerate(seed) if s is not None), n)
+        if begin == n:
+            return [None] * n, None
+        y = seed[begin]
+        begin += 1
+    v = np.array([np.nan if a is None else a for a in x[begin:]], np.float64)
+    g = np.full(len(v), gain) if isinstance(gain, float) else np.array([np.nan if a is None else a for a in gain[begin:]], np.float64)
+    still = np.isnan(v) | np.isnan(g)
+    width = max(1, int(np.sqrt(len(v))))
+    rows = -(-len(v) // width) if len(v) else 0
+    keep, add = np.ones(rows * width), np.zeros(rows * width)
+    keep[: len(v)], add[: len(v)] = np.where(still, 1.0, 1 - g), np.where(still, 0.0, g * v)
+    keep, add = keep.reshape(rows, width), add.reshape(rows, width)
+    for k in range(1, width):
+        add[:, k] += keep[:, k] * add[:, k - 1]
+        keep[:, k] *= keep[:, k - 1]
+    at = np.empty(rows)
+    for i in range(rows):
+        at[i] = y
+        y = float(keep[i, -1] * y + add[i, -1])
+    made = (keep * at[:, None] + add).ravel()[: len(v)].tolist()
+    head = [] if begin == 0 else [None] * (begin - 1) + [seed[begin - 1]]
+    return head + made, made[-1] if made else (y if not head else head[-1])
 
 
 def _duck_shown(c: str, kind: str, digits: int | None) -> str:
     if digits is None or kind in ("boolean", "string"):
         return c
-    return f"round({c}::DOUBLE + {SHIFT!r}, {digits}) + 0.0"
+    return f"CASE WHEN abs({c}::DOUBLE) >= {LARGE} THEN round({c}::DOUBLE, 0) ELSE round({c}::DOUBLE + {SHIFT!r}, {digits}) END + 0.0"
 
 
 def plain(*columns: list) -> list[list[float]]:

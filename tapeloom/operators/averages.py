@@ -15,8 +15,8 @@ def counted(s: Sheet, x: str) -> str:
 
 def enough(s: Sheet, x: str, y: str, n: int) -> str:
     """y once n values of x have been seen. The count is a column of its own: where x is no fold, neither is any window
-    that follows one, and folds that build on each other stay in one stage."""
-    return s.put(f"CASE WHEN {counted(s, x)} >= {n} THEN {s.put(y)} END")
+    that follows one, and folds that build on each other stay in one pass."""
+    return s.gate(y, f"{counted(s, x)} >= {n}")
 
 
 def ema_raw(s: Sheet, x: str, n: int) -> str:
@@ -169,16 +169,24 @@ def mcginley_dynamic(s: Sheet, length: int = 14, k: float = 0.6, source: str = "
 
         return step
 
-    return s.machine(make, [price(s, source)], ["y"], ("mcginley", n, k, source))["y"]
+    def sql(sheet: Sheet, table: str, inputs: list[str], outputs: list[str]) -> str:
+        x = inputs[0]
+        form = f"CASE WHEN {x} IS NULL THEN r_md WHEN r_md IS NULL OR r_md <= 1e-10 THEN {x} ELSE r_md + ({x} - r_md) / greatest({k!r} * {n} * power({x} / r_md, 4), 1e-10) END"
+        return sheet.recursion(table, {"md": "NULL::DOUBLE"}, [{"n_md": form}], {outputs[0]: "n_md"})
+
+    return s.machine(make, [price(s, source)], ["y"], ("mcginley", n, k, source), sql=sql)["y"]
 
 
 @indicator("ma.vidya")
 def vidya(s: Sheet, length: int = 9, source: str = "close") -> str:
+    """Missing prices count as unchanged, and their bars have no value; the first price is a step from zero."""
     x, n = price(s, source), positive(length)
-    step = s.put(f"{x} - coalesce({s.lag(x)}, 0)")
+    held = s.ffill(x)
+    step = s.put(f"{held} - coalesce({s.lag(held)}, 0)")
     up, down = (s.roll("sum", s.put(f"CASE WHEN {step} IS NOT NULL THEN greatest({sign}{step}, 0.0) END"), n) for sign in ("", "-"))
     strength = s.put(s.div(f"abs({up} - {down})", f"{up} + {down}", "0.0"))
-    return s.fold(s.put(f"CASE WHEN count({x}) {s.past} >= {n} THEN {x} END"), s.put(f"{2 / (n + 1)!r} * {strength}"), x)
+    y = s.fold(s.put(f"CASE WHEN {counted(s, held)} >= {n} THEN {held} END"), s.put(f"{2 / (n + 1)!r} * {strength}"), held)
+    return s.gate(y, f"{x} IS NOT NULL")
 
 
 __all__ = ["alias", "numbers"]

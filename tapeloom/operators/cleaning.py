@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .base import IndicatorError
 
@@ -36,6 +37,170 @@ def validation_report(df: DataFrame) -> DataFrame:
     )
 
 
+# Each rule by itself: the ensure_* functions convert, the validate_* functions raise where a table breaks a rule, which takes
+# an action for rules about rows. ``validation_report`` above counts instead.
+
+
+def ensure_dataframe(data, spark=None) -> DataFrame:
+    """A Spark table of a Spark or pandas table or of rows."""
+    if isinstance(data, DataFrame):
+        return data
+    if spark is None:
+        raise IndicatorError("a session is needed to make a table")
+    return spark.createDataFrame(data)
+
+
+def ensure_series(df: DataFrame, name: str | None = None) -> DataFrame:
+    """The one column of a table, or the named one."""
+    if name is not None:
+        validate_required_columns(df, [name])
+        return df.select(name)
+    if len(df.columns) != 1:
+        raise IndicatorError(f"one column is needed, not {len(df.columns)}")
+    return df
+
+
+def ensure_numpy(df: DataFrame, name: str) -> np.ndarray:
+    """A column on the driver, for small tables."""
+    return ensure_series(df, name).toPandas()[name].to_numpy(np.float64)
+
+
+def ensure_float(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in names})
+
+
+def ensure_integer(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in names})
+
+
+def ensure_datetime(df: DataFrame, name: str = "ts", tz: str | None = None) -> DataFrame:
+    """``name`` as a timestamp (naive values are those of the session's zone), moved to ``tz``'s clock if it is given."""
+    at = F.col(name).cast("timestamp")
+    return df.withColumn(name, at if tz is None else F.from_utc_timestamp(at, tz))
+
+
+def ensure_copy(df: DataFrame) -> DataFrame:
+    """The table itself: nothing can change it."""
+    return df
+
+
+safe_copy = ensure_copy
+
+
+def _refuse(df: DataFrame, bad, what: str) -> DataFrame:
+    if not df.where(bad).isEmpty():
+        raise IndicatorError(what)
+    return df
+
+
+def validate_numeric_columns(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    kinds = dict(df.dtypes)
+    wrong = [c for c in names or [c for c in kinds if c not in ("symbol", "ts")] if not kinds[c].startswith(("double", "float", "int", "bigint", "smallint", "tinyint", "decimal"))]
+    if wrong:
+        raise IndicatorError(f"not numeric: {', '.join(wrong)}")
+    return df
+
+
+def validate_index(df: DataFrame) -> DataFrame:
+    """Every bar has a symbol and a time."""
+    return _refuse(df, F.col("symbol").isNull() | F.col("ts").isNull(), "bars without symbol or time")
+
+
+def validate_datetime_index(df: DataFrame) -> DataFrame:
+    if dict(df.dtypes).get("ts") not in ("timestamp", "timestamp_ntz", "date"):
+        raise IndicatorError("ts is no time")
+    return df
+
+
+def validate_monotonic_index(df: DataFrame, arrival: str) -> DataFrame:
+    """Times don't fall in the order of the column ``arrival``."""
+    before = F.lag("ts").over(Window.partitionBy("symbol").orderBy(arrival))
+    return _refuse(df.withColumn("before_", before), F.col("before_") > F.col("ts"), "times fall").drop("before_")
+
+
+def validate_length(df: DataFrame, least: int = 1) -> DataFrame:
+    """Every symbol has at least ``least`` bars."""
+    few = df.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") < least)
+    if (least > 0 and df.isEmpty()) or not few.isEmpty():
+        raise IndicatorError(f"under {least} bars")
+    return df
+
+
+def validate_no_duplicates(df: DataFrame) -> DataFrame:
+    _refuse(df.groupBy("symbol", "ts").agg(F.count("*").alias("n")), F.col("n") > 1, "repeated times")
+    return df
+
+
+def _missing(df: DataFrame):
+    kinds = dict(df.dtypes)
+    out = F.lit(False)
+    for c in df.columns:
+        out = out | F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False))
+    return out
+
+
+def validate_missing_data(df: DataFrame) -> DataFrame:
+    return _refuse(df, _missing(df), "missing values")
+
+
+def validate_price(df: DataFrame, names: tuple[str, ...] = PRICES) -> DataFrame:
+    validate_numeric_columns(df, list(names))
+    return _refuse(df, F.least(*(F.col(c) for c in names)) <= 0 if len(names) > 1 else F.col(names[0]) <= 0, "prices of zero or less")
+
+
+def validate_high_low(df: DataFrame) -> DataFrame:
+    return _refuse(df, F.col("high") < F.col("low"), "a high under its low")
+
+
+def validate_volume(df: DataFrame) -> DataFrame:
+    return _refuse(df, F.col("volume") < 0, "negative volumes")
+
+
+def validate_ohlc(df: DataFrame) -> DataFrame:
+    validate_required_columns(df, list(PRICES))
+    return validate_high_low(validate_price(df))
+
+
+def validate_ohlcv(df: DataFrame) -> DataFrame:
+    validate_required_columns(df, [*PRICES, "volume"])
+    return validate_volume(validate_ohlc(df))
+
+
+def validate_dataframe(df: DataFrame) -> DataFrame:
+    return validate_length(validate_datetime_index(df), 1)
+
+
+def checks(df: DataFrame) -> DataFrame:
+    """(symbol, one flag for each rule that the symbol's bars keep), in one pass over the bars."""
+    before = F.lag("ts").over(by_time())
+    kept = lambda bad: F.max(F.when(bad, 1).otherwise(0)) == 0
+    return df.withColumn("before_", before).groupBy("symbol").agg(
+        kept(F.col("ts").isNull()).alias("validate_index"), (F.count("*") >= 14).alias("validate_length"), kept(F.col("before_") == F.col("ts")).alias("validate_no_duplicates"), kept(F.col("before_") > F.col("ts")).alias("validate_monotonic_index"),
+        kept(_missing(df)).alias("validate_missing_data"), kept(F.least(*PRICES) <= 0).alias("validate_price"), kept(F.col("high") < F.col("low")).alias("validate_high_low"), kept(F.col("volume") < 0).alias("validate_volume"),
+        kept((F.least(*PRICES) <= 0) | (F.col("high") < F.col("low"))).alias("validate_ohlc"), kept((F.least(*PRICES) <= 0) | (F.col("high") < F.col("low")) | (F.col("volume") < 0)).alias("validate_ohlcv"),
+    )
+
+
+def drop_missing(df: DataFrame) -> DataFrame:
+    return df.where(~_missing(df))
+
+
+def sort_dataframe(df: DataFrame) -> DataFrame:
+    return df.orderBy("symbol", "ts")
+
+
+def safe_concat(tables: list[DataFrame], axis: int = 0) -> DataFrame:
+    """Tables under each other (missing columns are null) or beside each other at the same symbol and time; tables without
+    columns are left out."""
+    there = [t for t in tables if t.columns]
+    if not there:
+        raise IndicatorError("nothing to put together")
+    out = there[0]
+    for t in there[1:]:
+        out = out.unionByName(t, allowMissingColumns=True) if axis == 0 else merge(out, t, "outer")
+    return out
+
+
 def remove_duplicates(df: DataFrame, tie: str | None = None) -> DataFrame:
     """One bar for each symbol and time: the last by ``tie``, else by all values."""
     order = [F.col(tie).desc()] if tie else [F.col(c).desc() for c in df.columns if c not in ("symbol", "ts")]
@@ -118,6 +283,47 @@ def timeframe_name(seconds: float) -> str:
     return f"{int(seconds)}s"
 
 
+def infer_timezone(spark: SparkSession) -> str:
+    """The zone whose clock times are shown in."""
+    return spark.conf.get("spark.sql.session.timeZone")
+
+
+def validate_timezone(df: DataFrame, name: str = "ts") -> bool:
+    """Whether the column knows its instants, not only a clock's times."""
+    return dict(df.dtypes).get(name) == "timestamp"
+
+
+DAY = 86400
+
+
+def is_intraday(seconds: float) -> bool:
+    return seconds < DAY
+
+
+def is_daily(seconds: float) -> bool:
+    return seconds == DAY
+
+
+def is_weekly(seconds: float) -> bool:
+    return seconds == 7 * DAY
+
+
+def is_monthly(seconds: float) -> bool:
+    return 28 * DAY <= seconds <= 31 * DAY
+
+
+def timeframes(df: DataFrame) -> DataFrame:
+    """(symbol, seconds, is_intraday ... annualization_factor): what the distance of a symbol's bars says."""
+    got, x = detect_timeframe(df), F.col("seconds")
+    day = F.when(x >= DAY, F.lit(1.0)).otherwise(COUNTRY_HOURS * 3600 / x)
+    name = F.when((x >= DAY) & (x % DAY == 0), F.concat((x / DAY).cast("int").cast("string"), F.lit("D"))).when((x >= 3600) & (x % 3600 == 0), F.concat((x / 3600).cast("int").cast("string"), F.lit("h")))
+    name = name.when((x >= 60) & (x % 60 == 0), F.concat((x / 60).cast("int").cast("string"), F.lit("min"))).otherwise(F.concat(x.cast("int").cast("string"), F.lit("s")))
+    return got.select(
+        "symbol", "seconds", name.alias("convert_timeframe"), (x < DAY).alias("is_intraday"), (x == DAY).alias("is_daily"), (x == 7 * DAY).alias("is_weekly"), x.between(28 * DAY, 31 * DAY).alias("is_monthly"),
+        day.alias("bars_per_day"), (5 * day).alias("bars_per_week"), (21 * day).alias("bars_per_month"), (252.0 * day).alias("annualization_factor"),
+    )
+
+
 def bars_per_day(seconds: float) -> float:
     return 1.0 if seconds >= 86400 else COUNTRY_HOURS * 3600 / seconds
 
@@ -139,6 +345,34 @@ def slice_rows(df: DataFrame, start: int, end: int) -> DataFrame:
     return df.withColumn("n_", F.row_number().over(by_time()) - 1).where((F.col("n_") >= start) & (F.col("n_") < end)).drop("n_")
 
 
+def optimize_float_dtype(df: DataFrame) -> DataFrame:
+    """Doubles as floats: half the room, seven digits."""
+    return df.withColumns({c: F.col(c).cast("float") for c, t in df.dtypes if t == "double"})
+
+
+def optimize_integer_dtype(df: DataFrame) -> DataFrame:
+    """Integer columns in the smallest type that holds their values."""
+    names = [c for c, t in df.dtypes if t in ("int", "bigint", "smallint")]
+    if not names:
+        return df
+    found = df.agg(*(x for c in names for x in (F.min(c).alias(f"{c} low"), F.max(c).alias(f"{c} high")))).first()
+
+    def kind(c: str) -> str:
+        low, high = found[f"{c} low"] or 0, found[f"{c} high"] or 0
+        return next(t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if -(1 << bits) <= low and high < 1 << bits)
+
+    return df.withColumns({c: F.col(c).cast(kind(c)) for c in names})
+
+
+def convert_object_to_category(df: DataFrame) -> DataFrame:
+    """The table itself: Parquet keeps repeated strings as a dictionary of its own accord."""
+    return df
+
+
+def reduce_dataframe_memory(df: DataFrame) -> DataFrame:
+    return convert_object_to_category(optimize_integer_dtype(optimize_float_dtype(df)))
+
+
 def select_existing(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*(c for c in names if c in df.columns))
 

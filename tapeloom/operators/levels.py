@@ -10,7 +10,7 @@ from tapeloom.functions.sheet import Sheet, plain
 from .averages import ema_raw
 from .base import alias, indicator, positive, price
 from .momentum import true_range
-from .volume import OUTPUTS, clock, rank_share, rolling_profile
+from .volume import OUTPUTS, clock, profile_sql, rank_share, rolling_profile, window_sql
 
 EPS = "1e-10"
 
@@ -325,7 +325,16 @@ def mitigated_fvg(s: Sheet) -> dict[str, str]:
 
         return step
 
-    got = s.machine(make, ["high", "low", up["top"], up["bottom"], down["top"], down["bottom"]], ["done", "unfilled_top", "unfilled_bottom"], ("mitigated",), whole=True)
+    def sql(sheet: Sheet, table: str, inputs: list[str], outputs: list[str]) -> str:
+        """Every gap with the first later bar that closes it, and the extremes of the bars before that one."""
+        h, lo, ut, ub, dt, db = inputs
+        rising = f"{ut} IS NOT NULL"
+        end = f"SELECT a.{sheet.key} AS k_, a.rn_ AS b_, min(f.rn_) AS e_ FROM {table} a JOIN {table} f ON f.{sheet.key} = a.{sheet.key} AND f.rn_ > a.rn_ AND CASE WHEN a.{rising} THEN f.{lo} <= a.{ub} ELSE f.{h} >= a.{dt} END WHERE a.{ut} IS NOT NULL OR a.{dt} IS NOT NULL GROUP BY 1, 2"
+        reach = f"SELECT a.{sheet.key} AS k_, a.rn_ AS b_, any_value(e.e_) AS e_, min(f.{lo}) AS lo_, max(f.{h}) AS hi_ FROM {table} a LEFT JOIN ({end}) e ON e.k_ = a.{sheet.key} AND e.b_ = a.rn_ LEFT JOIN {table} f ON f.{sheet.key} = a.{sheet.key} AND f.rn_ > a.rn_ AND f.rn_ < coalesce(e.e_, 9000000000) WHERE a.{ut} IS NOT NULL OR a.{dt} IS NOT NULL GROUP BY 1, 2"
+        forms = ("CASE WHEN z.e_ IS NOT NULL THEN 1 ELSE 0 END", f"CASE WHEN t.{rising} THEN least(t.{ut}, z.lo_) ELSE t.{dt} END", f"CASE WHEN t.{rising} THEN t.{ub} ELSE greatest(t.{db}, z.hi_) END")
+        return f"SELECT t.*, {', '.join(f'({f})::DOUBLE AS {o}' for f, o in zip(forms, outputs))} FROM {table} t LEFT JOIN ({reach}) z ON z.k_ = t.{sheet.key} AND z.b_ = t.rn_"
+
+    got = s.machine(make, ["high", "low", up["top"], up["bottom"], down["top"], down["bottom"]], ["done", "unfilled_top", "unfilled_bottom"], ("mitigated",), whole=True, sql=sql)
     hit = boolean(s, f"{got['done']} > 0")
     return {"is_mitigated": hit, "unfilled_top": got["unfilled_top"], "unfilled_bottom": got["unfilled_bottom"], "is_active": boolean(s, f"NOT {hit}")}
 
@@ -687,7 +696,12 @@ def _bins(reach: float, width: float | None) -> int:
 
 @indicator("sr.adaptive_volume_profile", machine=True)
 def adaptive_volume_profile(s: Sheet, length: int = 20) -> dict[str, str]:
-    got = s.machine(rolling_profile(positive(length), _bins), [price(s, "hlc3"), "volume", average_range(s)], OUTPUTS, ("adaptive profile", length))
+    def sql(sheet: Sheet, table: str, inputs: list[str], outputs: list[str]) -> str:
+        p, v, w = inputs
+        bins = f"CASE WHEN coalesce({w}, 0) = 0 THEN 10 ELSE least(50, greatest(3, trunc((hi_ - lo_) / (0.1 * {w}))))::INT END"
+        return profile_sql(table, window_sql(sheet, p, v, length), p, bins, outputs)
+
+    got = s.machine(rolling_profile(positive(length), _bins), [price(s, "hlc3"), "volume", average_range(s)], OUTPUTS, ("adaptive profile", length), sql=sql)
     return {k: got[k] for k in OUTPUTS[:3]}
 
 

@@ -332,14 +332,37 @@ def windowed_pair(measure, length: int):
     return make
 
 
+def _pairs_sql(form: str, n: int):
+    """SQL of a measure of the pairs of a full window without gaps, as lists xs_ and ys_."""
+
+    def sql(sheet: Sheet, table: str, inputs: list[str], outputs: list[str]) -> str:
+        x, y = inputs
+        w = sheet.rows(n)
+        listed = f"SELECT *, CASE WHEN count({x}) {w} = {n} AND count({y}) {w} = {n} THEN list({x}) {w} END AS xs_, list({y}) {w} AS ys_ FROM {table}"
+        ranks = lambda v: f"list_transform({v}, lambda a: len(list_filter({v}, lambda b: b < a)) + (len(list_filter({v}, lambda b: b = a)) + 1) / 2.0 - {(n + 1) / 2!r})"
+        sides = lambda v: f"flatten(list_transform({v}, lambda a: list_transform({v}, lambda b: sign(a - b))))"
+        made = f"SELECT *, {ranks('xs_') if form == 'spearman' else sides('xs_')} AS a_, {ranks('ys_') if form == 'spearman' else sides('ys_')} AS b_ FROM ({listed})"
+        dot = lambda a, b: f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))"
+        return f"SELECT * EXCLUDE (xs_, ys_, a_, b_), (CASE WHEN xs_ IS NOT NULL THEN {dot('a_', 'b_')} / nullif(sqrt({dot('a_', 'a_')} * {dot('b_', 'b_')}), 0) END)::DOUBLE AS {outputs[0]} FROM ({made})"
+
+    return sql
+
+
+def _all_pairs_sql(sheet: Sheet, table: str, inputs: list[str], outputs: list[str]) -> str:
+    x, y = inputs
+    k = sheet.key
+    sides = f"SELECT a.{k} AS k_, sum(sign(a.{x} - b.{x}) * sign(a.{y} - b.{y})) AS c_, sum(abs(sign(a.{x} - b.{x}))) AS x_, sum(abs(sign(a.{y} - b.{y}))) AS y_ FROM {table} a JOIN {table} b ON a.{k} = b.{k} AND a.{x} IS NOT NULL AND a.{y} IS NOT NULL AND b.{x} IS NOT NULL AND b.{y} IS NOT NULL GROUP BY 1"
+    return f"SELECT t.*, (z.c_ / nullif(sqrt(z.x_ * z.y_), 0))::DOUBLE AS {outputs[0]} FROM {table} t LEFT JOIN ({sides}) z ON z.k_ = t.{k}"
+
+
 @indicator("stats.rolling_spearman", bench=True, machine=True)
 def rolling_spearman(s: Sheet, length: int = 20, source: str = "close", bench_source: str = "close") -> str:
-    return s.machine(windowed_pair(_spearman, positive(length)), list(pair(s, source, bench_source)), ["r"], ("spearman", length, source, bench_source))["r"]
+    return s.machine(windowed_pair(_spearman, positive(length)), list(pair(s, source, bench_source)), ["r"], ("spearman", length, source, bench_source), sql=_pairs_sql("spearman", length))["r"]
 
 
 @indicator("stats.rolling_kendall", bench=True, machine=True)
 def rolling_kendall(s: Sheet, length: int = 20, source: str = "close", bench_source: str = "close") -> str:
-    return s.machine(windowed_pair(kendall, positive(length)), list(pair(s, source, bench_source)), ["tau"], ("kendall", length, source, bench_source))["tau"]
+    return s.machine(windowed_pair(kendall, positive(length)), list(pair(s, source, bench_source)), ["tau"], ("kendall", length, source, bench_source), sql=_pairs_sql("kendall", length))["tau"]
 
 
 @indicator("stats.kendall_correlation", bench=True, machine=True)
@@ -352,7 +375,7 @@ def kendall_correlation(s: Sheet, source: str = "close", bench_source: str = "cl
 
         return step
 
-    return s.machine(make, list(pair(s, source, bench_source)), ["tau"], ("kendall all", source, bench_source), whole=True)["tau"]
+    return s.machine(make, list(pair(s, source, bench_source)), ["tau"], ("kendall all", source, bench_source), whole=True, sql=_all_pairs_sql)["tau"]
 
 
 @indicator("stats.autocorrelation")

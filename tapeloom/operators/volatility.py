@@ -214,7 +214,18 @@ def volatility_stop(s: Sheet, length: int = 14, mult: float = 3.0) -> dict[str,
 
         return step
 
-    return s.machine(make, ["close", atr(s, length)], ["stop_price", "is_long"], ("vstop", length, mult))
+    def sql(sheet: Sheet, table: str, inputs: list[str], outputs: list[str]) -> str:
+        c, w = inputs
+        layers = [
+            {"ok": f"{c} IS NOT NULL AND {w} IS NOT NULL", "side": "CASE WHEN r_up THEN 1 ELSE -1 END"},
+            {"own": f"{c} - side * {mult!r} * {w}"},
+            {"held": "CASE WHEN r_stop IS NULL THEN own ELSE side * greatest(side * r_stop, side * own) END"},
+            {"turned": f"coalesce(({c} - held) * side < 0, false)"},
+            {"n_up": "CASE WHEN ok AND turned THEN NOT r_up ELSE r_up END", "n_stop": f"CASE WHEN NOT ok THEN r_stop WHEN turned THEN {c} + side * {mult!r} * {w} ELSE held END"},
+        ]
+        return sheet.recursion(table, {"up": "true", "stop": "NULL::DOUBLE"}, layers, {outputs[0]: "n_stop", outputs[1]: "n_up"})
+
+    return s.machine(make, ["close", atr(s, length)], ["stop_price", "is_long"], ("vstop", length, mult), sql=sql)
 
 
 alias("volatility.atr_trailing_stop", "volatility.volatility_stop", "stop_price")
@@ -244,7 +255,11 @@ for _side in ("upper", "lower", "middle"):
 
 @indicator("volatility.supertrend", machine=True)
 def supertrend(s: Sheet, length: int = 10, multiplier: float = 3.0) -> dict[str, str]:
-    """Bands around the mid price that only tighten while the close stays inside; the line is the band of the trend."""
+    """Bands around the mid price that only tighten while the close before stays inside; the line is the band of the trend.
+
+    The trend begins with the side of the mid price on which the first bar with a range closes; bars without a range carry
+    everything on.
+    """
 
     def make():
         state = {"up": None, "low": None, "trend": 1.0, "close": None}
@@ -252,24 +267,37 @@ def supertrend(s: Sheet, length: int = 10, multiplier: float = 3.0) -> dict[str,
         def step(mid, close, width):
             rows = []
             for m, c, w in zip(mid, close, width):
-                if m is None or c is None or w is None:
-                    rows.append((None, state["trend"], None, None))
-                    if c is not None:
-                        state["close"] = c
-                    continue
-                up, low = m + multiplier * w, m - multiplier * w
-                if state["up"] is not None:
-                    old_up, old_low, before = state["up"], state["low"], state["close"]
-                    up = up if up < old_up or before > old_up else old_up
-                    low = low if low > old_low or before < old_low else old_low
-                    if state["trend"] < 0 and c > old_up:
-                        state["trend"] = 1.0
-                    elif state["trend"] > 0 and c < old_low:
-                        state["trend"] = -1.0
-                state.update(up=up, low=low, close=c)
-                rows.append((low if state["trend"] > 0 else up, state["trend"], up, low))
+                before, state["close"] = state["close"], c
+                old_up, old_low = state["up"], state["low"]
+                if m is not None and w is not None and (old_up is not None or c is not None):
+                    up, low = m + multiplier * w, m - multiplier * w
+                    if old_up is None:
+                        state["trend"] = 1.0 if c > m else -1.0
+                    else:
+                        up = up if up < old_up or (before is not None and before > old_up) else old_up
+                        low = low if low > old_low or (before is not None and before < old_low) else old_low
+                        if c is not None and state["trend"] < 0 and c > old_up:
+                            state["trend"] = 1.0
+                        elif c is not None and state["trend"] > 0 and c < old_low:
+                            state["trend"] = -1.0
+                    state.update(up=up, low=low)
+                rows.append((state["low"] if state["trend"] > 0 else state["up"], state["trend"], state["up"], state["low"]))
             return list(zip(*rows))
 
         return step
 
-    return s.machine(make, ["(high + low) / 2", "close", atr(s, length)], ["supertrend", "trend", "upper_band", "lower_band"], ("supertrend", length, multiplier))
+    def sql(sheet: Sheet, table: str, inputs: list[str], outputs: list[str]) -> str:
+        m, c, w = inputs
+        layers = [
+            {"ok": f"{m} IS NOT NULL AND {w} IS NOT NULL AND (r_up IS NOT NULL OR {c} IS NOT NULL)", "bu": f"{m} + {multiplier!r} * {w}", "bl": f"{m} - {multiplier!r} * {w}"},
+            {
+                "n_up": "CASE WHEN NOT ok THEN r_up WHEN r_up IS NULL OR bu < r_up OR coalesce(r_was > r_up, false) THEN bu ELSE r_up END",
+                "n_low": "CASE WHEN NOT ok THEN r_low WHEN r_low IS NULL OR bl > r_low OR coalesce(r_was < r_low, false) THEN bl ELSE r_low END",
+                "n_trend": f"CASE WHEN NOT ok THEN r_trend WHEN r_up IS NULL THEN CASE WHEN {c} > {m} THEN 1 ELSE -1 END WHEN r_trend < 0 AND coalesce({c} > r_up, false) THEN 1 WHEN r_trend > 0 AND coalesce({c} < r_low, false) THEN -1 ELSE r_trend END",
+                "n_was": c,
+            },
+        ]
+        state = {"up": "NULL::DOUBLE", "low": "NULL::DOUBLE", "trend": "1", "was": "NULL::DOUBLE"}
+        return sheet.recursion(table, state, layers, dict(zip(outputs, ("CASE WHEN n_trend > 0 THEN n_low ELSE n_up END", "n_trend", "n_up", "n_low"))))
+
+    return s.machine(make, ["(high + low) / 2", "close", atr(s, length)], ["supertrend", "trend", "upper_band", "lower_band"], ("supertrend", length, multiplier), sql=sql)

@@ -283,15 +283,11 @@ alias("volume.klinger_signal", "volume.klinger_oscillator", "signal")
 alias("volume.klinger_histogram", "volume.klinger_oscillator", "histogram")
 
 
-def _product(s: Sheet, x: str) -> str:
-    """Running product; Spark's SQL has none."""
-    return s.put(f"exp(sum(ln({x})) {s.past})", f"product({x}) {s.past}")
-
-
 def _index(s: Sheet, source: str, sign: str) -> str:
+    """1000, which each bar whose volume moved that way multiplies by the change of the price."""
     p = price(s, source)
-    grown = s.put(f"CASE WHEN {s.flag(f'volume {sign} {s.lag('volume')}')} THEN 1 + {s.div(f'{p} - {s.lag(p)}', s.lag(p), '0.0')} ELSE 1.0 END")
-    return s.put(f"1000 * {_product(s, grown)}")
+    change = s.put(f"CASE WHEN {s.flag(f'volume {sign} {s.lag('volume')}')} THEN -{s.div(f'{p} - {s.lag(p)}', s.lag(p), '0.0')} ELSE 0.0 END")
+    return s.fold("cast(1000.0 AS double)", change, "cast(0.0 AS double)")
 
 
 @indicator("volume.negative_volume_index")
@@ -443,35 +439,74 @@ def rolling_profile(length: int, bins_of):
 OUTPUTS = ["poc", "vah", "val", "hvn", "lvn"]
 
 
+def window_sql(s: Sheet, p: str, v: str, n: int) -> str:
+    """DuckDB list of the (price, volume) pairs of a full window that have a price; NULL if it isn't full."""
+    w = s.rows(n)
+    return f"CASE WHEN count(*) {w} >= {n} THEN coalesce(list(struct_pack(p := {p}, v := coalesce({v}, 0.0))) FILTER (WHERE {p} IS NOT NULL) {w}, []) END"
+
+
+def profile_sql(table: str, pairs: str, last: str, bins: str, outputs: list[str]) -> str:
+    """The table with the profile of its lists ``pairs`` of prices and volumes, cut into ``bins`` (over lo_ and hi_)."""
+    steps = f"SELECT *, {pairs} AS pv_ FROM {table}"
+    steps = f"SELECT *, list_min(list_transform(pv_, lambda x: x.p)) AS lo_, list_max(list_transform(pv_, lambda x: x.p)) AS hi_ FROM ({steps})"
+    steps = f"SELECT *, CASE WHEN hi_ > lo_ THEN {bins} END AS nb_ FROM ({steps})"
+    steps = f"SELECT *, list_transform(range(nb_ + 1), lambda i: CASE WHEN i = nb_ THEN hi_ ELSE lo_ + i * ((hi_ - lo_) / nb_) END) AS ed_ FROM ({steps})"
+    steps = f"SELECT *, list_transform(pv_, lambda x: struct_pack(b := least(nb_ - 1, len(list_filter(ed_[2:], lambda e: e <= x.p))), v := x.v)) AS at_ FROM ({steps})"
+    steps = f"SELECT *, list_transform(range(nb_), lambda i: coalesce(list_sum(list_transform(list_filter(at_, lambda x: x.b = i), lambda x: x.v)), 0.0)) AS ws_ FROM ({steps})"
+    steps = f"SELECT *, list_position(ws_, list_max(ws_)) AS top_, 0.7 * list_sum(ws_) AS goal_ FROM ({steps})"
+    up, down = "coalesce(ws_[a.up], -1.0)", "CASE WHEN a.dn >= 1 THEN ws_[a.dn] ELSE -1.0 END"
+    more = "a.have < goal_ AND (a.up <= nb_ OR a.dn >= 1)"
+    grown = f"list_reduce(list_concat([struct_pack(have := ws_[top_], up := top_ + 1, dn := top_ - 1)], list_transform(range(nb_), lambda i: struct_pack(have := 0.0, up := 0::INT, dn := 0::INT))), lambda a, x: CASE WHEN NOT ({more}) THEN a WHEN {up} > {down} THEN struct_pack(have := a.have + {up}, up := a.up + 1, dn := a.dn) ELSE struct_pack(have := a.have + {down}, up := a.up, dn := a.dn - 1) END)"
+    steps = f"SELECT *, {grown} AS area_, (ed_[top_] + ed_[top_ + 1]) / 2 AS poc_ FROM ({steps})"
+    low = "list_position(ws_, list_min(list_filter(ws_, lambda w: w > 0)))"
+    flat = lambda form: f"(CASE WHEN hi_ > lo_ THEN {form} WHEN hi_ = lo_ THEN {last} END)::DOUBLE"
+    forms = {"poc": "poc_", "vah": "ed_[least(area_.up, nb_ + 1)]", "val": "ed_[greatest(area_.dn, 1)]", "hvn": "poc_", "lvn": f"(ed_[{low}] + ed_[{low} + 1]) / 2"}
+    return f"SELECT * EXCLUDE (pv_, lo_, hi_, nb_, ed_, at_, ws_, top_, goal_, area_, poc_), {', '.join(f'{flat(f)} AS {o}' for f, o in zip(forms.values(), outputs))} FROM ({steps})"
+
+
 @indicator("volume.volume_profile", machine=True)
 def volume_profile(s: Sheet, length: int = 20, bins: int = 10, source: str = "hlc3") -> dict[str, str]:
-    return s.machine(rolling_profile(positive(length), lambda reach, width: bins), [price(s, source), "volume", "volume"], OUTPUTS, ("profile", length, bins, source))
+    def sql(sheet: Sheet, table: str, inputs: list[str], outputs: list[str]) -> str:
+        return profile_sql(table, window_sql(sheet, inputs[0], inputs[1], length), inputs[0], str(bins), outputs)
+
+    return s.machine(rolling_profile(positive(length), lambda reach, width: bins), [price(s, source), "volume", "volume"], OUTPUTS, ("profile", length, bins, source), sql=sql)
 
 
 @indicator("volume.session_volume_profile", machine=True)
 def session_volume_profile(s: Sheet, bins: int = 10, source: str = "hlc3") -> dict[str, str]:
-    """The profile of the session (date) so far, between the lowest and highest price so far."""
+    """The profile of the session (date) so far, between the lowest and highest price so far; a bar within these only adds to
+    its bin, one beyond them deals all of the session anew."""
 
     def make():
-        held: list = [None, [], []]
+        held: list = [None, [], [], None, None]  # day, prices, volumes, edges, weights
 
         def step(day, p, v):
             rows = []
             for d, x, w in zip(day, p, v):
                 if d != held[0]:
-                    held[:] = [d, [], []]
+                    held[:] = [d, [], [], None, None]
                 if x is not None:
                     held[1].append(x)
                     held[2].append(w or 0.0)
-                part = np.array(held[1])
-                if not len(part):
+                    edges = held[3]
+                    if edges is not None and edges[0] <= x <= edges[-1]:
+                        held[4][min(bins - 1, int(np.searchsorted(edges[1:], x, side="right")))] += w or 0.0
+                    elif (low := min(held[1])) < (high := max(held[1])):
+                        held[3:] = histogram(np.array(held[1]), np.array(held[2]), low, high, bins)
+                if not held[1]:
                     rows.append((None,) * 3)
-                elif part.min() == part.max():
-                    rows.append((part[-1],) * 3)
+                elif held[3] is None:
+                    rows.append((held[1][-1],) * 3)
                 else:
-                    rows.append(profile(*histogram(part, np.array(held[2]), part.min(), part.max(), bins))[:3])
+                    rows.append(profile(held[3], held[4])[:3])
             return list(zip(*rows))
 
         return step
 
-    return s.machine(make, ["cast(ts AS date)", price(s, source), "volume"], OUTPUTS[:3], ("session", bins, source))
+    def sql(sheet: Sheet, table: str, inputs: list[str], outputs: list[str]) -> str:
+        d, p, v = inputs
+        w = sheet.over("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", d)
+        pairs = f"list(struct_pack(p := {p}, v := coalesce({v}, 0.0))) FILTER (WHERE {p} IS NOT NULL) {w}"
+        return profile_sql(table, pairs, "pv_[len(pv_)].p", str(bins), outputs)
+
+    return s.machine(make, ["cast(ts AS date)", price(s, source), "volume"], OUTPUTS[:3], ("session", bins, source), sql=sql)

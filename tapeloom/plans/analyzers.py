@@ -5,67 +5,13 @@ Everything is a window expression, so a record can be had for every bar at the c
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tapeloom.functions.sheet import Sheet
 
-TINY = "1e-9"
-
-
-@dataclass
-class Votes:
-    """Evidence of one verdict: (type, weight, [(test, text, polarity)]); the first case that holds counts."""
-
-    s: Sheet
-    items: list[tuple[str, float, list[tuple[str, str, int]]]] = field(default_factory=list)
-
-    def add(self, kind: str, weight: float, *cases: tuple[str, str, int]) -> None:
-        self.items.append((kind, weight, list(cases)))
-
-    def _case(self, cases: list, value, other: str) -> str:
-        return "CASE " + " ".join(f"WHEN {t} THEN {value(x, p)}" for t, x, p in cases) + f" ELSE {other} END"
-
-    def polarity(self, i: int) -> str:
-        """The polarity of item i, missing where no case holds."""
-        return self.s.put(self._case(self.items[i][2], lambda x, p: str(p), "cast(NULL AS int)"))
-
-    def score(self) -> str:
-        return self.s.put(" + ".join(f"{w!r} * coalesce({self.polarity(i)}, 0)" for i, (_, w, _) in enumerate(self.items)))
-
-    def weight(self, test: str) -> str:
-        """Weight of the items whose polarity p fulfils ``test``."""
-        return self.s.put(" + ".join(f"CASE WHEN {test.format(p=self.polarity(i))} THEN {w!r} ELSE 0.0 END" for i, (_, w, _) in enumerate(self.items)))
-
-    def confidence(self, side: str) -> str:
-        return self.s.put(f"100 * {self.s.div(self.weight('{p} = ' + side), self.weight('{p} IS NOT NULL'), '0.0')}")
-
-    def evidence(self) -> str:
-        one = [f"CASE WHEN {self.polarity(i)} IS NOT NULL THEN named_struct('type', '{k}', 'weight', cast({w!r} AS double), 'value', {self._case(c, lambda x, p: repr(x), 'NULL')}, 'polarity', {self.polarity(i)}) END" for i, (k, w, c) in enumerate(self.items)]
-        return self.s.put(f"filter(array({', '.join(one)}), e -> e IS NOT NULL)")
-
-
-def band(x: str, *steps: tuple[float, str], other: str, sign: str = ">=") -> str:
-    return "CASE " + " ".join(f"WHEN {x} {sign} {v!r} THEN '{t}'" for v, t in steps) + f" ELSE '{other}' END"
-
-
-def clip(x: str, low: float, high: float) -> str:
-    return f"least(greatest({x}, {low!r}), {high!r})"
-
-
-class Look:
-    """Aggregates over the last bars of a feature sheet; shorter histories count as they are."""
-
-    def __init__(self, s: Sheet):
-        self.s = s
-
-    def f(self, name: str, x: str, n: int, end: int = 0) -> str:
-        return self.s.put(f"{name}({self.s.put(x)}) {self.s.rows(n, end)}")
-
-    def slope(self, x: str, n: int) -> str:
-        """Mean step over the last n bars."""
-        return self.f("avg", f"{self.s.put(x)} - {self.s.lag(x)}", n - 1)
+from .activity import volatility, volume
+from .shape import candles, chart, support_resistance
+from .votes import TINY, Look, Votes, band, clip
 
 
 def trend(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
@@ -195,134 +141,62 @@ def momentum(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
     g.add("Volatility", 25.0, (f"atr_14 > 1.2 * {look.f('avg', 'atr_14', 20)}", "Volatility Expanding with Direction", 1))
     lit = g.weight("{p} IS NOT NULL")
     out |= {"ignition_score": lit, "ignition": s.mark(band(lit, (85.0, "Explosive"), (60.0, "Igniting"), (30.0, "Building"), other="Dormant"), "string")}
-    for osc, limit in (("rsi", (65.0, 35.0)), ("macd_line", (0.0, 0.0)), ("roc", (0.0, 0.0)), ("momentum", (0.0, 0.0))):
-        out[f"divergence_{osc}"] = divergence(s, look, osc, *limit)
-    vote = " + ".join(f"sign({out[f'divergence_{o}']})" for o in ("rsi", "macd_line", "roc", "momentum"))
-    out["divergence"] = s.mark(f"CASE WHEN {vote} >= 2 THEN 'Bullish' WHEN {vote} <= -2 THEN 'Bearish' ELSE 'None' END", "string")
+    # the strengths of the oscillators' divergences; the type that most of them have
+    kinds = {o: divergence(s, look, o, *((65.0, 35.0) if o == "rsi" else (0.0, 0.0))) for o in ("rsi", "macd_line", "roc", "momentum")}
+    out |= {f"divergence_{o}": k for o, (k, _) in kinds.items()}
+    n = {t: s.put(" + ".join(f"CASE WHEN {k} = {t} THEN 1 ELSE 0 END" for k, _ in kinds.values())) for t in (-1, 1, -2, 2)}
+    most, any_ = s.put(f"greatest({', '.join(n.values())})"), s.put(" + ".join(n.values()))
+    kind = s.put(f"CASE WHEN {most} = 0 THEN 0 " + " ".join(f"WHEN {c} = {most} THEN {t}" for t, c in n.items()) + " ELSE 0 END")
+    strongest = s.put(f"greatest({', '.join(x for _, x in kinds.values())})")
+    out |= {
+        "divergence": s.mark(f"CASE {kind} WHEN -1 THEN 'Regular Bearish' WHEN 1 THEN 'Regular Bullish' WHEN -2 THEN 'Hidden Bearish' WHEN 2 THEN 'Hidden Bullish' ELSE 'None' END", "string"),
+        "divergence_strength": strongest, "divergence_confidence": s.put(f"25.0 * {any_}"),
+    }
+    out |= {"acceleration_rate": s.put(f"CASE WHEN {a.polarity(0)} IS NOT NULL THEN 1.0 ELSE 0.0 END + CASE WHEN {a.polarity(1)} IS NOT NULL THEN 0.1 * abs({speed}) ELSE 0.0 END")}
+    out |= {"rsi_regime": s.mark("CASE WHEN rsi > 50 THEN 'Bullish' ELSE 'Bearish' END", "string"), "macd_phase": s.mark(f"CASE WHEN abs({macd}) = 100 THEN 'Expanding' ELSE 'Transitional' END", "string")}
+    up, down = "roc > 0 AND rsi > 50 AND macd_histogram > 0 AND momentum > 0", "roc < 0 AND rsi < 50 AND macd_histogram < 0 AND momentum < 0"
+    local = s.put(f"CASE WHEN {up} THEN 100.0 WHEN {down} THEN -100.0 ELSE 0.0 END")
+    out |= {
+        "local_alignment": local,
+        "momentum_cycle": s.mark(
+            f"CASE WHEN {tight} >= 70 THEN 'Accumulation' WHEN {lit} >= 60 AND {shift} <> 0 THEN 'Early Expansion' WHEN {lit} >= 30 AND abs({score}) > 20 THEN 'Expansion' WHEN {faster} >= 60 THEN 'Acceleration' "
+            f"WHEN abs({score}) >= 60 THEN 'Markup/Markdown' WHEN {tired} >= 60 THEN 'Exhaustion' WHEN abs({shift}) > 40 AND {score} <> 0 AND sign({shift}) <> sign({score}) THEN 'Distribution' ELSE 'Reset' END",
+            "string",
+        ),
+    }
+    out["cycle_confidence"] = s.put(f"CASE WHEN {out['momentum_cycle']} IN ('Accumulation', 'Acceleration', 'Exhaustion') THEN 100.0 ELSE 80.0 END")
+    rises = look.f("sum", "CASE WHEN roc > 0 THEN 1 ELSE 0 END", 20)
+    lasts = s.put(f"5.0 * CASE WHEN {score} > 0 THEN {rises} ELSE 20 - {rises} END")
+    backed, fit = s.put(clip(f"50 * {busy}", 0.0, 100.0)), s.put(clip("100 * coalesce(linreg_r2, 0.0)", 0.0, 100.0))
+    agree = s.put("CASE WHEN rsi > 50 AND macd_line > 0 AND roc > 0 THEN 100.0 WHEN rsi < 50 AND macd_line < 0 AND roc < 0 THEN 100.0 ELSE 0.0 END")
+    quality = s.put(f"({fit} + {agree} + {backed}) / 3")
+    out |= {
+        "momentum_persistence": lasts, "volume_backing": backed, "momentum_quality": quality, "momentum_efficiency": fit, "momentum_stability": s.put(clip(f"100 - {tight}", 0.0, 100.0)), "momentum_consistency": agree,
+        "impulse_strength": faster, "pullback_strength": s.put(f"100 - {faster}"), "momentum_continuation": s.put(f"(0.3 * abs({score}) + 0.3 * {lasts} + 0.4 * {joined}) * CASE WHEN {any_} > 0 THEN 0.5 ELSE 1.0 END"),
+    }
+    side = s.put(f"cast(CASE WHEN {shift} <> 0 THEN sign({shift}) ELSE sign({score}) END AS int)")
+    ready = s.put(clip(
+        f"0.15 * {lit} + 0.1 * abs({shift}) + 0.15 * {joined} + 0.1 * {backed} + CASE WHEN {side} <> 0 AND sign({local}) = {side} THEN 0.1 * abs({local}) ELSE 0.0 END + 0.1 * abs({score}) + 0.1 * {quality} + least(0.2 * coalesce(adx, 0.0), 10.0) "
+        f"+ 0.1 * {lasts} + CASE WHEN atr_14 > 1.2 * {look.f('avg', 'atr_14', 20)} THEN 5 ELSE 0 END - CASE WHEN {tired} > 40 THEN 0.4 * {tired} ELSE 0.0 END - CASE WHEN {any_} > 0 AND sign({kind}) <> {side} THEN 30 ELSE 0 END", 0.0, 100.0,
+    ))
+    out |= {
+        "swing_readiness": ready,
+        "swing_state": s.mark(f"CASE WHEN {ready} >= 85 THEN 'Ready (Optimal Entry)' WHEN {ready} >= 65 THEN 'Early (Building)' WHEN {ready} >= 45 THEN 'Running' WHEN {ready} >= 25 THEN 'Late (Extended)' WHEN {tired} > 60 THEN 'Exhausted' ELSE 'Very Early / Dormant' END", "string"),
+    }
     return out, {"momentum": v, "acceleration": a, "exhaustion": x, "shift": h, "compression": c, "ignition": g}
 
 
-def divergence(s: Sheet, look: Look, osc: str, high: float, low: float) -> str:
-    """1 and -1: regular, 2 and -2: hidden divergence of price and oscillator between the halves of the last 20 bars."""
-    p = {k: (look.f(f, x, 10, 10), look.f(f, x, 10)) for k, f, x in (("pmax", "max", "close"), ("pmin", "min", "close"), ("omax", "max", osc), ("omin", "min", osc))}
-    (a, b), (c, d), (e, f), (g, h) = p["pmax"], p["pmin"], p["omax"], p["omin"]
-    return s.put(f"CASE WHEN {b} > {a} AND {f} < {e} AND {e} > {high!r} THEN -1 WHEN {d} < {c} AND {h} > {g} AND {g} < {low!r} THEN 1 WHEN {b} < {a} AND {f} > {e} AND {f} > {high!r} THEN -2 WHEN {d} > {c} AND {h} < {g} AND {h} < {low!r} THEN 2 ELSE 0 END")
-
-
-def volatility(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
-    look = Look(s)
-    n = 252
-
-    def rank(x: str) -> str:
-        values = s.put(f"collect_list({x}) {s.rows(n)}", f"coalesce(list({x}) FILTER (WHERE {x} IS NOT NULL) {s.rows(n)}, [])")
-        return s.put(f"100.0 * {s.count_if(values, f'v <= {x}')} / nullif(count({x}) {s.rows(n)}, 0)")
-
-    atr_rank, hv_rank = rank("atr_14"), rank("hv_20")
-    z = s.put(s.div(f"atr_14 - {look.f('avg', 'atr_14', n)}", look.f("stddev_samp", "atr_14", n), "0.0"))
-    gaps = s.put(f"100 * {look.f('avg', f'CASE WHEN gap_size > 0.5 * atr_14 THEN 1.0 ELSE 0.0 END', 20)}")
-    change = s.put(s.div(f"atr_14 - {s.lag('atr_14')}", s.lag("atr_14")))
-    again = s.put(f"corr({change}, {s.lag(change)}) {s.rows(n)}")
-    v = Votes(s)
-    v.add("ATR_Rank", 40.0, (f"{atr_rank} >= 70", "High ATR rank", 1), (f"{atr_rank} <= 30", "Low ATR rank", -1))
-    v.add("HV_Rank", 30.0, (f"{hv_rank} >= 70", "High HV rank", 1), (f"{hv_rank} <= 30", "Low HV rank", -1))
-    v.add("Efficiency", 30.0, ("efficiency_ratio >= 0.6", "Directional", 1), ("efficiency_ratio <= 0.2", "Choppy", -1))
-    score = v.score()
-    state = s.mark(f"CASE WHEN {score} >= 60 THEN 'Extreme' WHEN {score} >= 20 THEN 'High' WHEN {score} > -20 THEN 'Normal' WHEN {score} > -60 THEN 'Low' ELSE 'Very Low' END", "string")
-    slope = s.put(f"100 * {s.div(look.slope('atr_14', 10), look.f('avg', 'atr_14', 10), '0.0')}")
-    cycle = s.mark(f"CASE WHEN {slope} > 1 THEN 'Expansion' WHEN {slope} < -1 THEN 'Contraction' WHEN {atr_rank} >= 70 THEN 'Peak' WHEN {atr_rank} <= 30 THEN 'Trough' ELSE 'Stable' END", "string")
-    off = s.cum("sum", "1 - sqz")
-    run = s.cum("sum", "sqz", off)
-    chance = s.put(clip(f"50 + 2.0 * least({run}, 20) + CASE WHEN {slope} < 0 THEN 10 ELSE -10 END - 10 * {z}", 5.0, 95.0))
-    return {
-        "atr_rank": atr_rank, "hv_rank": hv_rank, "atr_zscore": z, "gap_frequency": gaps, "atr_autocorrelation": again, "volatility_score": score, "volatility_state": state, "volatility_slope": slope, "volatility_cycle": cycle,
-        "squeeze_bars": run, "squeeze": s.mark(f"CASE WHEN {run} >= 10 THEN 'Extreme' WHEN {run} >= 5 THEN 'Active' WHEN {run} > 0 THEN 'Early' ELSE 'None' END", "string"), "breakout_probability": chance,
-    }, {"state": v}
-
-
-def volume(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
-    look = Look(s)
-    up = f"(CASE WHEN close > ema_20 THEN 1 ELSE 0 END + CASE WHEN close > vwap THEN 1 ELSE 0 END + CASE WHEN close > {s.lag('close', 10)} THEN 1 ELSE 0 END)"
-    side = s.put(f"CASE WHEN {up} >= 2 THEN 1 WHEN {up} = 0 THEN -1 ELSE 0 END")
-    v = Votes(s)
-    for x, weight in (("obv", 15.0), ("cmf", 10.0), ("vpt", 10.0), ("mfi", 10.0), ("force_index", 10.0), ("adl", 10.0), ("nvi", 5.0), ("pvi", 5.0)):
-        moved = "cmf" if x == "cmf" else "force_index" if x == "force_index" else "mfi - 50" if x == "mfi" else f"{x} - {s.lag(x, 5)}"
-        v.add(x, weight, (f"({moved}) > 0", "rises", 1), (f"({moved}) < 0", "falls", -1))
-    v.add("vwap_rvol", 15.0, ("close > vwap AND relative_volume > 1", "above VWAP on volume", 1), ("close < vwap AND relative_volume > 1", "below VWAP on volume", -1))
-    agree, total = v.weight("{p} = " + side), v.weight("{p} IS NOT NULL")
-    confirmation = s.put(f"100 * {s.div(agree, total, '0.0')}")
-    e = Votes(s)
-    e.add("Surge", 40.0, ("volume_percentile >= 90 OR volume_zscore >= 2", "Volume at its extreme", 1))
-    e.add("Acceleration", 30.0, (f"volume > {s.lag('volume')} AND {s.lag('volume')} > {s.lag('volume', 2)}", "Three rising bars", 1))
-    e.add("Climax", 30.0, (f"volume > 2.5 * {look.f('avg', 'volume', 20)}", "Climax volume", 1))
-    burst = e.weight("{p} IS NOT NULL")
-    d = Votes(s)
-    d.add("Delivery", 40.0, ("delivery_percent > 60", "High delivery", 1), ("delivery_percent < 55", "Low delivery", -1))
-    d.add("Quantity", 30.0, (f"delivery_quantity > 1.2 * {look.f('avg', 'delivery_quantity', 20)}", "Quantity rises", 1), (f"delivery_quantity < 0.8 * {look.f('avg', 'delivery_quantity', 20)}", "Quantity falls", -1))
-    steady = s.put(clip(f"100 - 100 * {s.div(look.f('stddev_samp', 'volume', 20), look.f('avg', 'volume', 20), '1.0')}", 0.0, 100.0))
-    return {
-        "volume_trend": side, "confirmation_score": confirmation, "confirmation": s.mark(band(confirmation, (70.0, "Strong"), (50.0, "Moderate"), (30.0, "Weak"), other="None"), "string"), "explosion_score": burst,
-        "explosion": s.mark(band(burst, (70.0, "Explosive"), (40.0, "Elevated"), other="Normal"), "string"), "delivery_score": d.score(), "volume_stability": steady,
-        "dry_up": s.mark(s.flag(f"volume < 0.5 * {look.f('avg', 'volume', 20)}"), "boolean"), "absorption": s.mark(s.flag("relative_volume > 1.5 AND body_pct < 30"), "boolean"),
-    }, {"confirmation": v, "explosion": e, "delivery": d}
-
-
-def fused(prior: float, events: list[tuple[str, float]], s: Sheet) -> str:
-    """Odds of a prior times the likelihood ratios of the events that hold; after the first one they count 0.4 of it."""
-    odds, seen = repr(prior / (1 - prior)), "0"
-    for test, ratio in events:
-        on = s.put(s.flag(test))
-        first = s.put(f"{seen} = 0")
-        odds = s.put(f"{odds} * CASE WHEN NOT {on} THEN 1.0 WHEN {first} THEN {ratio!r} ELSE {1 + (ratio - 1) * 0.4!r} END")
-        seen = s.put(f"{seen} + CASE WHEN {on} THEN 1 ELSE 0 END")
-    return s.put(f"100 * {odds} / (1 + {odds})")
-
-
-def candles(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
-    v = Votes(s)
-    v.add("Sweep", 35.0, ("liquidity_sweep > 0", "Sell side swept", 1), ("liquidity_sweep < 0", "Buy side swept", -1))
-    v.add("Expansion", 20.0, ("displacement_strength > 0 AND close > open", "Expansion up", 1), ("displacement_strength > 0 AND close < open", "Expansion down", -1))
-    v.add("Absorption", 25.0, ("relative_volume > 1.5 AND body_pct < 30 AND trend_direction > 0", "Absorption in an uptrend", -1), ("relative_volume > 1.5 AND body_pct < 30 AND trend_direction < 0", "Absorption in a downtrend", 1))
-    bulls = s.put(clip("50 * (clv + 1) + CASE WHEN bull_sequence >= 3 THEN 5 * bull_sequence ELSE 0 END - CASE WHEN bear_sequence >= 3 THEN 5 * bear_sequence ELSE 0 END", 0.0, 100.0))
-    turn = fused(0.15, [("choch <> 0", 3.0), ("liquidity_sweep <> 0", 2.5), ("doji = 1", 1.5)], s)
-    on = fused(0.6, [("bos = trend_direction", 2.0), ("abs(clv) > 0.4 AND sign(clv) = trend_direction", 1.5), ("choch = -trend_direction", 0.4)], s)
-    fill = s.put("CASE WHEN gap_up = 1 THEN CASE WHEN close > open THEN 30.0 ELSE 70.0 END WHEN gap_down = 1 THEN CASE WHEN close < open THEN 30.0 ELSE 70.0 END ELSE 0.0 END")
-    regime = s.mark("CASE WHEN efficiency_ratio > 0.55 AND normalized_volatility > 0.05 THEN 'Trending' ELSE 'Ranging' END", "string")
-    return {"candle_regime": regime, "psychology_score": v.score(), "bull_power_pct": bulls, "bear_power_pct": s.put(f"100 - {bulls}"), "reversal_probability": turn, "candle_continuation_probability": on, "gap_fill_probability": fill}, {"psychology": v}
-
-
-def support_resistance(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
-    below = s.put("greatest(CASE WHEN nearest_support < close THEN nearest_support END, CASE WHEN swing_low < close THEN swing_low END, CASE WHEN sell_side_liquidity < close THEN sell_side_liquidity END)")
-    above = s.put("least(CASE WHEN nearest_resistance > close THEN nearest_resistance END, CASE WHEN swing_high > close THEN swing_high END, CASE WHEN buy_side_liquidity > close THEN buy_side_liquidity END)")
-    v = Votes(s)
-    v.add("Structure", 35.0, (f"close - {below} < {above} - close", "Nearer to support", 1), (f"close - {below} > {above} - close", "Nearer to resistance", -1))
-    v.add("Volume", 25.0, ("support_strength > resistance_strength", "Volume at lows", 1), ("support_strength < resistance_strength", "Volume at highs", -1))
-    v.add("Institutional", 25.0, ("order_block > 0 OR fvg > 0", "Demand left behind", 1), ("order_block < 0 OR fvg < 0", "Supply left behind", -1))
-    near = "greatest(0.015 * close, 0.15 * coalesce(channel_width, 0.0))"
-    return {
-        "support": below, "resistance": above, "bias_score": v.score(), "breakout": s.mark(s.flag(f"bos > 0 OR close > 1.005 * nearest_resistance"), "boolean"), "breakdown": s.mark(s.flag("bos < 0 OR close < 0.995 * nearest_support"), "boolean"),
-        "retest": s.mark(f"CASE WHEN close - {below} <= {near} AND trend_direction > 0 THEN 'Support Retest' WHEN {above} - close <= {near} AND trend_direction < 0 THEN 'Resistance Retest' ELSE 'None' END", "string"),
-        "reward_risk": s.put(s.div(f"{above} - close", f"close - {below}")),
-    }, {"bias": v}
-
-
-def chart(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
-    v = Votes(s)
-    order = (
-        ("Cup & Handle", "handle_detected = 1", 1), ("Cup", "cup_detected = 1", 1), ("Inverse Head & Shoulders", "ihs_detected = 1", 1), ("Head & Shoulders", "hs_detected = 1", -1), ("Triple Bottom", "triple_bottom_detected = 1", 1),
-        ("Triple Top", "triple_top_detected = 1", -1), ("Double Bottom", "double_bottom_detected = 1", 1), ("Double Top", "double_top_detected = 1", -1), ("Pennant", "pennant_detected = 1", 0), ("Flag", "flag_detected = 1", 0),
-        ("Triangle", "triangle_detected = 1", 0), ("Wedge", "wedge_detected = 1", 0), ("Channel", "channel_detected = 1", 0), ("Rectangle", "rectangle_detected = 1", 0), ("Rounding Bottom", "rounding_bottom_detected = 1", 1), ("Rounding Top", "rounding_top_detected > 0", -1),
-    )
-    for name, test, side in order:
-        v.add(name, 10.0, (test, name, side))
-    first = s.mark("CASE " + " ".join(f"WHEN {t} THEN '{n}'" for n, t, _ in order) + " ELSE 'None' END", "string")
-    side = s.put("CASE " + " ".join(f"WHEN {t} THEN {p if p else 'trend_direction'}" for _, t, p in order) + " ELSE 0 END")
-    stop = s.put(f"CASE WHEN {side} > 0 THEN coalesce(nearest_support, close - atr_14) - 0.5 * atr_14 WHEN {side} < 0 THEN coalesce(nearest_resistance, close + atr_14) + 0.5 * atr_14 END")
-    target = s.put(f"CASE WHEN {side} <> 0 THEN close + {side} * 3 * atr_14 END")
-    return {"pattern": first, "pattern_side": side, "pattern_stop": stop, "pattern_target": target, "pattern_reward_risk": s.put(s.div(f"abs({target} - close)", f"abs(close - {stop})")), "pattern_score": s.put("coalesce(pattern_confidence, 0.0)")}, {"patterns": v}
+def divergence(s: Sheet, look: Look, osc: str, high: float, low: float) -> tuple[str, str]:
+    """(type, strength): 1 and -1 regular, 2 and -2 hidden divergence of price and oscillator between the halves of the last
+    20 bars."""
+    (a, b), (c, d), (e, f), (g, h) = ((look.f(how, x, 10, 10), look.f(how, x, 10)) for how, x in (("max", "close"), ("min", "close"), ("max", osc), ("min", osc)))
+    kind = s.put(f"CASE WHEN {s.lag('close', 19)} IS NULL THEN 0 WHEN {b} > {a} AND {f} < {e} AND {e} > {high!r} THEN -1 WHEN {d} < {c} AND {h} > {g} AND {g} < {low!r} THEN 1 WHEN {b} < {a} AND {f} > {e} AND {f} > {high!r} THEN -2 WHEN {d} > {c} AND {h} < {g} AND {h} < {low!r} THEN 2 ELSE 0 END")
+    return kind, s.put(f"CASE WHEN {kind} = 0 THEN 0.0 ELSE least(CASE WHEN {kind} < 0 THEN abs({e} - {f}) / (abs({e}) + {TINY}) ELSE abs({h} - {g}) / (abs({g}) + {TINY}) END * CASE WHEN abs({kind}) = 1 THEN 200.0 ELSE 150.0 END, 100.0) END")
 
 
 #: fixed values: weights of longer timeframes, and of the bar's own in the two votes
 FRAME_WEIGHTS = {"_M": 0.30, "_W": 0.25, "_D": 0.20, "_4H": 0.10, "_1H": 0.05, "_15m": 0.05, "_5m": 0.05}
+CANDLE_WEIGHTS = {"_M": 0.35, "_W": 0.25, "_D": 0.20, "_4H": 0.10, "_1H": 0.05, "_15m": 0.03, "_5m": 0.02}
 OWN_TREND, OWN_MOMENTUM = 0.10, 0.15
 
 
@@ -348,12 +222,39 @@ def frames(s: Sheet) -> tuple[dict[str, str], dict[str, Votes]]:
     push = f"{OWN_MOMENTUM!r} * coalesce({side('')}, 0)" + "".join(f" + {FRAME_WEIGHTS[f]!r} * coalesce({c}, 0)" for f, c in sides.items())
     weight = repr(OWN_MOMENTUM) + "".join(f" + CASE WHEN {c} IS NOT NULL THEN {FRAME_WEIGHTS[f]!r} ELSE 0.0 END" for f, c in sides.items())
     drive = s.put(f"100 * ({push}) / ({weight})")
+    def known(c: str) -> bool:
+        return c in s.columns
+
+    # bodies of the longer bars: their lean, and how far the longest and the shorter ones disagree
+    lean = {f: s.put(f"cast(sign(close{f} - open{f}) AS int)") for f in there if known(f"open{f}")}
+    bodies = " + ".join(["0.0", *(f"{CANDLE_WEIGHTS[f]!r} * coalesce({c}, 0)" for f, c in lean.items())])
+    counted = " + ".join([TINY, *(f"CASE WHEN {c} IS NOT NULL THEN {CANDLE_WEIGHTS[f]!r} ELSE 0.0 END" for f, c in lean.items())])
+    candle = s.put(f"100 * ({bodies}) / ({counted})")
+    part = lambda names: s.put(" + ".join(["0.0", *(f"CASE WHEN close{f} > open{f} THEN 1.0 WHEN close{f} IS NULL THEN 0.0 ELSE -1.0 END" for f in names if f in lean)]))
+    longest, shorter = part(("_D", "_W", "_M")), part(("_5m", "_15m", "_1H", "_4H"))
+    torn = s.put(f"25 * abs({longest} - {shorter})")
+    # volume features of the longer bars against their own past
+    traded: dict[str, str] = {}
+    for f in there:
+        tests = [(f"volume{f}", f"volume{f} > volume_ma_20{f}" if known(f"volume_ma_20{f}") else "false")]
+        tests += [(f"{c}{f}", f"{c}{f} > {s.lag(f'{c}{f}')}") for c in ("obv", "chaikin_money_flow") if known(f"{c}{f}")]
+        tests += [(f"vwap{f}", f"close{f} > vwap{f}")] if known(f"vwap{f}") else []
+        votes = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 WHEN {t} THEN 1 ELSE -1 END" for c, t in tests if known(c))
+        there_ = " OR ".join(f"{c} IS NOT NULL" for c, _ in tests if known(c))
+        traded[f] = s.put(f"CASE WHEN NOT ({there_}) THEN NULL WHEN {votes} > 0 THEN 1 ELSE -1 END")
+    flow = " + ".join(["0.0", *(f"{FRAME_WEIGHTS[f]!r} * coalesce({c}, 0)" for f, c in traded.items())])
+    heard = s.put(" + ".join(["0.0", *(f"CASE WHEN {c} IS NOT NULL THEN {FRAME_WEIGHTS[f]!r} ELSE 0.0 END" for f, c in traded.items())]))
+    volumes = s.put(f"100 * {s.div(flow, heard, '0.0')}")
     v = Votes(s)
     for f in there:
         v.add(f.strip("_"), FRAME_WEIGHTS[f], (f"close{f} > ema{f}", "Bullish", 1), (f"close{f} <= ema{f}", "Bearish", -1))
     return {
         "frames_trend_score": share, "frames_trend": s.mark(text, "string"), "frames_momentum_score": drive,
         "frames_momentum": s.mark(f"CASE WHEN {drive} > 70 THEN 'Strong Bullish Alignment' WHEN {drive} < -70 THEN 'Strong Bearish Alignment' ELSE 'Mixed / Choppy' END", "string"),
+        "frames_candle_score": candle, "frames_candle": s.mark(f"CASE WHEN {candle} > 35 THEN 'Macro Long' WHEN {candle} < -35 THEN 'Macro Short' ELSE 'Rotational Balance' END", "string"),
+        "frames_trigger": s.mark(f"CASE WHEN {shorter} > 1 THEN 'Trigger Sync Bull' WHEN {shorter} < -1 THEN 'Trigger Sync Bear' ELSE 'Friction Compression' END", "string"), "frames_conflict": torn,
+        "frames_structure": s.mark(f"CASE WHEN {torn} < 30 THEN 'Consensus Structural Matrix' ELSE 'Timeframe Fragmentation Node' END", "string"),
+        "frames_volume_score": volumes, "frames_volume": s.mark(f"CASE WHEN {volumes} > 50 THEN 'Macro Accumulation' WHEN {volumes} < -50 THEN 'Macro Distribution' ELSE 'Mixed Context' END", "string"), "frames_volume_confidence": s.put(f"100 * {heard}"),
     }, {"timeframes": v} if there else {}
 
 
@@ -372,6 +273,13 @@ def analyze(features: DataFrame, name: str, latest: bool = True, evidence: bool
     return df
 
 
+def analyze_sql(features: str, columns: dict[str, str], name: str, digits: int | None = 2) -> str:
+    """DuckDB SQL of the records of all bars, without evidence, over the SQL ``features`` with these columns and types."""
+    s = Sheet(dict(columns))
+    out, _ = ANALYZERS[name](s)
+    return f"SELECT symbol, ts, close, {', '.join(out)} FROM ({s.duck(features, out, digits)})"
+
+
 def required(name: str) -> list[str]:
     """Feature columns that an analyzer reads."""
     from tapeloom.functions.sheet import TOKEN

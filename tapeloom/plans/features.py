@@ -11,8 +11,13 @@ from tapeloom.operators.base import BAR
 TINY = "1e-9"
 
 
-def build(s: Sheet) -> dict[str, str]:
-    """name -> column of the sheet. Placeholders that carry no information are left out; pattern results are kept."""
+def build(s: Sheet, look_ahead: bool = False) -> dict[str, str]:
+    """name -> column of the sheet. Placeholders that carry no information are left out; pattern results are kept.
+
+    The regime, which the studied library names and never fills, comes from the ADX, the squeeze and the range. Every bar
+    holds what it can know, so its row is the same whichever bars follow. ``look_ahead``: structure, liquidity and
+    zones from swings at their own bar, and zones with what the bars after them made of them.
+    """
     trend = volatility.supertrend(s, 10, 3.0)
     macd, reg, spread = momentum.macd(s), statistics.rolling_regression(s, 100), f"(high - low + {TINY})"
     before = s.lag("close")
@@ -48,34 +53,39 @@ def build(s: Sheet) -> dict[str, str]:
         "support_strength": s.roll("avg", f"CASE WHEN close <= {s.roll('min', 'low', 10)} THEN volume ELSE 0.0 END", 10), "resistance_strength": s.roll("avg", f"CASE WHEN close >= {s.roll('max', 'high', 10)} THEN volume ELSE 0.0 END", 10),
         "compression_pct": s.put(f"(high - low) / ({out['atr_14']} + {TINY})"), "breakout_pressure": s.put(f"{out['volume_ratio']} * abs(close - {before}) / ({out['atr_14']} + {TINY})"), "volume_confirmation": out["volume_ratio"],
     }
-    near, far = smart_money.structure(s, 5), smart_money.structure(s, 20)
-    life, pool = smart_money.lifecycle(s, 5), smart_money.liquidity(s, 5)
-    sweep = smart_money.liquidity_sweep(s)
+    known = not look_ahead
+    near, far = smart_money.structure(s, 5, known), smart_money.structure(s, 20, known)
+    life, pool = smart_money.zones(s, 5, known), smart_money.liquidity(s, 5, known)
+    sweep = smart_money.liquidity_sweep(s, 5, known)
     out |= {
         "bos": near["bos"], "internal_bos": near["bos"], "external_bos": far["bos"], "major_bos": far["bos"], "minor_bos": near["bos"], "choch": near["choch"], "internal_choch": near["choch"], "external_choch": far["choch"],
-        "displacement_strength": s.put(f"CASE WHEN {smart_money.displacement_candle(s)} THEN 100.0 ELSE 0.0 END"), "swing_failure": life["mss"], "structure_score": smart_money.structure_strength(s),
+        "displacement_strength": s.put(f"CASE WHEN {smart_money.displacement_candle(s)} THEN 100.0 ELSE 0.0 END"), "swing_failure": life["mss"], "structure_score": smart_money.structure_strength(s, known),
         "ob_active": s.put(f"CASE WHEN abs({life['ob']}) IN (1, 2) THEN 1 ELSE 0 END"), "bullish_ob_detected": s.put(f"CASE WHEN {life['ob']} IN (1, 2) THEN 1 ELSE 0 END"), "bearish_ob_detected": s.put(f"CASE WHEN {life['ob']} IN (-1, -2) THEN 1 ELSE 0 END"),
-        "mitigation_block": s.put(f"CASE WHEN abs({life['ob']}) = 7 THEN 1 ELSE 0 END"), "breaker_block": s.put(f"CASE WHEN abs({life['ob']}) = 5 THEN 1 ELSE 0 END"), "ob_age": life["ob_age"], "ob_efficiency": smart_money.order_block_strength(s),
+        "mitigation_block": s.put(f"CASE WHEN abs({life['ob']}) = 7 THEN 1 ELSE 0 END"), "breaker_block": s.put(f"CASE WHEN abs({life['ob']}) = 5 THEN 1 ELSE 0 END"), "ob_age": life["ob_age"], "ob_efficiency": smart_money.order_block_strength(s, 5, known),
         "reaction_count": s.put(f"CASE WHEN abs({life['ob']}) = 2 THEN 1 ELSE 0 END"), "order_block": s.put(f"CASE WHEN {life['ob']} > 0 THEN 1.0 WHEN {life['ob']} < 0 THEN -1.0 ELSE 0.0 END"),
         "fvg": s.put(f"CASE WHEN {life['fvg']} IN (1, 2) THEN 1.0 WHEN {life['fvg']} IN (-1, -2) THEN -1.0 ELSE 0.0 END"), "fvg_active": s.put(f"CASE WHEN abs({life['fvg']}) IN (1, 2) THEN 1 ELSE 0 END"), "inverse_fvg": s.put(f"CASE WHEN abs({life['fvg']}) = 5 THEN 1 ELSE 0 END"),
-        "fvg_width": smart_money.fvg_strength(s), "fvg_age": life["fvg_age"], "fvg_fill_ratio": s.put(f"CASE WHEN abs({life['fvg']}) = 3 THEN 1.0 WHEN abs({life['fvg']}) IN (1, 2) THEN 0.5 ELSE 0.0 END"),
-        "liq_sweep": sweep, "liquidity_sweep": sweep, "sweep_strength": smart_money.liquidity_score(s), "equal_highs": pool["eqh"], "equal_lows": pool["eql"], "buy_side_liquidity": pool["bsl"], "sell_side_liquidity": pool["ssl"],
-        "liquidity_pool_strength": smart_money.liquidity_strength(s), "institutional_volume_score": smart_money.institutional_score(s), "smart_money_score": smart_money.smart_money_score(s),
+        "fvg_width": smart_money.fvg_strength(s, 5, known), "fvg_age": life["fvg_age"], "fvg_fill_ratio": s.put(f"CASE WHEN abs({life['fvg']}) = 3 THEN 1.0 WHEN abs({life['fvg']}) IN (1, 2) THEN 0.5 ELSE 0.0 END"),
+        "liq_sweep": sweep, "liquidity_sweep": sweep, "sweep_strength": smart_money.liquidity_score(s, known), "equal_highs": pool["eqh"], "equal_lows": pool["eql"], "buy_side_liquidity": pool["bsl"], "sell_side_liquidity": pool["ssl"],
+        "liquidity_pool_strength": smart_money.liquidity_strength(s, 5, known), "institutional_volume_score": smart_money.institutional_score(s), "smart_money_score": smart_money.smart_money_score(s, known),
         "bbw": volatility.bollinger_width(s), "sqz": s.put(f"CASE WHEN {volatility.bollinger_squeeze(s)} THEN 1 ELSE 0 END"), "hv_20": volatility.historical_volatility(s), "ei": volatility.expansion_index(s), "chop": volatility.choppiness_index(s),
         "nearest_support": levels.confirmed(s, "low", 5), "nearest_resistance": levels.confirmed(s, "high", 5),
     }
+    wide = s.put(f"{out['atr_14']} > 1.5 * {s.roll('avg', out['atr_14'], 50)}")
+    out |= {
+        "market_regime": s.mark(f"CASE WHEN {out['adx']} >= 25 THEN 'Trending' WHEN {out['sqz']} = 1 THEN 'Compression' WHEN {wide} THEN 'Volatile' WHEN {out['adx']} < 20 THEN 'Mean Reversion' ELSE 'Neutral' END", "string"),
+    }
     return out
 
 
-def features(bars: DataFrame, fill: str | None = None) -> DataFrame:
+def features(bars: DataFrame, fill: str | None = None, look_ahead: bool = False, digits: int | None = None) -> DataFrame:
     """Feature columns beside the bar columns.
 
     fill: None leaves missing values; ``forward`` carries the last value on; ``both`` also fills what comes before the
-    first value, which looks ahead.
+    first value, which looks ahead. look_ahead: see ``build``.
     """
     s = Sheet(dict(BAR))
-    out = build(s)
-    df = s.spark(bars.select(*BAR), out)
+    out = build(s, look_ahead)
+    df = s.spark(bars.select(*BAR), out, digits)
     if fill is None:
         return df
     past = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
@@ -85,4 +95,10 @@ def features(bars: DataFrame, fill: str | None = None) -> DataFrame:
     return df
 
 
+def features_sql(bars: str, look_ahead: bool = False, digits: int | None = None) -> str:
+    """DuckDB SQL of the unfilled table over the SQL ``bars``."""
+    s = Sheet(dict(BAR))
+    return s.duck(bars, build(s, look_ahead), digits)
+
+
 __all__ = ["candle", "build", "features"]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tapeloom.functions.sheet import Sheet
 from tapeloom.operators import averages, base, candle, levels, momentum, patterns, smart_money, statistics, volatility, volume  # noqa: F401
 from tapeloom.sources import bars as source
 
@@ -23,14 +24,18 @@ def bench_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 BENCH_SQL = source.benchmark_sql(source.SQL["hour"], source.SQL["all_hour"])
 
 
-def _family(name: str, names: list[str], bench: bool, sql: bool) -> None:
+_NAMES: dict[str, list[str]] = {}
+
+
+def _family(name: str, names: list[str], bench: bool) -> None:
+    _NAMES[name] = names
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = bench_bars(spark, sf_dir) if bench else source.event_bars(spark, sf_dir)
         return base.compute(bars, names, DIGITS)
 
     QUERIES[name] = run
-    if sql:
-        ORACLE_SQL[name] = base.sql(BENCH_SQL if bench else source.SQL["hour"], names, DIGITS, bench)
+    ORACLE_SQL[name] = base.sql(BENCH_SQL if bench else source.SQL["hour"], names, DIGITS, bench)
 
 
 def _chunks(names: list[str], n: int) -> list[list[str]]:
@@ -44,11 +49,17 @@ def _register_indicators(most: int = 36) -> None:
     for (family, bench, machine), names in families.items():
         for k, part in enumerate(_chunks(names, most)):
             label = f"{family}{'_benchmark' if bench else ''}{'_machines' if machine else ''}_{k + 1}"
-            _family(label, part, bench, not machine)
+            _family(label, part, bench)
 
 
 _register_indicators()
 
+#: families that need other bars than hourly ones to show all they can: by deliveries and by orders
+for _label, _read, _sql in (("ship", source.ship_bars, source.SQL["ship"]), ("orders", source.order_bars, source.SQL["orders"])):
+    for _name in ("smc_machines_1", "smc_machines_2", "sr_machines_1", "pattern_1", "sr_2", "sr_3"):
+        QUERIES[f"{_name}_{_label}"] = lambda spark, sf_dir, n=tuple(_NAMES[_name]), r=_read: base.compute(r(spark, sf_dir), list(n), DIGITS)
+        ORACLE_SQL[f"{_name}_{_label}"] = base.sql(_sql, _NAMES[_name], DIGITS)
+
 FLAGSHIP = "bands_above_upper"
 
 
@@ -86,18 +97,36 @@ def observer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observer.report(features(spark, sf_dir))
 
 
-QUERIES["features"] = features
-QUERIES |= {f"analysis_{n}": _analysis(n) for n in analyzers.ANALYZERS if n != "timeframes"}
+def _feature_kinds() -> dict[str, str]:
+    """Columns of the feature table with their types, as the analyzers' sheets have them."""
+    s = Sheet(dict(base.BAR))
+    return dict(base.BAR) | {k: s.kind(c) for k, c in feature_plan.build(s).items()}
+
+
+QUERIES["features"] = lambda spark, sf_dir: feature_plan.features(source.event_bars(spark, sf_dir), digits=DIGITS)
+ORACLE_SQL["features"] = feature_plan.features_sql(source.SQL["hour"], digits=DIGITS)
+QUERIES["features_look_ahead"] = lambda spark, sf_dir: feature_plan.features(source.event_bars(spark, sf_dir), look_ahead=True, digits=DIGITS)
+ORACLE_SQL["features_look_ahead"] = feature_plan.features_sql(source.SQL["hour"], look_ahead=True, digits=DIGITS)
+for _n in analyzers.ANALYZERS:
+    if _n != "timeframes":
+        QUERIES[f"analysis_{_n}"] = _analysis(_n)
+        ORACLE_SQL[f"analysis_{_n}"] = analyzers.analyze_sql(feature_plan.features_sql(source.SQL["hour"]), _feature_kinds(), _n, DIGITS)
 
 
 def analysis_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = source.event_bars(spark, sf_dir)
-    own = base.compute(bars, {"ma.ema": {"length": 50}, "momentum.rsi": {}, "momentum.roc": {"length": 14}, "momentum.momentum": {}, "momentum.macd": {}}).withColumnsRenamed({"ema": "ema_50"})
+    own = base.compute(bars, _OWN).withColumnsRenamed({"ema": "ema_50"})
     longer = timeframes.with_timeframes(bars).drop("open", "high", "low", "close", "volume")
     return analyzers.analyze(own.join(longer, ["symbol", "ts"]), "timeframes", latest=False, evidence=False, digits=DIGITS)
 
 
 QUERIES["analysis_timeframes"] = analysis_timeframes
+_OWN = {"ma.ema": {"length": 50}, "momentum.rsi": {}, "momentum.roc": {"length": 14}, "momentum.momentum": {}, "momentum.macd": {}}
+_LONGER = [f"{c}{f}" for f in timeframes.FRAMES for c in timeframes.KEPT]
+ORACLE_SQL["analysis_timeframes"] = analyzers.analyze_sql(
+    f"SELECT o.* EXCLUDE (ema), o.ema AS ema_50, {', '.join(f'f.{c}' for c in _LONGER)} FROM ({base.sql(source.SQL['hour'], _OWN)}) o JOIN ({timeframes.timeframes_sql(source.SQL['hour'])}) f ON f.symbol = o.symbol AND f.ts = o.ts",
+    dict(base.BAR) | dict.fromkeys(("ema_50", "rsi", "roc", "momentum", "macd_macd", "macd_signal", "macd_histogram", *_LONGER), "double"), "timeframes", DIGITS,
+)
 QUERIES["observer_report"] = observer_report
 QUERIES["mtf_asof"] = lambda spark, sf_dir: timeframes.with_timeframes(source.event_bars(spark, sf_dir), digits=DIGITS)
 ORACLE_SQL["mtf_asof"] = timeframes.timeframes_sql(source.SQL["hour"], digits=DIGITS)
@@ -117,7 +146,7 @@ ORACLE_SQL["resample_4h"] = (
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector against the first one."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    one = v.orderBy("vec_id").limit(1).select(F.col("a").alias("b"))
+    one = v.agg(F.min_by("a", "vec_id").alias("b"))
     both = v.crossJoin(F.broadcast(one))  # the other side is one row
     out = {"dot": scalars.dot_product("a", "b"), "l1": scalars.l1_norm("a"), "l2": scalars.l2_norm("a"), "euclid": scalars.euclidean_distance("a", "b"), "manhattan": scalars.manhattan_distance("a", "b"), "cosine": scalars.cosine_similarity("a", "b")}
     return both.select("vec_id", *((F.round(c + F.lit(1.37e-6), DIGITS) + F.lit(0.0)).alias(k) for k, c in out.items()))
@@ -148,8 +177,15 @@ QUERIES["series_statistics"] = series_statistics
 ORACLE_SQL["series_statistics"] = "SELECT symbol, " + ", ".join(f"round({e} + 1.37e-6, {DIGITS}) + 0.0 AS {k}" for k, e in _S.items()) + f" FROM ({source.SQL['hour']}) GROUP BY symbol"
 
 QUERIES["validation_report"] = lambda spark, sf_dir: cleaning.validation_report(source.event_bars(spark, sf_dir))
-ORACLE_SQL["validation_report"] = f"SELECT symbol, count(*) AS rows, 0 AS missing, count(*) FILTER (WHERE low <= 0) AS not_positive, count(*) FILTER (WHERE high < low) AS high_below_low, count(*) FILTER (WHERE volume < 0) AS negative_volume, 0 AS repeated_times FROM ({source.SQL['hour']}) GROUP BY symbol"
+ORACLE_SQL["validation_report"] = f"SELECT symbol, count(*) AS rows, count(*) FILTER (WHERE open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL) AS missing, count(*) FILTER (WHERE low <= 0) AS not_positive, count(*) FILTER (WHERE high < low) AS high_below_low, count(*) FILTER (WHERE volume < 0) AS negative_volume, count(*) - count(DISTINCT ts) AS repeated_times FROM ({source.SQL['hour']}) GROUP BY symbol"
+
+from tapeloom.plans import contracts, helpers  # noqa: E402
 
-from tapeloom.plans import contracts  # noqa: E402
+QUERIES |= helpers.QUERIES
+ORACLE_SQL |= helpers.ORACLE_SQL
+_MEASURED = [c for c, k in _feature_kinds().items() if k == "double" and c not in base.BAR]
+QUERIES["feature_quality"] = lambda spark, sf_dir: helpers.feature_quality(features(spark, sf_dir), _MEASURED)
+_ONE = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS x FROM f" for c in _MEASURED)
+ORACLE_SQL["feature_quality"] = f"WITH f AS MATERIALIZED ({feature_plan.features_sql(source.SQL['hour'])}) SELECT feature, count(*) AS n, count(*) FILTER (WHERE x IS NULL) AS missing, count(DISTINCT {helpers.shown_sql('x')}) AS different, {helpers.shown_sql('min(x)')} AS low, {helpers.shown_sql('max(x)')} AS high FROM ({_ONE}) GROUP BY feature"
 
 QUERIES["analyzer_contracts"] = lambda spark, sf_dir: contracts.table(spark)

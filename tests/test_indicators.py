@@ -155,6 +155,153 @@ def test_confirmed_swings_do_not_look_ahead(spark):
         assert a[c][:60].astype(str).tolist() == b[c].astype(str).tolist(), c
 
 
+def jumpy(n=400, seed=8):
+    """Bars with runs, gaps and bursts of volume, on which gaps, blocks and sweeps come and go."""
+    rng = np.random.default_rng(seed)
+    rows, c = [], 100.0
+    for i in range(n):
+        jump = rng.random() < 0.12
+        step = float(rng.normal(0, 0.6)) + (float(rng.choice([-1, 1])) * 5 if jump else 0.0)
+        o = c + (0.6 * step if jump else 0.0)
+        c = max(20.0, o + (0.8 * step if jump else step))
+        hi, lo = max(o, c) + abs(float(rng.normal(0, 0.3))), min(o, c) - abs(float(rng.normal(0, 0.3)))
+        rows.append(("J", T0 + dt.timedelta(hours=i), round(o, 2), round(hi, 2), round(lo, 2), round(c, 2), float(rng.integers(50, 100) * (6 if jump else 1))))
+    return rows
+
+
+def test_machines_equal_their_sql_where_everything_happens(spark):
+    """Gaps, blocks and sweeps: the Python machines against recursive SQL, on bars on which all of their states come up."""
+    import duckdb
+
+    names = [n for n, i in base.CATALOGUE.items() if i.recursive and not i.needs_bench]
+    rows = jumpy(600, 9)
+    rows[50] = (*rows[50][:5], None, rows[50][6])
+    got = run(spark, rows, names)
+    bars = pd.DataFrame(rows, columns=KIND.replace(",", "").split()[::2])  # noqa: F841  (read by name)
+    want = duckdb.sql(base.sql("SELECT * FROM bars", names)).df().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    assert sorted(got.columns) == sorted(want.columns)
+    for c in got.columns[7:]:
+        if got[c].dtype == bool or want[c].dtype == bool:
+            assert (got[c].astype(bool) == want[c].astype(bool)).all(), c
+        elif got[c].dtype == object:
+            assert (got[c].astype(str) == want[c].astype(str)).all(), c
+        else:
+            np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=c)
+    for c in ("active_fvg", "mitigated_fvg", "filled_fvg", "inverse_fvg", "mitigation_block", "invalidated_order_block", "market_structure_shift", "liquidity_sweep"):
+        assert got[c].astype(float).nunique() > 1, c
+
+
+def test_features_equal_their_sql_and_every_prefix(spark):
+    """A bar's features don't depend on what follows, and the analyses built on them don't either."""
+    import duckdb
+
+    from tapeloom.plans import analyzers, features
+
+    rows = jumpy(260)
+    made = features.features(spark.createDataFrame(rows, KIND)).toPandas().sort_values("ts").reset_index(drop=True)
+    bars = pd.DataFrame(rows, columns=KIND.replace(",", "").split()[::2])  # noqa: F841
+    want = duckdb.sql(features.features_sql("SELECT * FROM bars")).df().sort_values("ts").reset_index(drop=True)
+    for c in ("fvg", "fvg_active", "ob_active", "order_block", "ob_age", "breaker_block", "bos", "choch", "liq_sweep", "smart_money_score"):
+        np.testing.assert_allclose(made[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=c)
+    assert all(made[c].nunique() > 1 for c in ("fvg", "fvg_active", "bos", "choch", "liq_sweep", "smart_money_score"))
+    for k in (120, 199):
+        part = features.features(spark.createDataFrame(rows[:k], KIND)).toPandas().sort_values("ts").reset_index(drop=True)
+        for c in part.columns:
+            a, b = made[c][:k], part[c]
+            if a.dtype == object or a.dtype == bool:
+                assert a.astype(str).tolist() == b.astype(str).tolist(), c
+            else:
+                np.testing.assert_allclose(a.astype(float, errors="ignore"), b.astype(float, errors="ignore"), rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=c) if c != "ts" else None
+    table = spark.createDataFrame(rows, KIND)
+    for name in ("trend", "support_resistance"):
+        whole = analyzers.analyze(features.features(table), name, latest=False, evidence=False).where(f"ts = '{rows[149][1]}'").drop("ts").first()
+        last = analyzers.analyze(features.features(spark.createDataFrame(rows[:150], KIND)), name, evidence=False).drop("ts").first()
+        assert whole == last, name
+
+
+def test_supertrend_begins_on_the_side_of_the_close(spark):
+    rows = [("F", T0 + dt.timedelta(hours=i), 100.0 - i, 100.5 - i, 98.0 - i, 98.2 - i, 10.0) for i in range(40)]
+    rows += [("R", T0 + dt.timedelta(hours=i), 100.0 + i, 102.0 + i, 99.5 + i, 101.8 + i, 10.0) for i in range(40)]
+    g = run(spark, rows, ["volatility.supertrend", "volatility.atr"])
+    for symbol, side, band in (("F", -1, "upper_band"), ("R", 1, "lower_band")):
+        own = g[(g.symbol == symbol) & g.supertrend_supertrend.notna()]
+        assert len(own) > 20 and (own.supertrend_trend == side).all() and (own.supertrend_supertrend == own[f"supertrend_{band}"]).all()
+
+
+def test_vidya_takes_a_missing_price_as_unchanged(spark):
+    closes = [100.0 + 0.001 * (i % 3) for i in range(40)]
+    gappy = list(closes)
+    gappy[20] = None
+    a, b = (run(spark, make(x), ["ma.vidya"]).vidya for x in (closes, gappy))
+    assert np.isnan(b[20]) and abs(a - b)[21:].max() < 0.002
+    held, y, out = pd.Series(closes), None, []
+    step = held.diff().fillna(held[0])
+    up, down = step.clip(lower=0).rolling(9).sum(), (-step).clip(lower=0).rolling(9).sum()
+    cmo = ((up - down).abs() / (up + down)).fillna(0)
+    for i, v in enumerate(closes):
+        y = None if i < 8 else v if y is None else y + 0.2 * cmo[i] * (v - y)
+        out.append(np.nan if y is None else y)
+    close(a, out)
+
+
+def test_long_folds_equal_short_ones():
+    from tapeloom.functions import sheet
+
+    rng = np.random.default_rng(2)
+    x = [None if r < 0.05 else float(v) for r, v in zip(rng.random(9000), rng.normal(0, 1, 9000))]
+    gains = [None if r < 0.02 else float(r) for r in rng.random(9000)]
+    for seed, gain in ((x, 0.1), ([None] * 500 + x[500:], gains), ([None] * 9000, 0.5), (x, 1.0)):
+        for y in (None, 3.0):
+            a, ya = sheet._folded_in_blocks(seed, gain, x, y)
+            b, yb = [], y
+            for k in range(0, 9000, 1000):
+                got, yb = sheet.folded(seed[k : k + 1000], gain if isinstance(gain, float) else gain[k : k + 1000], x[k : k + 1000], yb)
+                b += got
+            assert [v is None for v in a] == [v is None for v in b] and (ya is None) == (yb is None)
+            np.testing.assert_allclose([v for v in a if v is not None], [v for v in b if v is not None], rtol=1e-9, atol=1e-12)
+
+
+def test_bars_of_one_time_come_in_one_order(spark):
+    rows = make(walk(60)) + [(s, t, o, h, low, c + 0.25, v) for s, t, o, h, low, c, v in make(walk(60))[::3]]
+    a, b = (run(spark, r, ["ma.ema", "ma.sma", "momentum.momentum"]).sort_values(["ts", "close"]).reset_index(drop=True) for r in (rows, rows[::-1]))
+    for c in ("ema", "sma", "momentum"):
+        close(a[c], b[c])
+
+
+#: one plain formula for each family, over the closes (c), highs (h), lows (l), opens (o) and volumes (v) of one symbol
+PLAIN = {
+    ("ma.sma", "sma"): lambda o, h, l, c, v: c.rolling(14).mean(),
+    ("ma.dema", "dema"): lambda o, h, l, c, v: 2 * c.ewm(span=14, adjust=False).mean() - c.ewm(span=14, adjust=False).mean().where(lambda e: e.index >= 13).ewm(span=14, adjust=False).mean(),
+    ("momentum.roc", "roc"): lambda o, h, l, c, v: 100 * (c / c.shift(12) - 1),
+    ("momentum.williams_r", "williams_r"): lambda o, h, l, c, v: -100 * (h.rolling(14).max() - c) / (h.rolling(14).max() - l.rolling(14).min()),
+    ("momentum.stochastic", "stochastic_k"): lambda o, h, l, c, v: (100 * (c - l.rolling(14).min()) / (h.rolling(14).max() - l.rolling(14).min())).rolling(3).mean(),
+    ("volatility.donchian_channel", "donchian_channel_upper"): lambda o, h, l, c, v: h.rolling(20).max(),
+    ("volume.obv", "obv"): lambda o, h, l, c, v: (np.sign(c.diff()).fillna(0) * v).cumsum(),
+    ("volume.negative_volume_index", "negative_volume_index"): lambda o, h, l, c, v: 1000 * (1 + c.pct_change().where(v < v.shift(), 0).fillna(0)).cumprod(),
+    ("stats.z_score", "z_score"): lambda o, h, l, c, v: (c - c.rolling(20).mean()) / c.rolling(20).std(),
+    ("stats.rolling_skewness", "rolling_skewness"): lambda o, h, l, c, v: c.rolling(20).skew(),
+    ("sr.pivot_point", "pivot_point"): lambda o, h, l, c, v: ((h + l + c) / 3).shift(),
+    ("smc.equilibrium", "equilibrium"): lambda o, h, l, c, v: (h.rolling(20).max() + l.rolling(20).min()) / 2,
+    ("smc.delta_proxy", "delta_proxy"): lambda o, h, l, c, v: v * ((c - l) - (h - c)) / (h - l),
+}
+
+
+def test_families_follow_plain_formulas(spark):
+    rows = make(walk(160, 12))
+    names = [n for n, _ in PLAIN if n in base.CATALOGUE]
+    g = run(spark, rows, names)
+    b = pd.DataFrame(rows, columns=KIND.replace(",", "").split()[::2])
+    checked = 0
+    for (name, column), f in PLAIN.items():
+        if name in names:
+            want = f(b.open, b.high, b.low, b.close, b.volume)
+            at = g[column].notna() & want.notna()
+            assert at.sum() > 100, name
+            np.testing.assert_allclose(g[column][at].astype(float), want[at], rtol=1e-8, atol=1e-8, err_msg=name)
+            checked += 1
+    assert checked >= 11
+
+
 def test_a_bullish_gap_is_met_and_filled():
     item = [1, smart_money.FRESH, 10.0, 8.0]
     smart_money._meet(item, 9.0, 9.5, True)
