@@ -138,10 +138,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Itera
         yield last, pa.Table.from_batches(held)
 
 
-def _in_blocks(rows: DataFrame, key: list[str], counts: DataFrame, block: int, scratch: Scratch, tag: str) -> DataFrame:
+def _in_blocks(rows: DataFrame, key: list[str], counts: DataFrame, block: int, scratch: Scratch, tag: str, least: int | None = None) -> DataFrame:
     """``rows`` with i, j and own: groups of over ``block`` rows are dealt over the pairs i <= j of their blocks, and each row
-    of block own goes to all pairs that hold it; ``counts``: (key, size) of the groups."""
-    large = scratch.cut(counts.where(F.col("size") > block).select(*key, F.ceil(F.col("size") / block).cast("int").alias("blocks")), tag)
+    of block own goes to all pairs that hold it; ``counts``: (key, size) of the groups. With ``least``, groups of over so many
+    are dealt too, over up to eight blocks, so that a few middling groups don't keep one task busy."""
+    least = least or block
+    rows_of = F.least(F.lit(block), F.greatest(F.lit(least), F.ceil(F.col("size") / 8)))
+    large = scratch.cut(counts.where(F.col("size") > least).select(*key, F.ceil(F.col("size") / rows_of).cast("int").alias("blocks")), tag)
     sized = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     sized = sized.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -187,14 +190,14 @@ def pair_links(classes: DataFrame, scratch: Scratch, cosine: float, signs: int |
     return found
 
 
-def verified(members: DataFrame, scratch: Scratch, cosine: float, block: int = 4096, together: int = 512) -> DataFrame:
+def verified(members: DataFrame, scratch: Scratch, cosine: float, block: int = 4096, least: int = 256, together: int = 512) -> DataFrame:
     """(cid, near, root) of ``members`` (comp, cid, vec, n: copies), components of candidates.
 
     near: copies of all rows of its component, itself included, whose cosine is at least ``cosine``; root: the smallest cid
-    that links reach. A component of over ``block`` rows is compared by pairs of blocks, small ones many at a time.
+    that links reach. A component of over ``least`` rows is compared by pairs of blocks, small ones many at a time.
     """
     n_parts, order = int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), ["comp", "i", "j"]
-    dealt = _in_blocks(members, ["comp"], members.groupBy("comp").agg(F.count("*").alias("size")), block, scratch, "comps")
+    dealt = _in_blocks(members, ["comp"], members.groupBy("comp").agg(F.count("*").alias("size")), block, scratch, "comps", min(block, least))
     dealt = dealt.withColumn("dim", F.size("vec")).repartition(n_parts, *order).sortWithinPartitions(*order)
 
     def linked(table: pa.Table, i: int, j: int) -> pa.RecordBatch:

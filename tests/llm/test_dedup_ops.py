@@ -194,7 +194,7 @@ def test_local_roots():
 
 @pytest.mark.parametrize("block", [4096, 64])
 def test_vectors_match_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors.verified, "__defaults__", (block, 512))
+    monkeypatch.setattr(vectors.verified, "__defaults__", (block, 256, 512))
     rng = np.random.default_rng(9)
     base = rng.standard_normal((60, 16))
     rows = []
