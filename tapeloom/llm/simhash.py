@@ -10,6 +10,9 @@ classes that some of its flips lead to, and each class spells out only these. Th
 so no part stays large, and no fingerprint is sent more often than it has values. Those that meet on a value are linked to
 one of them, not to each other (all of them lie within 2r bits by the triangle inequality, and each link is verified), so a
 group of n emits n links.
+
+``one_of_each`` also takes such balls around fingerprints of word pairs to find candidates of a similarity by shingles, which
+it verifies on the texts.
 """
 
 from __future__ import annotations
@@ -230,25 +233,99 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """One row of ``docs`` (doc_id, text and others) for each component: that with the smallest doc_id, then the smallest
-    hash of its text; rows without a doc_id come last. Rows that share a doc_id are judged each by its own text."""
+#: word pairs are hashed once; each of these turns the hashes into another family of fingerprints
+FAMILIES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def pair_fingerprints(text: bytes | None, block: int = 1 << 16) -> list[int]:
+    """A fingerprint of the word pairs of a text for each family: an edit touches two pairs but four or five longer shingles, so
+    these lie nearer to each other than fingerprints of shingles do."""
+    words = (text or b"").lower().split()
+    last = max(1, len(words) - 1) if words else 0
+    ones, digest = np.zeros((len(FAMILIES), BITS), np.int64), xxhash.xxh64_intdigest
+    for at in range(0, last, block):
+        part = words[at : min(at + block, last) + 1]
+        h = np.array([digest(b" ".join(p)) for p in zip(part, part[1:])] or [digest(part[0])], np.uint64)
+        for k, by in enumerate(FAMILIES):
+            m = (h ^ np.uint64(by)) * np.uint64(0xBF58476D1CE4E5B9)
+            m = (m ^ (m >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            ones[k] += np.unpackbits((m ^ (m >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * o > last, bitorder="little").tobytes(), "little") for o in ones]
+
+
+def shingles(text: bytes | None, n: int = 5) -> set[bytes]:
+    words = (text or b"").lower().split()
+    return {b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def alike(a: bytes | None, b: bytes | None, similar: float = 0.8, n: int = 5) -> bool:
+    """Whether the sets of ``n``-word shingles of two texts have at least this share of their union in common."""
+    x, y = shingles(a, n), shingles(b, n)
+    return bool(x or y) and len(x & y) >= similar * len(x | y)
+
+
+KEY = ("own id", "text hash")
+
+
+def one_of_each(docs: DataFrame, distance: int = 4, similar: float | None = 0.8) -> DataFrame:
+    """One row of ``docs`` (doc_id, text and others) for each group: that with the smallest doc_id, then the smallest hash of
+    its text; rows without a doc_id come last. Rows that share a doc_id are judged each by its own text; rows alike in both
+    are one row. Null and wordless texts are one group; an empty table stays empty.
+
+    A group is what links of fingerprints within ``distance`` bits connect. With ``similar``, so are the rows left over by
+    links of texts of which at least this share of the five-word shingles is common: candidates are rows whose word pairs'
+    fingerprints lie within ``distance`` bits in some family, and each is verified on the texts.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    key = ["own id", "text hash"]
-    told = docs.withColumn(key[0], F.col("doc_id").cast("long")).withColumn(key[1], F.xxhash64("text"))
+    told = docs.withColumn(KEY[0], F.col("doc_id").cast("long")).withColumn(KEY[1], F.xxhash64("text"))
+    extra = [f"pairs{k}" for k in range(len(FAMILIES))] if similar is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=[*key, "fp"])
-
-    kinds = f"`{key[0]}` long, `{key[1]}` long, fp long"
-    fps = in_arrow(told.select(*key, F.encode("text", "UTF-8").alias("text")), run, kinds)
-    best = F.min(F.struct(F.col(key[0]).isNull().alias("without"), *(F.col(k) for k in key))).alias("k")
-    distinct = scratch.cut(fps.groupBy("fp").agg(best), "distinct")
+            texts = [t.as_py() for t in b.column(2)]
+            fps = [[fingerprint(t) for t in texts], *zip(*(pair_fingerprints(t) for t in texts if extra))]
+            cols = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in fps[: 1 + len(extra)]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=[*KEY, "fp", *extra])
+
+    kinds = ", ".join([f"`{KEY[0]}` long, `{KEY[1]}` long, fp long", *(f"{c} long" for c in extra)])
+    fps = in_arrow(told.select(*KEY, F.encode("text", "UTF-8").alias("text")), run, kinds)
+    place = F.struct(F.col(KEY[0]).isNull().alias("without"), *(F.col(k) for k in KEY), *extra)
+    distinct = scratch.cut(fps.groupBy("fp").agg(F.min(place).alias("k")), "distinct")
     roots = components(links(distinct, scratch, distance), scratch)
     known = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "k")
     first = known.groupBy("root").agg(F.min("k").alias("k"))
-    chosen = scratch.cut(first.select(F.col(f"k.`{key[0]}`").alias("keep id"), F.col(f"k.`{key[1]}`").alias("keep hash")), "chosen")
-    same = told[key[0]].eqNullSafe(chosen["keep id"]) & (told[key[1]] == chosen["keep hash"])
-    return told.join(chosen, same, "left_semi").dropDuplicates(key).select(*docs.columns)
+    chosen = scratch.cut(first.select(*(F.col(f"k.`{c}`").alias(c) for c in (*KEY, *extra))).withColumn("node", F.monotonically_increasing_id()), "chosen")
+    if similar is not None:
+        chosen = _without_alike(chosen, told, scratch, extra, distance, similar)
+    kept = chosen.select(F.col(KEY[0]).alias("keep id"), F.col(KEY[1]).alias("keep hash"))
+    same = told[KEY[0]].eqNullSafe(kept["keep id"]) & (told[KEY[1]] == kept["keep hash"])
+    return told.join(kept, same, "left_semi").dropDuplicates(list(KEY)).select(*docs.columns)
+
+
+def _without_alike(rows: DataFrame, told: DataFrame, scratch: Scratch, families: list[str], distance: int, similar: float) -> DataFrame:
+    """``rows`` (the key, fingerprints of the families, node) without those that are alike to one that comes before them."""
+    held = rows.select("node", F.explode(F.array(*families)).alias("fp"))
+    by_fp = scratch.cut(held.groupBy("fp").agg(F.min("node").alias("low")), "pair fps")
+    near = links(by_fp.select("fp"), scratch, distance)
+    low = lambda c: by_fp.select(F.col("fp").alias(c), F.col("low").alias(f"low {c}"))
+    across = near.join(low("a"), "a").join(low("b"), "b").select(F.col("low a").alias("a"), F.col("low b").alias("b"))
+    within = held.join(by_fp, "fp").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    pairs = across.union(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = scratch.cut(pairs, "candidates")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = rows.join(asked, "node").select("node", F.col(KEY[0]).alias("ask id"), F.col(KEY[1]).alias("ask hash"))
+    same = told[KEY[0]].eqNullSafe(F.col("ask id")) & (told[KEY[1]] == F.col("ask hash"))
+    texts = told.select(*KEY, F.encode("text", "UTF-8").alias("words")).join(wanted, same).select("node", "words").dropDuplicates(["node"])
+    texts = scratch.cut(texts, "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            good = pa.array([alike(x.as_py(), y.as_py(), similar) for x, y in zip(b.column(2), b.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(good)
+
+    sure = scratch.cut(in_arrow(both.select("a", "b", "x", "y"), run, "a long, b long"), "alike")
+    roots = components(sure, scratch, "alike")
+    named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    place = F.struct(F.col(KEY[0]).isNull().alias("without"), *(F.col(k) for k in KEY))
+    return scratch.cut(named.groupBy("root").agg(F.min(place).alias("k")).select(*(F.col(f"k.`{c}`").alias(c) for c in KEY)), "left")

@@ -266,3 +266,30 @@ def test_pipeline_drops_only_members_of_one_group(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()), key=str)
     assert got == sorted([(1, a), (2, b), (3, c), (3, d), (None, rows[6][1])], key=str)
+
+
+def test_pipeline_drops_texts_alike_in_four_of_five_shingles(spark):
+    import corpus_pipeline
+
+    random.seed(21)
+    say = lambda n: ["".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows, alike, others = [], [], []
+    for g in range(40):
+        base = say(200)
+        rows.append((10 * g, " ".join(base)))
+        for k, edits in ((1, 2), (2, 40)):  # of 196 shingles an edit takes five
+            own = list(base)
+            for at in random.sample(range(200), edits):
+                own[at] = "x" + own[at]
+            rows.append((10 * g + k, " ".join(own)))
+            share = simhash.shingles(rows[-1][1].encode()) & simhash.shingles(" ".join(base).encode())
+            (alike if len(share) >= 0.8 * (2 * 196 - len(share)) else others).append(10 * g + k)
+    table = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()}
+    assert len(alike) == 40 and len(others) == 40
+    assert left >= {10 * g for g in range(40)} | set(others)
+    assert len(left & set(alike)) <= 8, "at least four of five near copies go"
+    assert simhash.alike(b"a b", b"a b") and not simhash.alike(None, None) and not simhash.alike(b"a b c d e f", b"a b c d e g h")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "one two"), (None, "one two"), (5, "one  TWO")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, odd, "").collect()) == [1, 3, 4]
+    assert corpus_pipeline.drop_near_copies(spark, odd.limit(0), "").count() == 0
