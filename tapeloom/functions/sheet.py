@@ -257,13 +257,14 @@ class Sheet:
         last, here = self._last_use(depth, list(out.values())), list(bars.columns)
         df, deepest = bars, max(depth.values(), default=0)
         if any(c in self.folds or c not in self.cells for c in depth):
-            df = df.repartition(F.col(self.key))  # windows before the first pass and the pass itself stand on this one
+            # windows before the first pass and the pass itself stand on this one; a number keeps few bars with much to
+            # compute from being drawn into one task
+            df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(self.key))
         for k in range(deepest + 1):
             if k:
                 df = self._pass(df, [c for c in depth if depth[c] == k], here, {c for c, n in last.items() if n >= 2 * k})
             cells = [c for c in depth if c in self.cells and depth[c] == k]
-            for layer in sorted({self.layers[c] for c in cells}):
-                df = _select(df, ["*", *(f"{self.cells[c].spark} AS {c}" for c in cells if self.layers[c] == layer)])
+            df = _select(df, *(["*", *(f"{self.cells[c].spark} AS {c}" for c in cells if self.layers[c] == layer)] for layer in sorted({self.layers[c] for c in cells})))
         kinds = dict(df.dtypes)
         return _select(df, [*(f"`{c}`" for c in here), *(f"{_shown(c, kinds[c], digits)} AS `{name}`" for name, c in out.items())])
 
@@ -456,9 +457,12 @@ class Sheet:
         return c
 
 
-def _select(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One SELECT as text: wide tables are told to the engine in one call."""
-    return df.sparkSession.sql(f"SELECT {', '.join(columns)} FROM {{rows_}}", rows_=df)
+def _select(df: DataFrame, *layers: list[str]) -> DataFrame:
+    """SELECTs over each other as one text: wide tables are told to the engine in one call."""
+    text = "{rows_}"
+    for columns in layers:
+        text = f"(SELECT {', '.join(columns)} FROM {text})"
+    return df.sparkSession.sql(text[1:-1], rows_=df) if layers else df
 
 
 def _shown(c: str, kind: str, digits: int | None) -> str:
