@@ -95,10 +95,10 @@ def reached(base: np.ndarray, sums: np.ndarray, many: int) -> tuple[np.ndarray,
     return np.repeat(np.arange(len(base)), len(offsets)), (own[:, None] ^ offsets[None, :]).ravel().astype(np.int64)
 
 
-def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int = 2048) -> DataFrame:
+def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int = 2048, together: int = 1_500_000) -> DataFrame:
     """(a, b): links between fingerprints (column fp, no repeats) whose components are those of all pairs within ``distance``.
 
-    ``room``: a leading part with more fingerprints is divided by the checksum.
+    ``room``: a leading part with more fingerprints is divided by the checksum; ``together``: values spelled out at once.
     """
     half, odd = (distance + 1) // 2, distance % 2
     n = distinct.count()
@@ -198,7 +198,7 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = 4, room: int =
             cost = np.cumsum(weight[r] // many + 1)
             done = 0
             for at in np.flatnonzero(new).tolist():
-                if total + cost[at] - (cost[done - 1] if done else 0) > 3_000_000 and (held or at > done):
+                if total + cost[at] - (cost[done - 1] if done else 0) > together and (held or at > done):
                     if at > done:
                         held.append([c[done:at] for c in cols])
                     yield work()
