@@ -27,7 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id stays, of equal ids one text in a fixed order."""
+    """Of each group of near copies (fingerprints within 4 bits, or five-word shingles of a similarity of 0.8) the row with the
+    smallest doc_id stays, of equal ids one text in a fixed order; null ids come last, and all empty texts are one group."""
     return simhash.one_of_each(docs)
 
 
@@ -37,12 +38,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages are a twentieth or more go."""
+    """Documents of which benchmark passages are a twentieth or more go; a null text has none. Without items all stay."""
     return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their places in sequences of at most 4,096 tokens."""
+    """Pieces and their places in sequences of at most 4,096 tokens. A row is packed as often as it occurs, a null text is its
+    end token alone, a longer text falls into pieces; of pieces of one length any may come first."""
     return packing.pack_documents(docs)
 
 
