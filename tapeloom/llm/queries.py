@@ -1,10 +1,10 @@
-"""Queries op1 to op10: each applies its operator to its whole table and derives the columns asked for."""
+"""Queries op1 to op13: each applies its operator to its whole table and derives the columns asked for."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, html, language, licences, packing, repeats, simhash, urls, vectors
+from . import bpe, chat, clusters, decontaminate, divergence, html, language, licences, packing, repeats, simhash, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,20 @@ def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bpe.decoded(bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": licence_scan,
     "op2_best_fit_packing": packed,
@@ -70,6 +84,9 @@ QUERIES = {
     "op8_html_extraction": page_texts,
     "op9_simhash_near_dedup": near_copies,
     "op10_embedding_near_dedup": near_vectors,
+    "op11_bpe_round_trip": bpe_round_trip,
+    "op12_centroid_clustering": vector_clusters,
+    "op13_source_divergence": source_divergence,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
@@ -151,9 +168,68 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(low.b, e.
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.a = e.vec_id
 """
 
+
+
+def _rounds(k: int = 8, rounds: int = 10) -> str:
+    """Every round as two tables: the vectors' clusters, and the centroids that follow from them."""
+    near = (
+        "SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.rid, m.c, sum((v.x - m.x) * (v.x - m.x)) AS d "
+        "FROM v JOIN {m} m ON v.i = m.i GROUP BY v.rid, m.c) GROUP BY rid"
+    )
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(m=f'm{r}')})")
+        mean = f"SELECT c, i, (s - ((s % n) + n) % n) // n AS x FROM (SELECT a.c, v.i, sum(v.x)::HUGEINT AS s, count(*) AS n FROM a{r} a JOIN v USING (rid) GROUP BY a.c, v.i)"
+        steps.append(f"m{r + 1} AS MATERIALIZED (SELECT m.c, m.i, coalesce(n.x, m.x) AS x FROM m{r} m LEFT JOIN ({mean}) n USING (c, i))")
+    steps.append(f"last AS MATERIALIZED ({near.format(m=f'm{rounds}')})")
+    return ", ".join(steps)
+
+
+_CLUSTERS = f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT rid, unnest(range(64)) AS i, unnest(e) AS x FROM e),
+begin_ AS (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS c FROM e QUALIFY c < 8),
+m0 AS MATERIALIZED (SELECT c, i, x::HUGEINT AS x FROM begin_ JOIN v USING (rid)),
+{_rounds()},
+sha AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS sha FROM m10 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha AS centroid_sha256
+FROM last JOIN e USING (rid) JOIN sha USING (c)
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')" % (urls.UPPER, urls.LOWER)
+_APART = "((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)"
+_DIVERGENCE = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents),
+occurs AS MATERIALIZED (SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term FROM occurs GROUP BY ALL HAVING count(*) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+counts AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang)
+  LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM occurs GROUP BY ALL) USING (lang, source, term)),
+p AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // ((sum(n) OVER (PARTITION BY lang, source)) + 2 * v) AS p
+  FROM counts JOIN sizes USING (lang)),
+q AS MATERIALIZED (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // ((sum(n) OVER (PARTITION BY lang)) + 2 * v) AS p
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL) JOIN sizes USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum({_APART}) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT a.lang, a.source, 'term', a.term, {_APART} FROM p a JOIN q b USING (lang, term) WHERE a.n > 0 AND a.p > b.p)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+"""
+
 ORACLE_SQL = {
     "op3_url_filter": _URLS,
     "op5_chat_formatting": _CHATS,
     "op7_benchmark_decontamination": _CONTAMINATION,
     "op10_embedding_near_dedup": _VECTORS,
+    "op12_centroid_clustering": _CLUSTERS,
+    "op13_source_divergence": _DIVERGENCE,
 }
