@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeloom.functions import slices
 from tapeloom.functions.sheet import Sheet
 
 BAR = {"symbol": "string", "ts": "timestamp", "open": "double", "high": "double", "low": "double", "close": "double", "volume": "double"}
@@ -89,18 +90,25 @@ def columns(s: Sheet, name: str, **kw) -> dict[str, str]:
     return got
 
 
-def compute(bars: DataFrame, names: list[str] | dict[str, dict], digits: int | None = None) -> DataFrame:
+def compute(bars: DataFrame, names: list[str] | dict[str, dict], digits: int | None = None, slice_rows: int | None = None) -> DataFrame:
     """``bars`` with the columns of the named indicators (dict: name -> parameters, offset and fillna among them).
 
     Null and repeated timestamps order as Spark orders them; a null symbol is a symbol of its own; columns of ``bars``
-    beyond the bar columns are kept. An empty table gives no rows.
+    beyond the bar columns are kept. An empty table gives no rows. ``slice_rows``: so many bars of a symbol are a unit of
+    work, not all of them (``slices.sliced``, which tells what can't be had so); ``sliceable`` names what can.
     """
     asked = {n: {} for n in names} if not isinstance(names, dict) else names
     s = Sheet({f.name: f.dataType.simpleString() for f in bars.schema})
     out: dict[str, str] = {}
     for name, kw in asked.items():
         out |= columns(s, name, **kw)
-    return s.spark(bars, out, digits)
+    return s.spark(bars, out, digits) if slice_rows is None else slices.sliced(s, bars, out, digits, slice_rows)
+
+
+def sliceable(name: str, **kw) -> bool:
+    """Whether an indicator can be had from time slices of a symbol."""
+    s = Sheet(dict(BENCH))
+    return slices.can_slice(s, columns(s, name, **kw))
 
 
 def sql(source: str, names: list[str] | dict[str, dict], digits: int | None = None, bench: bool = False) -> str:

@@ -27,7 +27,7 @@ BENCH_SQL = source.benchmark_sql(source.SQL["hour"], source.SQL["all_hour"])
 _NAMES: dict[str, list[str]] = {}
 
 
-def _family(name: str, names: list[str], bench: bool) -> None:
+def _add_family(name: str, names: list[str], bench: bool) -> None:
     _NAMES[name] = names
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def _register_indicators(most: int = 36) -> None:
     for (family, bench, machine), names in families.items():
         for k, part in enumerate(_chunks(names, most)):
             label = f"{family}{'_benchmark' if bench else ''}{'_machines' if machine else ''}_{k + 1}"
-            _family(label, part, bench)
+            _add_family(label, part, bench)
 
 
 _register_indicators()
@@ -60,6 +60,24 @@ for _label, _read, _sql in (("ship", source.ship_bars, source.SQL["ship"]), ("or
         QUERIES[f"{_name}_{_label}"] = lambda spark, sf_dir, n=tuple(_NAMES[_name]), r=_read: base.compute(r(spark, sf_dir), list(n), DIGITS)
         ORACLE_SQL[f"{_name}_{_label}"] = base.sql(_sql, _NAMES[_name], DIGITS)
 
+#: the same columns with short time slices, not symbols, as the unit of work; the two indices grow to 1e14, where the last
+#: bits of a sum in another order show in a comparison of whole numbers
+_GROWING = {"volume.negative_volume_index", "volume.positive_volume_index"}
+for _family in ("ma", "momentum", "volatility", "volume"):
+    _sliced = [n for n, i in base.CATALOGUE.items() if n.startswith(f"{_family}.") and not i.needs_bench and n not in _GROWING and base.sliceable(n)]
+    QUERIES[f"{_family}_sliced"] = lambda spark, sf_dir, n=tuple(_sliced): base.compute(source.event_bars(spark, sf_dir), list(n), DIGITS, slice_rows=64)
+    ORACLE_SQL[f"{_family}_sliced"] = base.sql(source.SQL["hour"], _sliced, DIGITS)
+
+
+def hot_symbol_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursions over 16 bars of each delivery, three symbols with a third of them each: what each symbol's means come to."""
+    got = base.compute(source.delivery_ticks(spark, sf_dir), {"ma.ema": {"length": 20}, "ma.smma": {"length": 14}, "momentum.rsi": {}}, slice_rows=1 << 18)
+    means = [F.round(F.avg(c), DIGITS).alias(c) for c in ("ema", "smma", "rsi")]
+    return got.groupBy("symbol").agg(F.count("*").alias("bars"), F.count("rsi").alias("known"), *means)
+
+
+QUERIES["hot_symbol_folds"] = hot_symbol_folds
+
 FLAGSHIP = "bands_above_upper"
 
 

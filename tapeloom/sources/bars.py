@@ -67,6 +67,17 @@ def _sql(table: str, symbol: str, bucket: str, value: str, order: list[str], vol
     return f"SELECT {symbol} AS symbol, {bucket} AS ts, arg_min({value}, {at}) AS open, max({value}) AS high, min({value}) AS low, arg_max({value}, {at}) AS close, ({volume})::DOUBLE AS volume FROM {table} GROUP BY 1, 2"
 
 
+def delivery_ticks(spark: SparkSession, sf_dir: str, each: int = 16) -> DataFrame:
+    """``each`` bars a minute apart for every delivery, by its return flag: three symbols with a third of all bars each."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_extendedprice", "l_quantity")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
+    minute = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(1440)) + F.col("i")
+    ts = F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + minute * 60)
+    p = F.col("l_extendedprice").cast("double") * (1 + F.col("i") / 1000)
+    prices = (p.alias("open"), (p * 1.01).alias("high"), (p * 0.99).alias("low"), (p * (1 + F.sin("i") / 200)).alias("close"))
+    return rows.select(F.col("l_returnflag").alias("symbol"), ts.alias("ts"), *prices, F.col("l_quantity").cast("double").alias("volume"))
+
+
 #: DuckDB SQL of the same bars
 SQL = {
     "hour": _sql("events", "event_type", "date_trunc('hour', ts)", "value", ["ts", "event_id"]),
