@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tapeloom.functions import ordered
+
 NAME = re.compile(r"[A-Za-z_]\w*\Z")
 #: added before rounding, so that values with few decimals don't lie on a tie, where the last bit would decide
 SHIFT = 1.37e-6
@@ -69,6 +71,7 @@ class Machine:
     outputs: list[str]
     whole: bool = False  # needs all rows of a symbol at once
     sql: Callable | None = None
+    reach: int | None = None  # its outputs follow from so many rows before a row; None: from all
 
 
 @dataclass
@@ -127,13 +130,13 @@ class Sheet:
             self.gates[out] = y, test
         return out
 
-    def machine(self, make: Callable, inputs: list[str], outputs: list[str], tag: tuple, whole: bool = False, sql: Callable | None = None) -> dict[str, str]:
+    def machine(self, make: Callable, inputs: list[str], outputs: list[str], tag: tuple, whole: bool = False, sql: Callable | None = None, reach: int | None = None) -> dict[str, str]:
         known = self.names.get(("machine", *tag))
         if known is None:
             inputs = [self.put(i) for i in inputs]
             layer = max(self.layers.get(c, 0) for c in inputs) + 1
             known = {o: self._name() for o in outputs}
-            self.machines.append(Machine(layer, make, inputs, list(known.values()), whole, sql))
+            self.machines.append(Machine(layer, make, inputs, list(known.values()), whole, sql, reach))
             for c in known.values():
                 self.layers[c] = layer
             self.names["machine", *tag] = known
@@ -193,11 +196,32 @@ class Sheet:
         x, w = self.put(x), self.over("ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING")
         return self.put(f"first_value({x}) IGNORE NULLS {w}", f"first_value({x} IGNORE NULLS) {w}")
 
+    def ordered(self, x: str, n: int, *measures: tuple) -> list[str]:
+        """Order statistics of the last n values (``ordered.window``), in one pass with the recursions."""
+        outputs = ["_".join(map(str, m)) for m in measures]
+        got = self.machine(ordered.window(n, measures), [self.put(x)], outputs, ("ordered", self.put(x), n, *measures), reach=n - 1)
+        return [got[o] for o in outputs]
+
     def quantile(self, x: str, q: float, n: int) -> str:
         x, w = self.put(x), self.rows(n)
         full = f"CASE WHEN count({x}) {w} >= {n} THEN"
+        if n >= ordered.LONG_WINDOW:
+            return self.put(f"({self.ordered(x, n, ('quantile', q))[0]})", f"{full} quantile_cont({x}, {q}) {w} END")
         return self.put(f"{full} percentile({x}, {q}) {w} END", f"{full} quantile_cont({x}, {q}) {w} END")
 
+    def ranked(self, x: str, n: int) -> tuple[str, str]:
+        """How many of the last n values are less than the last one, and how many equal it."""
+        x = self.put(x)
+        w = f"{self.rows(n)}"
+        held = f"CASE WHEN count({x}) {w} >= {n} THEN list({x}) {w} END"
+        tests = [f"CASE WHEN {{a}} IS NOT NULL THEN len(list_filter({{a}}, lambda v: v {sign} {x})) END" for sign in ("<", "=")]
+        if n < ordered.LONG_WINDOW:
+            a = self.values(x, n)
+            return self.count_if(a, f"v < {x}"), self.count_if(a, f"v = {x}")
+        below, same = self.ordered(x, n, ("below",), ("same",))
+        a = self.put("NULL", held)
+        return self.put(f"({below})", tests[0].format(a=a)), self.put(f"({same})", tests[1].format(a=a))
+
     def all_quantile(self, x: str, q: float) -> str:
         x = self.put(x)
         return self.put(f"percentile({x}, {q}) {self.whole}", f"quantile_cont({x}, {q}) {self.whole}")

@@ -10,7 +10,7 @@ written, and the places follow from the counts of each symbol in each part. A sl
   follows from the expressions: windows over windows add up.
 * Counts, sums, extremes and last values of all bars so far are those of the slice, put together with those of all before it.
 
-State machines, windows over a symbol's whole series, and windows within days or sessions need a symbol's bars together:
+State machines without a bound, windows over a symbol's whole series, and windows within days or sessions need a symbol's bars together:
 ``sliced`` names them in its error, and ``Sheet.spark`` has another way for them.
 """
 
@@ -77,8 +77,11 @@ def _reach(text: str, own: str) -> tuple[int, int] | None:
 def reaches(sheet: Sheet, depth: dict[str, int]) -> tuple[dict[int, tuple[int, int]], dict[str, tuple[int, int]]]:
     """For each pass, and for each column, how many rows the windows behind it look back and ahead, one over the other."""
     own, found, out = f"PARTITION BY {sheet.key} ORDER BY ", {}, {}
-    bad = [c for c in depth if c not in sheet.cells and c not in sheet.folds]
+    made_by = {c: m for m in sheet.machines for c in m.outputs}
+    bad = [c for c in depth if c in made_by and made_by[c].reach is None]
     for c, k in depth.items():
+        if c in sheet.folds and any(depth.get(n) == k and n in made_by for n in (sheet.folds[c].seed, sheet.folds[c].gain, sheet.folds[c].x)):
+            bad.append(c)
         if c not in sheet.cells:
             continue
         got = _reach(sheet.cells[c].spark, own)
@@ -89,7 +92,7 @@ def reaches(sheet: Sheet, depth: dict[str, int]) -> tuple[dict[int, tuple[int, i
         found[c] = tuple(got[i] + max((b[i] for b in below), default=0) for i in (0, 1))
         out[k] = tuple(max(a, b) for a, b in zip(out.get(k, (0, 0)), found[c]))
     if bad:
-        raise NotSliceable(f"all bars of a symbol are needed at once for {len(bad)} columns, the first: {sheet.cells[bad[0]].spark if bad[0] in sheet.cells else 'a state machine'}")
+        raise NotSliceable(f"all bars of a symbol are needed at once for {len(bad)} columns, the first: {sheet.cells[bad[0]].spark if bad[0] in sheet.cells else 'a state machine or what reads one'}")
     return out, found
 
 
@@ -171,6 +174,21 @@ def values(seed: np.ndarray, gain: np.ndarray, x: np.ndarray, y: float) -> np.nd
     return out
 
 
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """(symbol and slice, whether it begins here, its rows) of sorted batches."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, at = (pc.dictionary_encode(batch.column(batch.schema.get_field_index(c))) for c in ("key_", "slice_"))
+        code = np.stack([c.indices.to_numpy() for c in (key, at)])
+        cuts = [0, *(np.flatnonzero((code[:, 1:] != code[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            now = key[a].as_py(), at[a].as_py()
+            yield now, now != before, batch.slice(a, b - a)
+            before = now
+
+
 class Recursions:
     """The folds of one pass: by levels, and what they read."""
 
@@ -222,19 +240,6 @@ class Recursions:
         names = [c for c in self.folds if self.levels[c] < level + rows]
         made = [c for c in self.folds if self.levels[c] == level] if not rows else []
 
-        def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
-            before = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                key, at = (pc.dictionary_encode(batch.column(batch.schema.get_field_index(c))) for c in ("key_", "slice_"))
-                code = np.stack([c.indices.to_numpy() for c in (key, at)])
-                cuts = [0, *(np.flatnonzero((code[:, 1:] != code[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-                for a, b in zip(cuts, cuts[1:]):
-                    now = key[a].as_py(), at[a].as_py()
-                    yield now, now != before, batch.slice(a, b - a)
-                    before = now
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state: dict[str, float] = {}
             found: dict[str, list] = {}
@@ -289,6 +294,34 @@ class Recursions:
         return run, "key_ string, slice_ bigint, " + ", ".join(f"start_{c} double" for c in names)
 
 
+def _bounded(sheet: Sheet, df: DataFrame, made: list[str], rows: int) -> DataFrame:
+    """``df`` with the outputs of machines that look back so many rows: each slice begins anew with copies of these."""
+    machines = [m for m in sheet.machines if set(m.outputs) & set(made)]
+    gates = {c for m in machines for c in m.inputs if c in sheet.gates and c not in df.columns}
+    df = _select(df, ["*", *(f"{sheet.cells[c].spark} AS {c}" for c in sorted(gates))]) if gates else df
+    back = max(m.reach for m in machines)
+    place, now = f"rn_ % {rows}", f"rn_ div {rows}"
+    seen = f"array_compact(array({now}, CASE WHEN {place} >= {rows - back} THEN {now} + 1 END))"
+    kept = [c for c in df.columns if c not in gates]
+    kinds = dict(df.dtypes)
+    df = df.withColumn("slice_", F.explode(F.expr(seen))).repartition("key_", "slice_").sortWithinPartitions("key_", "slice_", "rn_")
+    outputs = [o for m in machines for o in m.outputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps: list = []
+        for _, new, part in stretches(batches):
+            if new:
+                steps = [m.make() for m in machines]
+            lists = [part.column(part.schema.get_field_index(c)) for m in machines for c in m.inputs]
+            lists = iter([c.to_pylist() for c in lists])
+            got = [pa.array(o, pa.float64()) for m, step in zip(machines, steps) for o in step(*(next(lists) for _ in m.inputs))]
+            own = pc.equal(pc.divide(part.column(part.schema.get_field_index("rn_")), rows), part.column(part.schema.get_field_index("slice_")))
+            cols = [part.column(part.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*cols, *got], names=[*kept, *outputs]).filter(own)
+
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{c}` double" for c in outputs)]))
+
+
 def _folds(sheet: Sheet, df: DataFrame, folds: list[str], rows: int, scratch: Scratch) -> DataFrame:
     """``df`` with all recursions of one pass."""
     work = Recursions(sheet, folds)
@@ -331,16 +364,21 @@ def sliced(sheet: Sheet, bars: DataFrame, outputs: dict[str, str], digits: int |
     depth = sheet._depths(sheet.needed(list(out.values())))
     last, here = sheet._last_use(depth, list(out.values())), list(bars.columns)
     reach, found = reaches(sheet, depth)
-    rows = max(rows, 1, *(n for pair in reach.values() for n in pair))
+    backs = [m.reach for m in sheet.machines if m.reach and set(m.outputs) & depth.keys()]
+    rows = max(rows, 1, *backs, *(n for pair in reach.values() for n in pair))
     scratch = Scratch(bars.sparkSession, "slices")
     df = ranked(bars, sheet, scratch)
     for k in range(max(depth.values(), default=0) + 1):
         folds = [c for c in depth if depth[c] == k and c in sheet.folds]
+        made_by = {c: m for m in sheet.machines for c in m.outputs}
+        machines = [c for c in depth if depth[c] == k and c in made_by]
         if folds:
             later = [c for c in df.columns if c in here or c in ("key_", "rn_") or last.get(c, -1) >= 2 * k - 1]
             df = _folds(sheet, scratch.cut(df.select(*(f"`{c}`" for c in later)), f"pass{k}"), folds, rows, scratch)
+        if machines:
+            df = _bounded(sheet, df, machines, rows)
         cells = [c for c in depth if c in sheet.cells and depth[c] == k]
-        if folds and any(SO_FAR.search(sheet.cells[c].spark) for c in cells):
+        if (folds or machines) and any(SO_FAR.search(sheet.cells[c].spark) for c in cells):
             df = scratch.cut(df, f"folded{k}")  # what follows reads it more than once
         df = _windows(sheet, df, cells, rows, reach.get(k, (0, 0)), found, scratch) if cells else df
     kinds = dict(df.dtypes)

@@ -9,6 +9,7 @@ from math import sqrt
 
 import numpy as np
 
+from tapeloom.functions.ordered import LONG_WINDOW
 from tapeloom.functions.sheet import Sheet, numbers
 
 from .base import IndicatorError, alias, indicator, positive, price
@@ -64,6 +65,9 @@ def mean_absolute_deviation(s: Sheet, length: int = 20, source: str = "close") -
 @indicator("stats.median_absolute_deviation")
 def median_absolute_deviation(s: Sheet, length: int = 20, source: str = "close") -> str:
     x, n = price(s, source), positive(length)
+    if n >= LONG_WINDOW:
+        full = f"count({x}) {s.rows(n)} >= {n}"
+        return s.put(f"({s.ordered(x, n, ('deviation',))[0]})", f"CASE WHEN {full} THEN mad({x}) {s.rows(n)} END")
     w, mid = s.values(x, n), s.quantile(x, 0.5, n)
     return s.put(
         f"CASE WHEN {w} IS NOT NULL THEN (element_at(array_sort(transform({w}, v -> abs(v - {mid}))), {(n + 1) // 2}) + element_at(array_sort(transform({w}, v -> abs(v - {mid}))), {n // 2 + 1})) / 2 END",

@@ -105,7 +105,7 @@ def volatility_ratio(s: Sheet, length: int = 14) -> str:
 @indicator("volatility.atr_percentile")
 def atr_percentile(s: Sheet, length: int = 14, lookback: int = 100) -> str:
     a = atr(s, length)
-    return s.put(f"100.0 * {s.count_if(s.values(a, positive(lookback)), f'v <= {a}')} / {lookback}")
+    return s.put(f"100.0 * ({' + '.join(s.ranked(a, positive(lookback)))}) / {lookback}")
 
 
 @indicator("volatility.bollinger_squeeze")

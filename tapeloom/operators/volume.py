@@ -52,8 +52,7 @@ def volume_zscore(s: Sheet, length: int = 20) -> str:
 def rank_share(s: Sheet, x: str, n: int) -> str:
     """Rank of the last of n values among them in per cent, ties averaged."""
     x = s.put(x)
-    w = s.values(x, positive(n))
-    below, same = s.count_if(w, f"v < {x}"), s.count_if(w, f"v = {x}")
+    below, same = s.ranked(x, positive(n))
     return s.put(f"100.0 * ({below} + ({same} + 1) / 2.0) / {n}")
 
 
@@ -315,7 +314,7 @@ def price_volume_trend(s: Sheet, source: str = "close") -> str:
 @indicator("volume.price_volume_rank")
 def price_volume_rank(s: Sheet, length: int = 252, source: str = "close") -> str:
     x = s.put(f"{price(s, source)} * volume")
-    return s.put(f"100.0 * {s.count_if(s.values(x, positive(length)), f'v <= {x}')} / {length}")
+    return s.put(f"100.0 * ({' + '.join(s.ranked(x, positive(length)))}) / {length}")
 
 
 @indicator("volume.smart_money_index")

@@ -69,6 +69,18 @@ for _family in ("ma", "momentum", "volatility", "volume"):
     ORACLE_SQL[f"{_family}_sliced"] = base.sql(source.SQL["hour"], _sliced, DIGITS)
 
 
+#: order statistics of windows that are long enough for a pass with an ordered window, over symbols and over slices
+_LONG = 250
+_ORDERED = {
+    "stats.rolling_median": {"length": _LONG}, "stats.quantile": {"q": 0.9, "length": _LONG}, "stats.interquartile_range": {"length": _LONG},
+    "stats.median_absolute_deviation": {"length": _LONG}, "stats.percentile_rank": {"length": _LONG}, "stats.modified_z_score": {"length": 100},
+    "stats.winsorization": {"length": _LONG}, "volatility.atr_percentile": {"lookback": _LONG}, "volume.price_volume_rank": {"length": _LONG},
+}
+QUERIES["order_statistics_long"] = lambda spark, sf_dir: base.compute(source.event_bars(spark, sf_dir), _ORDERED, DIGITS)
+QUERIES["order_statistics_sliced"] = lambda spark, sf_dir: base.compute(source.event_bars(spark, sf_dir), _ORDERED, DIGITS, slice_rows=64)
+ORACLE_SQL["order_statistics_long"] = ORACLE_SQL["order_statistics_sliced"] = base.sql(source.SQL["hour"], _ORDERED, DIGITS)
+
+
 def hot_symbol_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursions over 16 bars of each delivery, three symbols with a third of them each: what each symbol's means come to."""
     got = base.compute(source.delivery_ticks(spark, sf_dir), {"ma.ema": {"length": 20}, "ma.smma": {"length": 14}, "momentum.rsi": {}}, slice_rows=1 << 18)
