@@ -2,252 +2,39 @@
 
 The automaton accepts every run of words that stands in some item. A text's words are streamed through it; it keeps the
 length of the longest run that ends at each word. Where that reaches ``window`` words, or a whole item that is shorter,
-the window that ends there is an occurrence and its words are hit. Runs of words that no item has reset the automaton,
-so only runs of known words that are long enough for some window are streamed.
-
-Where one automaton can't hold all items, hashes of all their windows tell beforehand which items a text can touch: texts
-without any are done, and the automaton need hold no others, so a long benchmark takes one pass over the corpus too.
+the window that ends there is an occurrence and its words are hit. Only runs of known words that are long enough for some
+window are streamed. The automaton is a few arrays, so one holds a long benchmark and all texts of a batch go side by side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .automaton import Automaton
 from .store import Scratch
 from .words import WORD, words
 from .workers import in_arrow, parts
 
 
-class Automaton:
-    """items: (item_id, words). Items of one id are one item; items without words are left out; items without an id are hit
-    like any other and not named."""
-
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = 13):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
-        self.length, self.link, self.next = [0], [-1], [{}]
-        runs = []
-        for item, tokens in items:
-            if tokens:
-                runs.append((item, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens]))
-        for _, run in runs:
-            last = 0
-            for c in run:
-                last = self._extend(last, c)
-        self.least = min([min(window, len(run)) for _, run in runs], default=window)
-        #: full windows: the state of their words; and short items: the state of all their words
-        self.items: dict[int, set] = {}
-        self.short: dict[int, dict[int, set]] = {}
-        for item, run in runs:
-            named = () if item is None else (item,)
-            if len(run) < window:
-                state = 0
-                for c in run:
-                    state = self.next[state][c]
-                self.short.setdefault(state, {}).setdefault(len(run), set()).update(named)
-            else:
-                state, size = 0, 0
-                for c in run:
-                    state, size = self.step(state, size, c)
-                    if size >= window:
-                        self.items.setdefault(self._cut(state), set()).update(named)
-        #: for each state, the short items that end there or on the way of its links
-        self.ending: list[list[tuple[int, set]]] = [[] for _ in self.length]
-        for state in sorted(range(len(self.length)), key=self.length.__getitem__):
-            up = self.ending[self.link[state]] if state else []
-            self.ending[state] = [*up, *sorted(self.short.get(state, {}).items())]
-
-    def _extend(self, last: int, c: int) -> int:
-        length, link, nxt = self.length, self.link, self.next
-        if c in nxt[last]:
-            q = nxt[last][c]
-            if length[q] == length[last] + 1:
-                return q
-            return self._split(last, c, q)
-        new = len(length)
-        length.append(length[last] + 1)
-        link.append(0)
-        nxt.append({})
-        p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            link[new] = q if length[q] == length[p] + 1 else self._split(p, c, q)
-        return new
-
-    def _split(self, p: int, c: int, q: int) -> int:
-        copy = len(self.length)
-        self.length.append(self.length[p] + 1)
-        self.link.append(self.link[q])
-        self.next.append(dict(self.next[q]))
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
-            p = self.link[p]
-        self.link[q] = copy
-        return copy
-
-    def step(self, state: int, size: int, c: int) -> tuple[int, int]:
-        while state and c not in self.next[state]:
-            state = self.link[state]
-            size = self.length[state]
-        if c in self.next[state]:
-            return self.next[state][c], size + 1
-        return 0, 0
-
-    def _cut(self, state: int) -> int:
-        """The state of the last ``window`` words."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
-    def scan(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """(runs [from, to) of hit words, items whose windows occur)."""
-        if len(tokens) < self.least or not self.vocabulary:
-            return [], set()
-        known = np.array([-1 if c is None else c for c in map(self.vocabulary.get, tokens)], np.int64)
-        gaps = np.flatnonzero(np.r_[True, known < 0, True])
-        runs: list[tuple[int, int]] = []
-        found: set = set()
-        for g in np.flatnonzero(np.diff(gaps) > self.least).tolist():
-            begin, state, size = int(gaps[g]), 0, 0
-            for at, c in enumerate(known[begin : int(gaps[g + 1]) - 1].tolist(), begin):
-                state, size = self.step(state, size, c)
-                longest = 0
-                if size >= self.window:
-                    found |= self.items.get(self._cut(state), set())
-                    longest = self.window
-                if size >= self.least:
-                    for n, ids in self.ending[state]:
-                        if n <= size:
-                            found |= ids
-                            longest = max(longest, n)
-                if longest:
-                    a, b = at + 1 - longest, at + 1
-                    while runs and a <= runs[-1][1]:
-                        a, b = min(a, runs[-1][0]), max(b, runs[-1][1])
-                        runs.pop()
-                    runs.append((a, b))
-        return runs, found
-
-
-#: an automaton takes about 700 bytes a word and holds at most so many words (or one item); hashes of the windows take about
-#: 30 bytes a word, and a benchmark of more words than the second number is taken in written passes
-MOST_WORDS, MOST_HASHED = 200_000, 5_000_000
-_MULT = 0x9E3779B97F4A7C15
-_STRETCH = 1 << 16
-
-
-def _powers(x: int, n: int) -> np.ndarray:
-    steps = np.full(n, x, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class Windows:
-    """Items and the hashes of their windows; ``touched`` tells which items' windows a text may hold."""
-
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = 13, most: int = MOST_WORDS):
-        self.window, self.most = window, most
-        self.ids, self.vocabulary, self.runs = [], {}, []
-        for item, tokens in items:
-            if tokens:
-                self.ids.append(item)
-                self.runs.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens], np.int32))
-        self.spoken = list(self.vocabulary)
-        self.least = min([min(window, len(r)) for r in self.runs], default=window)
-        self.n_words = sum(map(len, self.runs))
-        found: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for k, run in enumerate(self.runs):
-            n = min(window, len(run))
-            found.setdefault(n, []).append((self._hashes(run, n), k))
-        #: window length -> (places that some hash falls into, hashes in order, their items)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for n, some in sorted(found.items()):
-            h, k = np.concatenate([x for x, _ in some]), np.concatenate([np.full(len(x), k, np.int32) for x, k in some])
-            order = np.argsort(h, kind="stable")
-            places = np.zeros(1 << self._bits(len(h)), np.bool_)
-            places[h >> np.uint64(64 - self._bits(len(h)))] = True
-            self.tables[n] = places, h[order], k[order]
-
-    @property
-    def small(self) -> bool:
-        """Whether one automaton holds all items, so that streaming costs less than asking which are touched."""
-        return self.n_words <= self.most
-
-    @staticmethod
-    def _bits(n: int) -> int:
-        return max(10, int(n).bit_length() + 1)
-
-    def _hashes(self, run: np.ndarray, n: int) -> np.ndarray:
-        """A hash for each window of n words, in stretches; windows that a word of no item stands in (-1) are told alike."""
-        if not hasattr(self, "_up"):
-            size = _STRETCH + self.window
-            self._up, self._down = _powers(_MULT, size), _powers(pow(_MULT, -1, 1 << 64), size)
-        out = []
-        for at in range(0, max(1, len(run) - n + 1), _STRETCH):
-            part = run[at : at + _STRETCH + n - 1].astype(np.int64)
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_mixed((part + 2).astype(np.uint64)) * self._up[: len(part)], out=total[1:])
-            out.append(_mixed((total[n:] - total[:-n]) * self._down[: len(part) - n + 1]))
-        return np.concatenate(out)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_up", "_down")}
-
-    def numbered(self, tokens: list[bytes]) -> np.ndarray:
-        return np.array([-1 if c is None else c for c in map(self.vocabulary.get, tokens)], np.int64)
-
-    def touched(self, known: np.ndarray) -> set[int]:
-        """Items of which a window may stand in a text, given as numbers of its words."""
-        gaps = np.flatnonzero(np.r_[True, known < 0, True])
-        if not self.tables or np.diff(gaps).max() <= self.least:
-            return set()
-        out: set[int] = set()
-        for n, (places, hashes, items) in self.tables.items():
-            if len(known) < n:
-                continue
-            h = self._hashes(known, n)
-            h = np.unique(h[places[h >> np.uint64(64 - self._bits(len(hashes)))]])
-            first, last = (np.searchsorted(hashes, h, side) for side in ("left", "right"))
-            for a, b in zip(first[last > first].tolist(), last[last > first].tolist()):
-                out.update(items[a:b].tolist())
-        return out
-
-    def automaton(self, held: tuple[set[int], Automaton] | None, need: set[int]) -> tuple[set[int], Automaton]:
-        """Items and an automaton of them that has all of ``need``: ``held`` if it has, else a new one."""
-        if held is not None and need <= held[0]:
-            return held
-        size = lambda some: sum(len(self.runs[k]) for k in some)
-        items = set(range(len(self.runs))) if self.small else need | (held[0] if held else set())
-        if size(items) > self.most:
-            items = need
-        return items, Automaton([(self.ids[k], [self.spoken[c] for c in self.runs[k].tolist()]) for k in sorted(items)], self.window)
+#: words of the items that one automaton holds (or one item): about 50 bytes each where it is used, 300 while it is built
+MOST_WORDS = 5_000_000
 
 
-def windows(benchmark: DataFrame, window: int, most_words: int) -> Iterator[Windows]:
-    """The items' windows, of at most ``most_words`` words (or one item) at once. Items are read one partition at a time."""
+def automata(benchmark: DataFrame, window: int, most_words: int) -> Iterator[Automaton]:
+    """Automata of at most ``most_words`` words (or one item) of the items each. Items are read one partition at a time."""
     held, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).where("text is not null")
     for item, text in rows.toLocalIterator():
         tokens = words(bytes(text))
         if held and size + len(tokens) > most_words:
-            yield Windows(held, window)
+            yield Automaton(held, window)
             held, size = [], 0
         held.append((item, tokens))
         size += len(tokens)
-    yield Windows(held, window)
+    yield Automaton(held, window)
 
 
 SPANS = "array<struct<from:bigint,to:bigint>>"
@@ -257,8 +44,8 @@ MARKS = ("hit spans", "hit items", "all words")
 def annotated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` (text as binary) with the columns ``MARKS``.
 
-    The windows' hashes are broadcast, of at most ``MOST_HASHED`` words; a longer benchmark is taken in parts of that size,
-    and what one part gives is written before the next is read, so neither the driver nor an executor holds more than one.
+    An automaton of at most ``MOST_WORDS`` words is broadcast; a longer benchmark is taken in parts of that size, and what one
+    part gives is written before the next is read, so neither the driver nor an executor holds more than one.
     """
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
     rest = [c for c in docs.columns if c != "text"]
@@ -266,18 +53,13 @@ def annotated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFr
 
     def over(shared) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, held = shared.value, None
+            automaton = shared.value
             for b in parts(batches):
-                n, spans, items = [], [], []
-                for text, old, had in zip(b.column("text"), b.column(MARKS[0]), b.column(MARKS[1])):
-                    tokens = words(text.as_py())
-                    runs, found = [], set()
-                    if len(tokens) >= known.least and (known.small or (need := known.touched(known.numbered(tokens)))):
-                        held = known.automaton(held, set() if known.small else need)
-                        runs, found = held[1].scan(tokens)
+                texts = [words(text.as_py()) for text in b.column("text")]
+                n, spans, items = list(map(len, texts)), [], []
+                for (runs, found), old, had in zip(automaton.scan(texts), b.column(MARKS[0]), b.column(MARKS[1])):
                     if old.as_py():
                         runs = joined([*runs, *((s["from"], s["to"]) for s in old.as_py())])
-                    n.append(len(tokens))
                     spans.append([{"from": x, "to": y} for x, y in runs])
                     items.append(sorted(found | set(had.as_py() or ())))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), b.column("text"), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(n, pa.int64())], names=[*rest, "text", *MARKS])
@@ -286,11 +68,11 @@ def annotated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFr
 
     scratch, shared = Scratch(docs.sparkSession, "decontaminate"), None
     now = docs.select(*(F.col(f"`{c}`") for c in rest), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"), F.lit(None).cast(SPANS).alias(MARKS[0]), F.lit(None).cast("array<string>").alias(MARKS[1]))
-    for k, known in enumerate(windows(benchmark, window, MOST_HASHED)):
+    for k, automaton in enumerate(automata(benchmark, window, MOST_WORDS)):
         if shared is not None:
             now = scratch.cut(now, f"part{k}").drop(MARKS[2])
             shared.destroy()
-        shared = docs.sparkSession.sparkContext.broadcast(known)
+        shared = docs.sparkSession.sparkContext.broadcast(automaton)
         now = in_arrow(now, over(shared), kinds)
     return now
 
@@ -301,7 +83,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
     spans: hit runs of words; items: ids (as strings) of the items found; contaminated: at least one word in ``share`` is
     hit. A null or empty text has no words; rows that repeat and null ids stay as they are; other columns are ignored. An
     item whose text is null or has no words is left out; one whose id is null counts for n_hit and is not among the items;
-    items that repeat count once. A very long text is hashed in stretches and streamed. No documents give no rows, no items
+    items that repeat count once. A very long text is streamed in overlapping stretches. No documents give no rows, no items
     no hits.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
