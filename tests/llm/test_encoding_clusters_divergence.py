@@ -64,6 +64,22 @@ def test_a_long_run_without_places_is_joined_by_windows_of_tokens(monkeypatch):
     assert made and max(made) < 1000  # no window grows to a piece
 
 
+def test_the_way_by_ranks_gives_the_ids_of_the_library():
+    random.seed(11)
+    c = bpe.coder(bpe.default_path())
+    assert c.fast is not None
+    every = [chr(i) for i in [*range(9, 14), *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]]
+    pools = [every, every[:5] + [" "], list("'sre tdlmv"), list("abc 12.,'\n "), ["<|endoftext|>", " ", "a", "'"]]
+    texts = ["".join(random.choices(random.choice(pools), k=random.choice([1, 5, 60, 900]))) for _ in range(1500)] + [" " * 2000, "a" * 2000, "".join(every), ""]
+    assert all(bpe.PLAIN.fullmatch(t) for t in texts) and not bpe.PLAIN.fullmatch("日") and not bpe.evenly_cut("x" * 1000) and not bpe.evenly_cut(" " * 1001)
+    assert c.encode(texts) == [e.ids for e in c.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_token_is_its_own_encoding():
+    c = bpe.coder(bpe.default_path())
+    assert all([t.id for t in c.model.tokenize(k)] == [i] for k, i in c.tokenizer.get_vocab(with_added_tokens=False).items())
+
+
 def test_encoded_and_decoded_on_odd_rows(spark):
     long = "word " * 90 + "x" * 400 + " " * 200 + "né<|endoftext|>" * 30
     texts = [None, "", " ", "Hello  world", "<|endoftext|>a<|endoftext|>", long, long, "日" * 500, "a\x00b c"]
