@@ -31,6 +31,8 @@ TOKEN = re.compile(r"'(?:[^']|'')*'|[A-Za-z_]\w*")
 CONSTANT = re.compile(r"cast\(([-+.\de]+) AS double\)")
 #: values of a stretch from which on a fold is computed in blocks
 LONG = 4096
+#: rows that machines with a look ahead take at once, at least
+CHUNK = 4096
 
 NUMBER = re.compile(r"'(?:[^']|'')*'|(?<![\w.])\d+\.\d+(?![\w.])")
 
@@ -72,6 +74,43 @@ class Machine:
     whole: bool = False  # needs all rows of a symbol at once
     sql: Callable | None = None
     reach: int | None = None  # its outputs follow from so many rows before a row; None: from all
+    ahead: int = 0  # ... and from so many behind it, for which the row waits
+
+
+class Delayed:
+    """Machines that look ahead, over batches of one symbol: a row comes out once the rows that it waits for are there.
+
+    Held are the rows that wait, and of those that are out as many as the machines look back on; each run of the machines
+    begins anew on them.
+    """
+
+    def __init__(self, machines: list[Machine], names: list[list[str]], chunk: int):
+        self.machines, self.names, self.chunk = machines, names, chunk
+        self.back, self.ahead = max(m.reach for m in machines), max(m.ahead for m in machines)
+        self.held: list[pa.RecordBatch] = []
+        self.size = self.out = 0  # rows held, and how many of them are out
+
+    def push(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.held.append(batch)
+        self.size += batch.num_rows
+        if self.size - self.out >= self.chunk + self.ahead:
+            yield self.run(self.size - self.ahead)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size > self.out:
+            yield self.run(self.size)
+
+    def run(self, until: int) -> pa.RecordBatch:
+        """The rows held up to ``until`` that aren't out yet, with the machines' outputs."""
+        rows = pa.Table.from_batches(self.held).combine_chunks().to_batches()[0]
+        got: dict[str, pa.Array] = {}
+        for m, inputs in zip(self.machines, self.names):
+            for o, values in zip(m.outputs, m.make()(*(rows.column(rows.schema.get_field_index(c)).to_pylist() for c in inputs))):
+                got[o] = pa.array([None if v is None or v != v else float(v) for v in values], pa.float64())
+        done = pa.RecordBatch.from_arrays([*rows.columns, *got.values()], names=[*rows.schema.names, *got]).slice(self.out, until - self.out)
+        first = max(0, until - self.back)
+        self.held, self.out, self.size = [rows.slice(first)], until - first, rows.num_rows - first
+        return done
 
 
 @dataclass
@@ -130,13 +169,13 @@ class Sheet:
             self.gates[out] = y, test
         return out
 
-    def machine(self, make: Callable, inputs: list[str], outputs: list[str], tag: tuple, whole: bool = False, sql: Callable | None = None, reach: int | None = None) -> dict[str, str]:
+    def machine(self, make: Callable, inputs: list[str], outputs: list[str], tag: tuple, whole: bool = False, sql: Callable | None = None, reach: int | None = None, ahead: int = 0) -> dict[str, str]:
         known = self.names.get(("machine", *tag))
         if known is None:
             inputs = [self.put(i) for i in inputs]
             layer = max(self.layers.get(c, 0) for c in inputs) + 1
             known = {o: self._name() for o in outputs}
-            self.machines.append(Machine(layer, make, inputs, list(known.values()), whole, sql, reach))
+            self.machines.append(Machine(layer, make, inputs, list(known.values()), whole, sql, reach, ahead))
             for c in known.values():
                 self.layers[c] = layer
             self.names["machine", *tag] = known
@@ -373,9 +412,21 @@ class Sheet:
         kinds = dict(df.dtypes)
         schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{c}` double" for c in new)])
         any_whole, key = any(m.whole for m in machines), self.key
+        # what waits for rows to come is made last, so nothing of the same pass may read it
+        read_here = {x for c in folds for x in folds[c] if isinstance(x, str)} | {x for m in machines for x in m.inputs}
+        read_here |= {x for c in read_here for x in self.gates.get(c, ())}
+        late = [m for m in machines if m.ahead and not read_here & set(m.outputs)]
+        any_whole |= any(m.ahead and m not in late for m in machines)
+        last_made = [o for m in late for o in m.outputs]
+        steps = [x for x in steps if x[0] == "fold" or not set(x[1][2]) & set(last_made)]
+        passed = list(dict.fromkeys(c for m in late for c in m.inputs))
+        inputs, chunk = [[f"for late {c}" for c in m.inputs] for m in late], CHUNK
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, state, parts = None, None, []
+            now, state, parts, waiting = None, None, [], None
+
+            def emitted(done: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+                return shown(waiting.push(done)) if waiting else iter([done])
 
             def work(part: pa.RecordBatch) -> pa.RecordBatch:
                 lists: dict[str, list] = {}
@@ -399,7 +450,14 @@ class Sheet:
                         for c, got in zip(what[2], state[i](*(of(c) for c in what[1]))):
                             lists[c] = [None if v is None or v != v else float(v) for v in got]
                 cols = [part.column(part.schema.get_field_index(c)) for c in kept]
-                return pa.RecordBatch.from_arrays([*cols, *(pa.array(lists[c], pa.float64()) for c in new)], names=[*kept, *new])
+                early = [c for c in new if c not in last_made]
+                there = part.schema.names
+                more = [part.column(there.index(c)) if c in there and c not in made_here else pa.array(of(c), pa.float64()) for c in passed]
+                return pa.RecordBatch.from_arrays([*cols, *(pa.array(lists[c], pa.float64()) for c in early), *more], names=[*kept, *early, *(f"for late {c}" for c in passed)])
+
+            def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in (*kept, *new)], names=[*kept, *new])
 
             def joined() -> pa.RecordBatch:
                 return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -412,15 +470,20 @@ class Sheet:
                 for a, b in zip(cuts, cuts[1:]):
                     if state is None or keys[a] != now:
                         if parts:
-                            yield work(joined())
+                            yield from emitted(work(joined()))
                             parts = []
+                        if waiting:
+                            yield from shown(waiting.rest())
+                        waiting = Delayed(late, inputs, chunk) if late else None
                         now, state = keys[a], [None if kind == "fold" else what[0]() for kind, what in steps]
                     if any_whole:
                         parts.append(batch.slice(a, b - a))
                     else:
-                        yield work(batch.slice(a, b - a))
+                        yield from emitted(work(batch.slice(a, b - a)))
             if parts:
-                yield work(joined())
+                yield from emitted(work(joined()))
+            if waiting:
+                yield from shown(waiting.rest())
 
         return df.mapInArrow(run, schema)
 

@@ -78,7 +78,7 @@ def reaches(sheet: Sheet, depth: dict[str, int]) -> tuple[dict[int, tuple[int, i
     """For each pass, and for each column, how many rows the windows behind it look back and ahead, one over the other."""
     own, found, out = f"PARTITION BY {sheet.key} ORDER BY ", {}, {}
     made_by = {c: m for m in sheet.machines for c in m.outputs}
-    bad = [c for c in depth if c in made_by and made_by[c].reach is None]
+    bad = [c for c in depth if c in made_by and (made_by[c].reach is None or made_by[c].ahead)]
     for c, k in depth.items():
         if c in sheet.folds and any(depth.get(n) == k and n in made_by for n in (sheet.folds[c].seed, sheet.folds[c].gain, sheet.folds[c].x)):
             bad.append(c)

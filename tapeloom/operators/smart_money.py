@@ -132,7 +132,7 @@ def _births(s: Sheet, n: int, known: bool) -> tuple[str, str, str, str, str]:
 
 
 def lifecycle(s: Sheet, n: int) -> dict[str, str]:
-    """Gaps and order blocks with what the bars after them did, and structure shifts."""
+    """Gaps and order blocks with what the bars after them did, and structure shifts: a bar waits for its horizon to pass."""
     births = _births(s, n, False)
 
     def make():
@@ -172,7 +172,7 @@ def lifecycle(s: Sheet, n: int) -> dict[str, str]:
         return step
 
     outputs = ["fvg", "fvg_top", "fvg_bottom", "fvg_age", "ob", "ob_top", "ob_bottom", "ob_age", "mss"]
-    return s.machine(make, ["open", "high", "low", "close", *births], outputs, ("lifecycle", n), whole=True, sql=_lifecycle_sql)
+    return s.machine(make, ["open", "high", "low", "close", *births], outputs, ("lifecycle", n), sql=_lifecycle_sql, reach=max(BACK, SWEPT, 2), ahead=HORIZON)
 
 
 def _met_sql(state: str, near: str, far: str, side: str, reach: str, close: str, is_gap: bool) -> tuple[str, str]:

@@ -63,3 +63,41 @@ def test_long_windows_go_through_the_pass_and_equal_short_ones_way(spark, monkey
     for c in ("quantile", "median_absolute_deviation", "percentile_rank", "atr_percentile"):
         assert want[c].notna().sum() > 20
         np.testing.assert_allclose(rows[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_zones_that_wait_for_their_horizon_equal_those_of_the_whole_symbol(spark, monkeypatch):
+    from tapeloom.functions import sheet
+
+    bars = source.event_bars(spark, "/root/testdata/sf0.001")
+    asked = [n for n in base.CATALOGUE if n.startswith("smc.") and not base.CATALOGUE[n].needs_bench and ("ob" in n or "fvg" in n)]
+    s = sheet.Sheet({f.name: f.dataType.simpleString() for f in bars.schema})
+    for n in asked:
+        base.columns(s, n)
+    late = [m for m in s.machines if m.ahead]
+    assert late and not any(m.whole for m in late)
+    want = base.compute(bars, asked).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)  # a symbol is one chunk
+    monkeypatch.setattr(sheet, "CHUNK", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        rows = base.compute(bars, asked).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(want) and list(rows.columns) == list(want.columns)
+    for c in want.columns:
+        assert rows[c].equals(want[c]), c
+
+
+def test_held_rows_are_bounded():
+    import pyarrow as pa
+
+    from tapeloom.functions.sheet import CHUNK, Delayed, Machine
+
+    seen = Machine(1, lambda: lambda x: [[sum(x[max(0, i - 3) : i + 6]) for i in range(len(x))]], ["x"], ["y"], reach=3, ahead=5)
+    d, out, most, n = Delayed([seen], [["x"]], CHUNK), [], 0, 5 * CHUNK
+    for at in range(0, n, 1000):
+        for b in d.push(pa.RecordBatch.from_arrays([pa.array(range(at, min(n, at + 1000)))], names=["x"])):
+            out += b.column(1).to_pylist()
+        most = max(most, d.size)
+    out += [v for b in d.rest() for v in b.column(1).to_pylist()]
+    assert most <= CHUNK + 1000 + 8
+    assert out == [float(sum(range(max(0, i - 3), min(n, i + 6)))) for i in range(n)]
