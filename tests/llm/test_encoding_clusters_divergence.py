@@ -204,24 +204,36 @@ def test_audit_equals_brute_force(spark, monkeypatch, small):
         text = " ".join(random.choices(words[: random.choice([3, 12])], k=random.choice([0, 1, 5, 40])))
         rows.append((text, random.choice(["en", "de", None, ""]), random.choice(["s1", "s2", "é", None, "s10"])))
     rows += [rows[0]] * 5 + [(None, "en", "lone"), ("", "xx", "one"), (None, "xx", "two"), ("only here", "yy", "solo"), ("alpha " * 400, "en", "s1"), ("日" * 900, "en", "s2")]
-    if small:  # blocks, flushes and splits that only large tables meet
-        sizes = {"BLOCK": 64, "TERMS": 3, "COUNTS": 5, "ENTRIES": 2}
-        monkeypatch.setattr(divergence, "ENTRIES", sizes["ENTRIES"])
-        run = divergence.in_arrow
-
-        def with_sizes(df, task, schema):
-            def patched(batches):
-                for k, v in sizes.items():
-                    task.__globals__[k] = v
-                yield from task(batches)
-
-            return run(df, patched, schema)
-
-        monkeypatch.setattr(divergence, "in_arrow", with_sizes)
+    if small:
+        monkeypatch.setattr(divergence, "ENTRIES", 2)  # many blocks a language
     df = spark.createDataFrame([(*r, 3, "y") for r in rows], "text string, lang string, source string, n int, `term.x` string").repartition(3)
     assert rows_of(divergence.audited(df, least=4, most=3), *AUDIT) == brute_audit(rows, 4, 3)
 
 
+def test_counts_that_are_passed_on_early_add_up(monkeypatch):
+    random.seed(12)
+    for name, n in (("BLOCK", 16), ("TERMS", 3), ("COUNTS", 5)):
+        monkeypatch.setattr(divergence, name, n)
+    counts, want, docs, rows = divergence.Counts(), Counter(), Counter(), []
+    for _ in range(80):
+        text = " ".join(random.choices(["alpha", "Beta", "gämma", "日本", "x" * 40, "-", "1"], k=random.choice([0, 3, 60])))
+        lang, source = random.choice("ab"), random.choice("st")
+        divergence._long(counts, counts.group(lang, source), np.frombuffer(text.encode(), np.uint8))
+        found = Counter(t.lower() for t in text.split() if t not in "-1")
+        want.update({(lang, source, t): k for t, k in found.items()})
+        docs.update((lang, source, t) for t in found)
+        docs[lang, source, None] += 1
+        if counts.full:
+            rows += counts.rows().to_pylist()
+            assert not counts.full
+    rows += counts.rows().to_pylist()
+    got, spread = Counter(), Counter()
+    for r in rows:
+        got[r["lang"], r["source"], r["term"]] += r["n"]
+        spread[r["lang"], r["source"], r["term"]] += r["docs"]
+    assert len(rows) > len(spread) and +got == want and +spread == docs
+
+
 def test_audit_of_nothing(spark):
     assert divergence.audited(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
 
