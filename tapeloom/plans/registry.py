@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.functions.sheet import Sheet
-from tapeloom.operators import averages, base, candle, levels, momentum, patterns, smart_money, statistics, volatility, volume  # noqa: F401
+from tapeloom.operators import averages, base, candle, levels, momentum, patterns, rank_correlation, smart_money, statistics, volatility, volume  # noqa: F401
 from tapeloom.sources import bars as source
 
 #: decimal places of computed columns, on both sides of a comparison
@@ -90,6 +90,20 @@ def hot_symbol_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["hot_symbol_folds"] = hot_symbol_folds
 
+def kendall_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of each symbol's closes with its benchmark's, over all hours."""
+    got = rank_correlation.kendall(bench_bars(spark, sf_dir), "close", "bench_close")
+    return got.withColumn("tau", F.round(F.col("tau") + F.lit(1.37e-6), DIGITS) + F.lit(0.0))
+
+
+QUERIES["kendall_closes"] = kendall_closes
+ORACLE_SQL["kendall_closes"] = (
+    f"WITH b AS MATERIALIZED (SELECT symbol, row_number() OVER () AS i, close AS x, bench_close AS y FROM ({BENCH_SQL}) WHERE close IS NOT NULL AND bench_close IS NOT NULL), "
+    "s AS (SELECT a.symbol, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS c, sum(abs(sign(a.x - b.x))) AS x, sum(abs(sign(a.y - b.y))) AS y FROM b a JOIN b ON a.symbol = b.symbol AND a.i < b.i GROUP BY 1), "
+    "n AS (SELECT symbol, count(*) AS n FROM b GROUP BY 1) "
+    f"SELECT symbol, n, round(c / nullif(sqrt(x * y), 0) + 1.37e-6, {DIGITS}) + 0.0 AS tau FROM n LEFT JOIN s USING (symbol)"
+)
+
 FLAGSHIP = "bands_above_upper"
 
 
