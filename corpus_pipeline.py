@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.llm import decontaminate, language, packing, repeats, simhash
 from tapeloom.llm.store import Scratch
+from tapeloom.llm.workers import quoted
 
 #: a document goes if its language's share is lower; over the four or more languages of a corpus this is near a guess
 LEAST_SCORE = 0.3
@@ -23,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without letters, or whose language the network can't tell, go."""
     names = ("predicted language", "language score")
     got = language.predicted(docs, language.fit(docs), names)
-    return got.where((F.col(f"`{names[0]}`") != "und") & (F.col(f"`{names[1]}`") >= LEAST_SCORE)).select(*docs.columns)
+    return got.where((F.col(f"`{names[0]}`") != "und") & (F.col(f"`{names[1]}`") >= LEAST_SCORE)).select(*quoted(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words, or 400 bytes, that occur twice go; so do documents of which nothing is left."""
-    return repeats.without_repeats(docs, SHORTEST, MOST_REPEATED + 1).select(*docs.columns)
+    return repeats.without_repeats(docs, SHORTEST, MOST_REPEATED + 1).select(*quoted(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .grouping import suffix_array
 from .store import Scratch
-from .workers import in_arrow, parts
+from .workers import in_arrow, parts, quoted
 
 SLICE = 1 << 18
 #: what a row goes by; rows that agree in both have one text and so the same repeats
@@ -385,4 +385,4 @@ def without_repeats(docs: DataFrame, size: int = 400, words: int | None = None)
     out = in_arrow(with_spans(docs, scratch, size, tuple(rest)), run, f"{kinds}, text string")
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs.columns))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components, local_roots
 from .store import Scratch
-from .workers import in_arrow, parts
+from .workers import in_arrow, parts, quoted
 
 BITS = 64
 CHECK = 24  # bits of the checksum: the most classes of a leading part are 2 to this power
@@ -299,7 +299,7 @@ def one_of_each(docs: DataFrame, distance: int = 4, similar: float | None = 0.8)
         chosen = _without_alike(chosen, told, scratch, extra, distance, similar)
     kept = chosen.select(F.col(KEY[0]).alias("keep id"), F.col(KEY[1]).alias("keep hash"))
     same = told[KEY[0]].eqNullSafe(kept["keep id"]) & (told[KEY[1]] == kept["keep hash"])
-    return told.join(kept, same, "left_semi").dropDuplicates(list(KEY)).select(*docs.columns)
+    return told.join(kept, same, "left_semi").dropDuplicates(list(KEY)).select(*quoted(docs.columns))
 
 
 def _without_alike(rows: DataFrame, told: DataFrame, scratch: Scratch, families: list[str], distance: int, similar: float) -> DataFrame:

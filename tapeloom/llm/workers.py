@@ -41,16 +41,22 @@ def give_back() -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` whose workers give memory back at the end of each task."""
+    """``df.mapInArrow(run, schema)`` whose workers give memory back at the end of each task, for columns of any name."""
+    names = df.columns
+    odd = any(set(n) & set(".`") for n in names)  # mapInArrow looks its columns up unquoted
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         try:
-            yield from run(batches)
+            yield from run((pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches) if odd else batches)
         finally:
             give_back()
 
-    return df.mapInArrow(task, schema)
+    return (df.toDF(*(f"c{i}" for i in range(len(names)))) if odd else df).mapInArrow(task, schema)
+
+
+def quoted(columns: list[str]) -> list[str]:
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -253,3 +253,17 @@ def test_shares_and_divergences_are_exact_for_large_counts():
         assert divergence.share(np.array(n, np.int64), total).tolist() == [1 + 10**9 * x // total for x in n]
     a, b = np.array([1, 10**9 + 1, 5]), np.array([10**9 + 1, 1, 5])
     assert divergence.apart(a, b).tolist() == [(int(x) - int(y)) ** 2 // (int(x) + int(y)) for x, y in zip(a, b)]
+
+
+def test_pipeline_stages_take_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    random.seed(13)
+    say = lambda: " ".join(random.choices("the of and to in is that for on with as was at by it from or an be this".split(), k=90))
+    columns = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `x y` string, cut string, own string, fp long"
+    rows = [(i, t, "en", "s", len(t), i, "x", "c", "o", 5) for i, t in enumerate([say() for _ in range(6)])]
+    docs = spark.createDataFrame([*rows, (50, rows[0][1], *rows[0][2:])], columns)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert {r["a.b"] for r in got.collect()} >= {1, 2, 3}, name
