@@ -9,6 +9,7 @@ from math import sqrt
 
 import numpy as np
 
+from tapeloom.functions import concord
 from tapeloom.functions.ordered import LONG_WINDOW
 from tapeloom.functions.sheet import Sheet, numbers
 
@@ -263,22 +264,6 @@ def spearman_correlation(s: Sheet, source: str = "close", bench_source: str = "c
     return s.put(f"corr({average_rank(s, a)}, {average_rank(s, b)}) {s.whole}")
 
 
-def _ranks(v: np.ndarray) -> np.ndarray:
-    order = np.argsort(v, kind="stable")
-    _, back, n = np.unique(v[order], return_inverse=True, return_counts=True)
-    end = np.cumsum(n)
-    out = np.empty(len(v))
-    out[order] = (end - (n - 1) / 2.0)[back]
-    return out
-
-
-def _spearman(x: np.ndarray, y: np.ndarray) -> float:
-    a, b = _ranks(x), _ranks(y)
-    a, b = a - a.mean(), b - b.mean()
-    d = sqrt((a @ a) * (b @ b))
-    return float(a @ b / d) if d else np.nan
-
-
 def kendall(x: np.ndarray, y: np.ndarray) -> float:
     """tau-b in O(n log n): ties by counting, discordant pairs by merge sort."""
     n = len(x)
@@ -315,27 +300,6 @@ def kendall(x: np.ndarray, y: np.ndarray) -> float:
     return (total - tx - ty + txy - 2 * swaps) / d if d else np.nan
 
 
-def windowed_pair(measure, length: int):
-    def make():
-        held: list[tuple] = []
-
-        def step(x, y):
-            out = []
-            for row in zip(x, y):
-                held.append(row)
-                del held[:-length]
-                if len(held) < length or any(v is None for r in held for v in r):
-                    out.append(None)
-                else:
-                    a = np.array(held, np.float64)
-                    out.append(measure(a[:, 0], a[:, 1]))
-            return [out]
-
-        return step
-
-    return make
-
-
 def _pairs_sql(form: str, n: int):
     """SQL of a measure of the pairs of a full window without gaps, as lists xs_ and ys_."""
 
@@ -361,12 +325,16 @@ def _all_pairs_sql(sheet: Sheet, table: str, inputs: list[str], outputs: list[st
 
 @indicator("stats.rolling_spearman", bench=True, machine=True)
 def rolling_spearman(s: Sheet, length: int = 20, source: str = "close", bench_source: str = "close") -> str:
-    return s.machine(windowed_pair(_spearman, positive(length)), list(pair(s, source, bench_source)), ["r"], ("spearman", length, source, bench_source), sql=_pairs_sql("spearman", length))["r"]
+    made = concord.window(positive(length), "spearman")
+    sides = list(pair(s, source, bench_source))
+    return s.machine(made, sides, ["r"], ("spearman", length, source, bench_source), sql=_pairs_sql("spearman", length), reach=length - 1)["r"]
 
 
 @indicator("stats.rolling_kendall", bench=True, machine=True)
 def rolling_kendall(s: Sheet, length: int = 20, source: str = "close", bench_source: str = "close") -> str:
-    return s.machine(windowed_pair(kendall, positive(length)), list(pair(s, source, bench_source)), ["tau"], ("kendall", length, source, bench_source), sql=_pairs_sql("kendall", length))["tau"]
+    made = concord.window(positive(length), "kendall")
+    sides = list(pair(s, source, bench_source))
+    return s.machine(made, sides, ["tau"], ("kendall", length, source, bench_source), sql=_pairs_sql("kendall", length), reach=length - 1)["tau"]
 
 
 @indicator("stats.kendall_correlation", bench=True, machine=True)

@@ -80,6 +80,12 @@ QUERIES["order_statistics_long"] = lambda spark, sf_dir: base.compute(source.eve
 QUERIES["order_statistics_sliced"] = lambda spark, sf_dir: base.compute(source.event_bars(spark, sf_dir), _ORDERED, DIGITS, slice_rows=64)
 ORACLE_SQL["order_statistics_long"] = ORACLE_SQL["order_statistics_sliced"] = base.sql(source.SQL["hour"], _ORDERED, DIGITS)
 
+#: rank correlations of windows with the benchmark, over symbols and over slices
+_RANKED = {"stats.rolling_spearman": {"length": 60}, "stats.rolling_kendall": {"length": 60}}
+QUERIES["rank_correlations_long"] = lambda spark, sf_dir: base.compute(bench_bars(spark, sf_dir), _RANKED, DIGITS)
+QUERIES["rank_correlations_sliced"] = lambda spark, sf_dir: base.compute(bench_bars(spark, sf_dir), _RANKED, DIGITS, slice_rows=64)
+ORACLE_SQL["rank_correlations_long"] = ORACLE_SQL["rank_correlations_sliced"] = base.sql(BENCH_SQL, _RANKED, DIGITS, True)
+
 
 def hot_symbol_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursions over 16 bars of each delivery, three symbols with a third of them each: what each symbol's means come to."""
