@@ -238,4 +238,33 @@ QUERIES["feature_quality"] = lambda spark, sf_dir: helpers.feature_quality(featu
 _ONE = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS x FROM f" for c in _MEASURED)
 ORACLE_SQL["feature_quality"] = f"WITH f AS MATERIALIZED ({feature_plan.features_sql(source.SQL['hour'])}) SELECT feature, count(*) AS n, count(*) FILTER (WHERE x IS NULL) AS missing, count(DISTINCT {helpers.shown_sql('x')}) AS different, {helpers.shown_sql('min(x)')} AS low, {helpers.shown_sql('max(x)')} AS high FROM ({_ONE}) GROUP BY feature"
 
+
+
+# streams ---------------------------------------------------------------------------------------------------------
+
+from tapeloom.functions.sheet import SHIFT  # noqa: E402
+from tapeloom.streaming import state as keyed  # noqa: E402
+
+
+def streamed_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events replayed as a stream: hourly bars by watermark, then indicators from keyed state, for each bar that is closed."""
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream takes no single file
+    seconds = "unix_date(to_date(ts)) * 86400L + hour(ts) * 3600 + minute(ts) * 60"
+    clock = F.timestamp_micros(F.expr(f"({seconds}) * 1000000 + cast(extract(SECOND FROM ts) * 1000000 AS long)"))  # the wall clock, in no zone
+    ticks = events.select(F.col("event_type").alias("symbol"), clock.alias("ts"), F.col("event_id").alias("seq"), "value")
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
+    made = keyed.stream_indicators(keyed.closed_bars(ticks), closes="closes", session=day)
+    got = keyed.replay(made.withColumn("ts", F.unix_micros("ts")), spark, "streamed-indicators")
+    got = got.withColumn("ts", F.expr("timestampadd(MICROSECOND, ts, TIMESTAMP_NTZ '1970-01-01 00:00:00')"))
+    return got.withColumns({c: F.round(F.col(c) + F.lit(SHIFT), DIGITS) + F.lit(0.0) for c in keyed.MEASURES})
+
+
+QUERIES["streamed_indicators"] = streamed_indicators
+_STREAMED = base.sql(source.SQL["hour"], ["momentum.rsi", "volatility.atr", "volume.session_volume_profile"], DIGITS)
+ORACLE_SQL["streamed_indicators"] = (
+    "SELECT symbol, ts, open, high, low, close, volume, rsi, atr, session_volume_profile_poc AS poc, session_volume_profile_vah AS vah, session_volume_profile_val AS val "
+    f"FROM ({_STREAMED}) WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+)
+
 QUERIES["analyzer_contracts"] = lambda spark, sf_dir: contracts.table(spark)
