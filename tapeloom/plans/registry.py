@@ -240,6 +240,35 @@ ORACLE_SQL["feature_quality"] = f"WITH f AS MATERIALIZED ({feature_plan.features
 
 
 
+# databases -------------------------------------------------------------------------------------------------------
+
+from tapeloom.functions.scratch import Scratch  # noqa: E402
+from tapeloom.sources import database  # noqa: E402
+
+
+def database_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars written to a database by symbol; those of two symbols from a price on come back by its index."""
+    bars = source.event_bars(spark, sf_dir).repartition("symbol")
+    folder = f"{Scratch(spark, 'database-bars').folder}/bars"
+    database.write_table(bars, folder, ["symbol", "ts"])
+    return database.read_table(spark, folder, bars.schema, rows=1 << 16).where(F.col("symbol").isin("click", "view") & (F.col("close") >= 100))
+
+
+def database_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a keyed table in a database: those of one nation, with the nation's name."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    folder = f"{Scratch(spark, 'database-master').folder}/supplier"
+    database.write_table(rows, folder, ["s_nationkey", "s_suppkey"])
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    own = database.read_table(spark, folder, rows.schema).where("s_nationkey = 7")
+    return own.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).drop("n_nationkey")
+
+
+QUERIES["database_bars"] = database_bars
+ORACLE_SQL["database_bars"] = f"SELECT * FROM ({source.SQL['hour']}) WHERE symbol IN ('click', 'view') AND close >= 100"
+QUERIES["database_master"] = database_master
+ORACLE_SQL["database_master"] = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey = 7"
+
 # streams ---------------------------------------------------------------------------------------------------------
 
 from tapeloom.functions.sheet import SHIFT  # noqa: E402
