@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from .expanding import Accumulator, accumulate
 from .scalars import known, or_default, safe_divide
 
 TRADING_DAYS = 252
@@ -211,8 +212,11 @@ def expanding_std(x, least: int = 1) -> Column:
     return expanding(F.stddev_samp, x, least)
 
 
-def expanding_apply(df: DataFrame, column: str, f: Callable, name: str, least: int = 1) -> DataFrame:
-    """``f`` (numbers so far -> number) at each bar. The numbers so far are one array a bar: for short series only."""
+def expanding_apply(df: DataFrame, column: str, f: Callable | Accumulator, name: str, least: int = 1) -> DataFrame:
+    """``f`` at each bar: an accumulator, for series of any length; or a function (numbers so far -> number), for short series
+    only, as the numbers so far are one array a bar."""
+    if isinstance(f, Accumulator):
+        return accumulate(df, {name: (column, f)}, least)
 
     @F.pandas_udf("double")
     def run(windows: pd.Series) -> pd.Series:

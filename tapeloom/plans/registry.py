@@ -240,6 +240,28 @@ ORACLE_SQL["feature_quality"] = f"WITH f AS MATERIALIZED ({feature_plan.features
 
 
 
+# expanding measures ----------------------------------------------------------------------------------------------
+
+from tapeloom.functions import expanding  # noqa: E402
+
+_EXPANDING = {"variance": ("close", expanding.VARIANCE), "drawdown": ("close", expanding.DRAWDOWN), "longest_rise": ("close", expanding.LONGEST_RISE)}
+
+
+def expanding_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance, largest fall and longest rise of each symbol's closes up to each bar."""
+    got = expanding.accumulate(source.event_bars(spark, sf_dir), _EXPANDING, least=2)
+    return got.withColumns({c: F.round(F.col(c) + F.lit(1.37e-6), DIGITS) + F.lit(0.0) for c in _EXPANDING})
+
+
+QUERIES["expanding_measures"] = expanding_measures
+ORACLE_SQL["expanding_measures"] = (
+    f"WITH b AS (SELECT *, row_number() OVER w AS i, var_samp(close) OVER w AS v, 1 - close / max(close) OVER w AS f, close <= coalesce(lag(close) OVER w, close) AS falls FROM ({source.SQL['hour']}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)), "
+    "r AS (SELECT *, i - max(CASE WHEN falls THEN i END) OVER w + 1 AS run, max(f) OVER w AS d FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts)), "
+    "l AS (SELECT *, max(run) OVER (PARTITION BY symbol ORDER BY ts) AS longest FROM r) "
+    "SELECT symbol, ts, open, high, low, close, volume, "
+    + ", ".join(f"CASE WHEN i >= 2 THEN round({e} + 1.37e-6, {DIGITS}) + 0.0 END AS {c}" for e, c in (("v", "variance"), ("d", "drawdown"), ("longest", "longest_rise"))) + " FROM l"
+)
+
 # databases -------------------------------------------------------------------------------------------------------
 
 from tapeloom.functions.scratch import Scratch  # noqa: E402
