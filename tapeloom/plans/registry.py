@@ -229,7 +229,7 @@ ORACLE_SQL["series_statistics"] = "SELECT symbol, " + ", ".join(f"round({e} + 1.
 QUERIES["validation_report"] = lambda spark, sf_dir: cleaning.validation_report(source.event_bars(spark, sf_dir))
 ORACLE_SQL["validation_report"] = f"SELECT symbol, count(*) AS rows, count(*) FILTER (WHERE open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL) AS missing, count(*) FILTER (WHERE low <= 0) AS not_positive, count(*) FILTER (WHERE high < low) AS high_below_low, count(*) FILTER (WHERE volume < 0) AS negative_volume, count(*) - count(DISTINCT ts) AS repeated_times FROM ({source.SQL['hour']}) GROUP BY symbol"
 
-from tapeloom.plans import contracts, helpers  # noqa: E402
+from tapeloom.plans import helpers  # noqa: E402
 
 QUERIES |= helpers.QUERIES
 ORACLE_SQL |= helpers.ORACLE_SQL
@@ -277,19 +277,19 @@ def database_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def database_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as a keyed table in a database: those of one nation, with the nation's name."""
+    """Suppliers as a keyed table in a database: those of some nations that are in credit, with their nation's name."""
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     folder = f"{Scratch(spark, 'database-master').folder}/supplier"
     database.write_table(rows, folder, ["s_nationkey", "s_suppkey"])
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
-    own = database.read_table(spark, folder, rows.schema).where("s_nationkey = 7")
+    own = database.read_table(spark, folder, rows.schema).where("s_nationkey >= 5 AND s_acctbal > 0")
     return own.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).drop("n_nationkey")
 
 
 QUERIES["database_bars"] = database_bars
 ORACLE_SQL["database_bars"] = f"SELECT * FROM ({source.SQL['hour']}) WHERE symbol IN ('click', 'view') AND close >= 100"
 QUERIES["database_master"] = database_master
-ORACLE_SQL["database_master"] = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey = 7"
+ORACLE_SQL["database_master"] = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey >= 5 AND s_acctbal > 0"
 
 # streams ---------------------------------------------------------------------------------------------------------
 
@@ -317,5 +317,3 @@ ORACLE_SQL["streamed_indicators"] = (
     "SELECT symbol, ts, open, high, low, close, volume, rsi, atr, session_volume_profile_poc AS poc, session_volume_profile_vah AS vah, session_volume_profile_val AS val "
     f"FROM ({_STREAMED}) WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 )
-
-QUERIES["analyzer_contracts"] = lambda spark, sf_dir: contracts.table(spark)

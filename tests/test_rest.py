@@ -150,9 +150,12 @@ def test_analyzers_give_one_record_a_symbol(spark):
     table.unpersist()
 
 
-def test_contracts_name_what_analyzers_read():
+def test_contracts_name_what_analyzers_read(spark):
     from tapeloom.plans import contracts
 
+    rows = contracts.table(spark).collect()
+    assert len(rows) == 8 and all(len(r.features) and len(r.outputs) and len(r.sha256) == 64 for r in rows)
+
     found = contracts.contracts()
     assert set(found) == set(analyzers.ANALYZERS) and {"ema_20", "vwap", "bos"} <= set(found["trend"].features) and "direction_score" in found["trend"].outputs
     assert contracts.problems(found, []).keys() >= {"trend"} and contracts.scan("import os\nx = df['a'] + df.get('b')\nf(x)") == {"columns": ["a", "b"], "calls": ["f", "get"], "modules": ["os"]}
