@@ -307,7 +307,7 @@ def streamed_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.floor(F.unix_micros("ts") / 86_400_000_000)
     made = keyed.stream_indicators(keyed.closed_bars(ticks), closes="closes", session=day)
     got = keyed.replay(made.withColumn("ts", F.unix_micros("ts")), spark, "streamed-indicators")
-    got = got.withColumn("ts", F.expr("timestampadd(MICROSECOND, ts, TIMESTAMP_NTZ '1970-01-01 00:00:00')"))
+    got = got.withColumn("ts", F.expr("timestampadd(MICROSECOND, ts, TIMESTAMP_NTZ '1970-01-01 00:00:00')").cast("timestamp"))
     return got.withColumns({c: F.round(F.col(c) + F.lit(SHIFT), DIGITS) + F.lit(0.0) for c in keyed.MEASURES})
 
 
