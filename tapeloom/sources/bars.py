@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from tapeloom.functions.grown import Growth
+
 SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume"))])
 
 
@@ -67,15 +70,35 @@ def _sql(table: str, symbol: str, bucket: str, value: str, order: list[str], vol
     return f"SELECT {symbol} AS symbol, {bucket} AS ts, arg_min({value}, {at}) AS open, max({value}) AS high, min({value}) AS low, arg_max({value}, {at}) AS close, ({volume})::DOUBLE AS volume FROM {table} GROUP BY 1, 2"
 
 
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each delivery by its return flag, with the second its bars begin at, its price and its quantity."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_extendedprice", "l_quantity")
+    at = F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(1440)) * 60
+    return rows.select(F.col("l_returnflag").alias("symbol"), at.alias("at"), F.col("l_extendedprice").cast("double").alias("value"), F.col("l_quantity").cast("double").alias("volume"))
+
+
 def delivery_ticks(spark: SparkSession, sf_dir: str, each: int = 16) -> DataFrame:
     """``each`` bars a minute apart for every delivery, by its return flag: three symbols with a third of all bars each."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_extendedprice", "l_quantity")
+    return ticks(deliveries(spark, sf_dir), each)
+
+
+def ticks(rows: DataFrame, each: int = 16) -> DataFrame:
+    """The bars of rows such as ``deliveries`` gives."""
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
-    minute = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(1440)) + F.col("i")
-    ts = F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + minute * 60)
-    p = F.col("l_extendedprice").cast("double") * (1 + F.col("i") / 1000)
+    p = F.col("value") * (1 + F.col("i") / 1000)
     prices = (p.alias("open"), (p * 1.01).alias("high"), (p * 0.99).alias("low"), (p * (1 + F.sin("i") / 200)).alias("close"))
-    return rows.select(F.col("l_returnflag").alias("symbol"), ts.alias("ts"), *prices, F.col("l_quantity").cast("double").alias("volume"))
+    return rows.select("symbol", F.timestamp_seconds(F.col("at") + F.col("i") * 60).alias("ts"), *prices, "volume")
+
+
+def delivery_growth(each: int = 16) -> Growth:
+    """The bars of ``ticks`` as tasks make them."""
+    i = np.arange(each)
+
+    def prices(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = value[:, None] * (1 + i / 1000)
+        return p, p * (1 + np.sin(i) / 200)
+
+    return Growth(each, 60, prices)
 
 
 #: DuckDB SQL of the same bars
