@@ -37,9 +37,10 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = repeats.removed(_table(spark, sf_dir, "documents"))
-    cut = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
-    got = got.select("doc_id", "n_bytes", cut.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
+    got = repeats.removed(_table(spark, sf_dir, "documents"), passage=51)
+    size = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    many = lambda runs: F.size(runs).cast("long")
+    got = got.select("doc_id", "n_bytes", size("spans").alias("n_removed"), many("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), many("passages").alias("n_passages"), size("passages").alias("n_passage_words"), "kept")
     return got.withColumn("removed_share", F.coalesce(F.try_divide(F.col("n_removed").cast("double"), F.col("n_bytes")), F.lit(0.0))).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 

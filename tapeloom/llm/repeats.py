@@ -13,6 +13,10 @@ A string of ``size`` bytes that also starts elsewhere is found wherever it stand
    which needs a count only.
 
 Blocks are told apart by two 64-bit hashes; a row goes by its doc_id and the 64-bit hash of its text (``ROW``).
+
+All this takes words (runs of bytes other than ASCII white space) in place of bytes as well: each is a 64-bit hash up to
+step 3, which numbers the words themselves and ranks the places of all blocks by prefixes of doubled length; the windows of
+words left there all take equally many symbols, so that two ranks tell one from all others.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ class Shape:
     fewer blocks; a smaller stretch leaves a longer core, so fewer blocks meet by chance."""
 
     size: int
+    words: bool = False
 
     @property
     def gram(self) -> int:
@@ -52,7 +57,7 @@ class Shape:
 
     @property
     def stretch(self) -> int:
-        return max(1, min(64, self.size // 2))
+        return self.width if self.words else max(1, min(64, self.size // 2))
 
     def core(self, shape: int) -> tuple[int, int]:
         """(bytes before the core, bytes of the core) of a block."""
@@ -87,15 +92,15 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: p - width], v[width - p :]) if p < width else v
 
 
-def blocks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int) -> dict[str, np.ndarray]:
-    """Blocks of the texts data[begins[i]:ends[i]], which follow one another: text, start, windows, shape, key, ctx, copies."""
-    cut = Shape(size)
-    n, width, gram_size, step = len(data), cut.width, cut.gram, cut.stretch
+def blocks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, cut: Shape) -> dict[str, np.ndarray]:
+    """Blocks of the texts data[begins[i]:ends[i]], which follow one another, as bytes or as hashes of words: text, start,
+    windows, shape, key, ctx, copies."""
+    n, size, width, gram_size, step = len(data), cut.size, cut.width, cut.gram, cut.stretch
     if n < size:
         return {k: np.zeros(0, np.int64) for k in ("text", "start", "windows", "shape", "key", "ctx", "copies")}
     up, down, byte = _powers(max(SLICE + 4 * size, n) + 2)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(byte[data] * up[:n], out=total[1:])
+    np.cumsum((data if cut.words else byte[data]) * up[:n], out=total[1:])
 
     def hashed(a: np.ndarray | slice, b: np.ndarray | slice) -> np.ndarray:
         return _mixed((total[b] - total[a]) * down[:n][a])
@@ -108,7 +113,7 @@ def blocks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int) ->
     text = np.repeat(np.arange(len(ends)), ends - begins)[: len(anchor)]
     fits = np.flatnonzero(start + size <= ends[text])
     if not len(fits):
-        return blocks(data[:0], begins[:0], ends[:0], size)
+        return blocks(data[:0], begins[:0], ends[:0], cut)
     kind = anchor[fits] * 16 + stretch[fits]
     new = np.flatnonzero((kind[1:] != kind[:-1]) | (np.diff(fits) != 1)) + 1
     first = np.r_[0, new]
@@ -129,9 +134,9 @@ def blocks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int) ->
     return {"text": own[head], "start": at[head] - begins[own[head]], "windows": windows, "shape": (lo - at)[head] * 8 + j[head], "key": key[head].view(np.int64), "ctx": ctx[head].view(np.int64), "copies": copies}
 
 
-def _slices(texts: pa.Array, size: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+def _slices(texts: pa.Array, size: int | None, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     """(bytes, begins, ends, text numbers, shift) of a binary column, without copying it: neighbouring texts together, long
-    ones in overlapping parts."""
+    ones in overlapping parts, or each alone if ``size`` is None."""
     kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
     _, at, raw = texts.buffers()
     if not len(texts) or raw is None:
@@ -140,7 +145,7 @@ def _slices(texts: pa.Array, size: int, most: int) -> Iterator[tuple[np.ndarray,
     data = np.frombuffer(raw, np.uint8)
     i, n = 0, len(texts)
     while i < n:
-        if at[i + 1] - at[i] > most:
+        if size is not None and at[i + 1] - at[i] > most:
             for begin in range(int(at[i]), int(at[i + 1]) - size + 1, most):
                 part = data[begin : min(begin + most + size - 1, at[i + 1])]
                 yield part, np.array([0]), np.array([len(part)]), np.array([i]), begin - int(at[i])
@@ -151,15 +156,69 @@ def _slices(texts: pa.Array, size: int, most: int) -> Iterator[tuple[np.ndarray,
         i = e
 
 
-def _rows(size: int, whole: bool):
+_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+
+
+def _words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts data[begins[i]:ends[i]], which follow one another, and where they begin and end there."""
+    n = len(data)
+    up, down, byte = _powers(max(SLICE, n) + 2)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(byte[data] * up[:n], out=total[1:])
+    inside = ~_SPACE[data]
+    edge = np.zeros(n + 1, bool)
+    edge[begins] = edge[ends] = True
+    first = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]]))
+    last = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False])) + 1
+    return _mixed((total[last] - total[first]) * down[first]), np.searchsorted(first, begins), np.searchsorted(first, ends)
+
+
+def _long_words(data: np.ndarray, most: int) -> np.ndarray:
+    """Hashes of the words of one text, read in parts of at most ``most`` bytes; a word beyond that is digested by itself."""
+    out, begin, n = [], 0, len(data)
+    whole = lambda part: _words(part, np.array([0]), np.array([len(part)]))[0]
+    while begin < n:
+        if n - begin <= most:
+            end = n
+        elif (gaps := np.flatnonzero(_SPACE[data[begin : begin + most]])).size:
+            end = begin + int(gaps[-1]) + 1
+        else:
+            end = begin + most
+            while end < n and not _SPACE[data[end : end + most]].any():
+                end += most
+            end = min(n, end + int(np.argmax(_SPACE[data[end : end + most]]))) if end < n else n
+        if end - begin <= most:
+            out.append(whole(data[begin:end]))
+        else:
+            out.append(np.frombuffer(hashlib.blake2b(data[begin:end].tobytes(), digest_size=8).digest(), np.uint64))
+        begin = end
+    return np.concatenate(out)
+
+
+def _units(texts: pa.Array, cut: Shape, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """The slices of a binary column in bytes, or in words with begins, ends and shift counted in these."""
+    if not cut.words:
+        yield from _slices(texts, cut.size, most)
+        return
+    for data, begins, ends, names, _ in _slices(texts, None, most):
+        if len(data) <= most:
+            yield *_words(data, begins, ends), names, 0
+            continue
+        words = _long_words(data, most)
+        for begin in range(0, len(words) - cut.size + 1, most):
+            part = words[begin : begin + most + cut.size - 1]
+            yield part, np.array([0]), np.array([len(part)]), names, begin
+
+
+def _rows(cut: Shape, whole: bool):
     """Blocks of a batch (own, hash, text): only key and ctx, or everything."""
     most = SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]
-            for data, begins, ends, names, shift in _slices(batch.column(2), size, most):
-                b = blocks(data, begins, ends, size)
+            for data, begins, ends, names, shift in _units(batch.column(2), cut, most):
+                b = blocks(data, begins, ends, cut)
                 if whole:
                     cols = {c: x[names[b["text"]]] for c, x in zip(ROW, row)} | {"start": (b["start"] + shift).astype(np.int32), "windows": b["windows"].astype(np.int32), "shape": b["shape"].astype(np.int32), "key": b["key"], "ctx": b["ctx"], "copies": b["copies"].astype(np.int32)}
                 else:
@@ -169,9 +228,10 @@ def _rows(size: int, whole: bool):
     return run
 
 
-def _fetch(size: int):
+def _fetch(cut: Shape):
     """Texts with the list of blocks wanted of them -> a row for each block, or for each window of one with a hot key."""
-    cut = Shape(size)
+    size = cut.size
+    plain = b" ".join if cut.words else bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "core", *ROW, "start", "windows", "single", "front", "back"]
@@ -186,15 +246,15 @@ def _fetch(size: int):
                 return out
 
             for own, uid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                raw = text.as_py()
+                raw = text.as_py().split() if cut.words else text.as_py()
                 for w in wanted.as_py():
                     s, n = w["start"], w["windows"]
                     if w["hot"]:
-                        rows = [(None, hashlib.blake2b(raw[p : p + size], digest_size=16).digest(), own, uid, p, 1, w["single"], b"", b"") for p in range(s, s + n)]
+                        rows = [(None, hashlib.blake2b(plain(raw[p : p + size]), digest_size=16).digest(), own, uid, p, 1, w["single"], b"", b"") for p in range(s, s + n)]
                     else:
                         lead, core = cut.core(w["shape"])
                         block = raw[s : s + n + size - 1]
-                        rows = [(w["key"], hashlib.blake2b(block[lead : lead + core], digest_size=16).digest(), own, uid, s, n, w["single"], block[:lead], block[lead + core :])]
+                        rows = [(w["key"], hashlib.blake2b(plain(block[lead : lead + core]), digest_size=16).digest(), own, uid, s, n, w["single"], plain(block[:lead]), plain(block[lead + core :]))]
                     for r in rows:
                         for c, x in zip(cols, r):
                             c.append(x)
@@ -251,14 +311,37 @@ def repeated_windows(rows: list[tuple], size: int) -> list[tuple[int, int, int]]
     return out
 
 
-def _sorted_blocks(size: int, together: int = 1500):
+def repeated_word_windows(rows: list[tuple], cut: Shape) -> list[tuple[int, int, int]]:
+    """The same for windows of words; front and back are words with single spaces between them."""
+    number: dict[tuple | bytes, int] = {}
+    text: list[int] = []
+    begins = []
+    for key, digest, _, _, _, _, _, front, back in rows:
+        begins.append(len(text))
+        text.extend(number.setdefault(x, len(number)) for x in (*front.split(), (key, digest), *back.split()))
+    many = np.array([r[5] for r in rows])
+    row = np.repeat(np.arange(len(rows)), many)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    spots = np.array(begins)[row] + inner
+    # the core is one symbol, so a window is cut.width symbols
+    rank, long = np.array(text), 1
+    while 2 * long <= cut.width:
+        rank = np.unique(rank[:-long] * len(text) + rank[long:], return_inverse=True)[1]
+        long *= 2
+    _, same, times = np.unique(rank[spots] * len(text) + rank[spots + cut.width - long], return_inverse=True, return_counts=True)
+    hit = np.flatnonzero((times[same] > 1) & np.array([r[6] for r in rows])[row])
+    first = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)][: len(hit)])
+    return list(zip(row[hit[first]].tolist(), inner[hit[first]].tolist(), np.diff(np.r_[first, len(hit)]).tolist()))
+
+
+def _sorted_blocks(cut: Shape, together: int = 1500):
     """Blocks ordered by key -> (own, hash, start, windows) of the repeated windows of single ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def work() -> pa.RecordBatch:
-            found = [(held[r][2], held[r][3], held[r][4] + k, n) for r, k, n in repeated_windows(held, size)]
+            found = [(held[r][2], held[r][3], held[r][4] + k, n) for r, k, n in (repeated_word_windows(held, cut) if cut.words else repeated_windows(held, cut.size))]
             held.clear()
             cols = list(zip(*found)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=[*ROW, "start", "windows"])
@@ -286,13 +369,16 @@ def covered(raw: bytes, ranges: list, size: int) -> list[tuple[int, int]]:
     return runs
 
 
-def repeated_ranges(texts: DataFrame, scratch: Scratch, size: int = 400, room: int = 256) -> DataFrame:
-    """texts (own long, hash long, text binary) -> (own, hash, ranges array<struct<start, windows>>) for those that have any."""
+def repeated_ranges(texts: DataFrame, scratch: Scratch, size: int = 400, room: int = 256, *, words: bool = False) -> DataFrame:
+    """texts (own long, hash long, text binary) -> (own, hash, ranges array<struct<start, windows>>) for those that have any.
+    With ``words``, size and ranges count words."""
+    cut = Shape(size, words)
+    texts = texts.where(F.octet_length("text") >= (2 * size - 1 if words else size))
     row = "own long, hash long"
     kind = f"{row}, start int, windows int, shape int, key long, ctx long, copies int"
-    counted = in_arrow(texts, _rows(size, False), "key long, ctx long, copies int").groupBy("key").agg(F.sum("copies").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
+    counted = in_arrow(texts, _rows(cut, False), "key long, ctx long, copies int").groupBy("key").agg(F.sum("copies").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
     keys = scratch.cut(counted.where("n > 1").select("key", (F.col("low") != F.col("high")).alias("mixed")), "keys")
-    kept = scratch.cut(in_arrow(texts, _rows(size, True), kind).join(keys, "key"), "kept")
+    kept = scratch.cut(in_arrow(texts, _rows(cut, True), kind).join(keys, "key"), "kept")
     scratch.drop("keys")
     mixed = kept.where("mixed")
     kinds = scratch.cut(mixed.groupBy("key", "ctx").agg(F.sum("copies").alias("n"), F.min(F.struct(*ROW, "start", "windows", "shape", "copies")).alias("one")), "kinds")
@@ -306,29 +392,39 @@ def repeated_ranges(texts: DataFrame, scratch: Scratch, size: int = 400, room: i
     )
     wanted = scratch.cut(wanted.groupBy(*ROW).agg(F.collect_list("w").alias("wanted")), "wanted")
     cols = f"key long, core binary, {row}, start int, windows int, single boolean, front binary, back binary"
-    edges = scratch.cut(in_arrow(texts.join(wanted, list(ROW)).select(*ROW, "text", "wanted"), _fetch(size), cols), "edges")
+    edges = scratch.cut(in_arrow(texts.join(wanted, list(ROW)).select(*ROW, "text", "wanted"), _fetch(cut), cols), "edges")
     n_parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    found = in_arrow(edges.where("key is not null").repartition(n_parts, "key").sortWithinPartitions("key", "core"), _sorted_blocks(size), f"{row}, start int, windows int")
+    found = in_arrow(edges.where("key is not null").repartition(n_parts, "key").sortWithinPartitions("key", "core"), _sorted_blocks(cut), f"{row}, start int, windows int")
     alone = edges.where("key is null")
     often = alone.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     hot = scratch.cut(alone.where("single").join(often, "core").select(*ROW, "start", "windows"), "hot")
     all_ranges = kept.where("not mixed").select(*ROW, "start", "windows").union(copied).union(found).union(hot)
-    return scratch.cut(all_ranges.groupBy(*ROW).agg(F.collect_list(F.struct("start", "windows")).alias("ranges")), "ranges")
+    ranges = scratch.cut(all_ranges.groupBy(*ROW).agg(F.collect_list(F.struct("start", "windows")).alias("ranges")), "ranges")
+    scratch.drop("kept", "kinds", "per_key", "copied", "wanted", "edges", "hot")
+    return ranges
 
 
-def with_spans(docs: DataFrame, scratch: Scratch, size: int = 400, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``docs``, text as binary (null: empty), and ranges: the repeated windows, null if none."""
+def with_spans(docs: DataFrame, scratch: Scratch, size: int = 400, keep: tuple[str, ...] = ("doc_id",), passage: int | None = None) -> DataFrame:
+    """``keep`` columns of ``docs``, text as binary (null: empty), and ranges: the repeated windows, null if none; with
+    ``passage`` those of so many words too."""
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64("text bytes")]
     texts = docs.select(*(F.col(f"`{c}`") for c in keep), text.alias("text bytes")).withColumns({f"row {c}": x for c, x in zip(ROW, own)})
     named = texts.select(*(F.col(f"row {c}").alias(c) for c in ROW), F.col("text bytes").alias("text"))
-    ranges = repeated_ranges(named.where(F.octet_length("text") >= size), scratch, size)
-    ranges = ranges.select(*(F.col(c).alias(f"row {c}") for c in ROW), "ranges")
-    return texts.join(ranges, [f"row {c}" for c in ROW], "left").select(*(F.col(f"`{c}`") for c in keep), F.col("text bytes"), F.col("ranges").alias("repeated ranges"))
+    found = {"repeated ranges": repeated_ranges(named, scratch, size)}
+    if passage is not None:
+        found["repeated passages"] = repeated_ranges(named, scratch, passage, words=True)
+    for name, ranges in found.items():
+        ranges = ranges.select(*(F.col(c).alias(f"row {c}") for c in ROW), F.col("ranges").alias(name))
+        texts = texts.join(ranges, [f"row {c}" for c in ROW], "left")
+    return texts.select(*(F.col(f"`{c}`") for c in keep), F.col("text bytes"), *found)
 
 
-def removed(docs: DataFrame, size: int = 400) -> DataFrame:
+def removed(docs: DataFrame, size: int = 400, passage: int | None = None) -> DataFrame:
     """(doc_id, spans array<struct<from, to>>, kept binary, n_bytes): what is removed of each row of ``docs`` and what stays.
+    With ``passage``, passages array<struct<from, to>> follows, in words: what is covered by strings of so many words that
+    also start elsewhere, the same row included; nothing is removed for that. Words are runs of bytes other than ASCII white
+    space, whatever stands between them; no letter case or character is made equal to another.
 
     A null text is empty; a text shorter than ``size`` keeps all; a row that occurs twice is repeated as a whole; a null
     doc_id is a value like any other; other columns are ignored; an empty table gives no rows. A very long text is read in
@@ -338,7 +434,11 @@ def removed(docs: DataFrame, size: int = 400) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            spans, kept, sizes = [], [], []
+            spans, kept, sizes, passages = [], [], [], []
+            if passage is not None:
+                for ranges in b.column(3).to_pylist():
+                    runs = covered(b"", [(r["start"], r["windows"]) for r in ranges or ()], passage)
+                    passages.append([{"from": a, "to": e} for a, e in runs])
             for text, ranges in zip(b.column(1), b.column(2)):
                 raw = text.as_py()
                 runs = covered(raw, [(r["start"], r["windows"]) for r in ranges.as_py() or ()], size)
@@ -346,11 +446,15 @@ def removed(docs: DataFrame, size: int = 400) -> DataFrame:
                 kept.append(b"".join(raw[a:e] for a, e in zip(edges[::2], edges[1::2])) if runs else raw)
                 spans.append([{"from": a, "to": e} for a, e in runs])
                 sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "spans", "kept", "n_bytes"])
+            cols = {"doc_id": b.column(0), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(sizes, pa.int64())}
+            if passage is not None:
+                cols["passages"] = pa.array(passages, span)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     scratch = Scratch(docs.sparkSession, "repeats")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return in_arrow(with_spans(named, scratch, size), run, "doc_id long, spans array<struct<from:bigint,to:bigint>>, kept binary, n_bytes long")
+    runs = "array<struct<from:bigint,to:bigint>>"
+    return in_arrow(with_spans(named, scratch, size, passage=passage), run, f"doc_id long, spans {runs}, kept binary, n_bytes long" + f", passages {runs}" * (passage is not None))
 
 
 def whole_words(raw: bytes, a: int, e: int) -> int:
